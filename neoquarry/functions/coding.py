@@ -66,26 +66,30 @@ def plain_codons(seq, altered, start, end, added) -> tuple[Column, Column]:
 
 def divergence(first, second) -> Column:
     """0-based index of the first differing letter over the shorter length; -1 if there is none."""
-    a, b = F.upper(col(first)), F.upper(col(second))
-    n = F.least(F.length(a), F.length(b))
-    differs = F.transform(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)),
-    )
-    return (F.array_position(differs, True) - 1).cast("int")
+    letters = [F.split(F.upper(col(x)), "") for x in (first, second)]
+    differs = F.zip_with(*letters, lambda a, b: a != b)
+    some = (F.length(col(first)) > 0) & (F.length(col(second)) > 0)
+    return F.when(some, F.array_position(differs, True) - 1).otherwise(-1).cast("int")
 
 
-def reconvergence(original, altered, diverged) -> Column:
-    """First index at or after ``diverged`` from which the next k letters occur anywhere in the original; -1 if none.
+def match_length(original, altered) -> Column:
+    """Letters that have to agree before two proteins count as equal again.
 
-    k is 6, or the logarithm to base 20 of the longer length if that is larger; proteins not longer than k
-    fall back to the logarithm.
+    6, or the logarithm to base 20 of the longer length if that is larger; an altered protein not longer
+    than that falls back to the logarithm.
     """
-    o, v, d = col(original), col(altered), col(diverged)
-    longest = F.greatest(F.length(o), F.length(v))
-    least = F.ceil(F.log(longest.cast("double")) / F.log(F.lit(20.0))).cast("int")
+    longest = F.greatest(F.length(col(original)), F.length(col(altered))).cast("double")
+    least = F.ceil(F.log(longest) / F.log(F.lit(20.0))).cast("int")
     k = F.greatest(least, F.lit(6))
-    k = F.when(k >= F.length(v), least).otherwise(k)
+    return F.when(k >= F.length(col(altered)), least).otherwise(k)
+
+
+def reconvergence(original, altered, diverged, letters) -> Column:
+    """First index at or after ``diverged`` from which the next letters occur anywhere in the original; -1 if none.
+
+    The arguments should be plain columns: they are read once per index.
+    """
+    o, v, d, k = col(original), col(altered), col(diverged), col(letters)
     last = F.length(v) - k
     found = F.filter(
         F.when((d >= 0) & (last >= d), F.sequence(d, last)).otherwise(F.array().cast("array<int>")),
@@ -107,24 +111,23 @@ def altered_window(original_cds, altered_cds, start_aa, stop_aa, peptide: int =
     return lo, F.when(hi > length, F.lit(-1)).otherwise(hi)
 
 
-def nucleotide_window(original, altered, peptide: int = PEPTIDE) -> tuple[Column, Column]:
-    """Older window: from the first differing window of bases to the next one that matches again."""
-    o, v = col(original), col(altered)
-    n, width = F.length(v), 3 * peptide
-
-    def stop(i):
-        return F.least(n, i + width)
-
-    def same(i):
-        return cut(o, i, stop(i)) == cut(v, i, stop(i))
-
-    none = F.array().cast("array<int>")
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
-    first = F.coalesce(F.get(F.filter(places, lambda i: ~same(i)), F.lit(0)), F.lit(-1))
-    again = F.get(F.filter(places, lambda i: (i >= first) & same(i)), F.lit(0))
-    hi = F.coalesce(stop(again), F.lit(-1))
-    lo = F.when(first >= 0, first + 1 - F.pmod(first + 1, F.lit(3)))
-    return lo, F.when(lo.isNotNull(), hi)
+def first_window(original, altered, diverged, peptide: int = PEPTIDE) -> Column:
+    """Start of the first window of 3 * peptide bases that differs, given the first differing base; -1 if none."""
+    o, v, d = col(original), col(altered), col(diverged)
+    base = F.when(d >= 0, d).when(F.length(o) < F.length(v), F.length(o)).otherwise(-1)
+    return F.when(base >= 0, F.greatest(base - (3 * peptide - 1), F.lit(0))).otherwise(-1)
+
+
+def next_equal_window(original, altered, start, peptide: int = PEPTIDE) -> Column:
+    """End of the first window at or after ``start`` that is equal in both sequences; -1 if none."""
+    o, v, s = col(original), col(altered), col(start)
+    n = F.length(v)
+    stop = lambda i: F.least(n, i + 3 * peptide)
+    again = F.filter(
+        F.when((s >= 0) & (n > s), F.sequence(s, n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.substring(o, i + 1, stop(i) - i) == F.substring(v, i + 1, stop(i) - i),
+    )
+    return F.coalesce(stop(F.get(again, F.lit(0))), F.lit(-1))
 
 
 def codons_before(offset, n: int, frame: int = 0) -> Column:

@@ -1,7 +1,8 @@
 """Row-local arithmetic on gene models.
 
 A transcript is one row: ``strand`` and ``exons``, an array in genome order of structs
-``start, end, cds_start, cds_end, num, frame`` (0-based half-open; coding part null when there is none).
+``start, end, cds_start, cds_end, num, frame, offset`` (0-based half-open; coding part null when there is none;
+``offset`` counts the coding bases 5' of the exon).
 Everything below works inside that row, so positions are translated without a per-base table and without a
 shuffle.
 """
@@ -13,9 +14,6 @@ from pyspark.sql import functions as F
 
 from .sequence import col
 
-EXON_TYPE = "array<struct<start:bigint,end:bigint,cds_start:bigint,cds_end:bigint,num:int,frame:int>>"
-
-
 def introns(exons, strand) -> Column:
     """Gaps between neighbouring exons, numbered from the 5' end."""
     exons, strand = col(exons), col(strand)
@@ -35,7 +33,8 @@ def coding(exons) -> Column:
     return F.transform(
         parts,
         lambda e: F.struct(
-            e["cds_start"].alias("start"), e["cds_end"].alias("end"), e["num"].alias("num"), e["frame"].alias("frame")
+            e["cds_start"].alias("start"), e["cds_end"].alias("end"), e["num"].alias("num"), e["frame"].alias("frame"),
+            e["offset"].alias("offset"),
         ),
     )
 
@@ -72,24 +71,23 @@ def numbered(elements, num) -> Column:
     return F.get(F.filter(col(elements), lambda e: e["num"] == wanted), F.lit(0))
 
 
-def _clamp(value, high) -> Column:
-    return F.greatest(F.lit(0).cast("bigint"), F.least(value, high))
-
-
-def _before(parts: Column, strand, position: Column) -> Column:
-    """Coding bases 5' of a 1-based position."""
-    plus = F.aggregate(
-        parts, F.lit(0).cast("bigint"), lambda a, e: a + _clamp(position - 1 - e["start"], e["end"] - e["start"])
-    )
-    minus = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, e: a + _clamp(e["end"] - position, e["end"] - e["start"]))
+def bases_before(parts: Column, strand, position: Column) -> Column:
+    """Coding bases 5' of a 1-based position, from the spans alone."""
+    zero = F.lit(0).cast("bigint")
+    clamp = lambda v, high: F.greatest(zero, F.least(v, high))
+    plus = F.aggregate(parts, zero, lambda a, e: a + clamp(position - 1 - e["start"], e["end"] - e["start"]))
+    minus = F.aggregate(parts, zero, lambda a, e: a + clamp(e["end"] - position, e["end"] - e["start"]))
     return F.when(col(strand) > 0, plus).otherwise(minus)
 
 
 def cds_offset(exons, strand, position) -> Column:
     """0-based offset in the coding sequence of a 1-based genome position; -1 outside of it."""
-    parts, p = coding(exons), col(position)
-    inside = F.exists(parts, lambda e: (e["start"] < p) & (p <= e["end"]))
-    return F.when(inside, _before(parts, strand, p)).otherwise(F.lit(-1).cast("bigint"))
+    p, plus = col(position), col(strand) > 0
+    hits = F.transform(
+        F.filter(col(exons), lambda e: (e["cds_start"] < p) & (p <= e["cds_end"])),
+        lambda e: e["offset"] + F.when(plus, p - 1 - e["cds_start"]).otherwise(e["cds_end"] - p),
+    )
+    return F.coalesce(F.get(hits, F.lit(0)), F.lit(-1).cast("bigint"))
 
 
 def cds_length(exons) -> Column:
@@ -98,18 +96,12 @@ def cds_length(exons) -> Column:
 
 def genome_position(exons, strand, offset) -> Column:
     """1-based genome position of a 0-based coding offset; null outside the coding sequence."""
-    parts, o, s = coding(exons), col(offset), col(strand)
-
-    def first_base(e):
-        return F.when(s > 0, e["start"] + 1).otherwise(e["end"])
-
-    def hit(e):
-        lead = _before(parts, s, first_base(e))
-        return (lead <= o) & (o < lead + e["end"] - e["start"])
-
-    part = F.get(F.filter(parts, hit), F.lit(0))
-    step = o - _before(parts, s, first_base(part))
-    return F.when(part.isNotNull(), F.when(s > 0, part["start"] + 1 + step).otherwise(part["end"] - step))
+    o, plus = col(offset), col(strand) > 0
+    hits = F.transform(
+        F.filter(col(exons), lambda e: (e["offset"] <= o) & (o < e["offset"] + e["cds_end"] - e["cds_start"])),
+        lambda e: F.when(plus, e["cds_start"] + 1 + o - e["offset"]).otherwise(e["cds_end"] - o + e["offset"]),
+    )
+    return F.get(hits, F.lit(0))
 
 
 def frame_at(exons, strand, position, direction) -> Column:

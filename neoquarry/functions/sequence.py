@@ -32,20 +32,18 @@ def reverse_complement(seq) -> Column:
 
 
 def translate_cds(seq, to_stop: bool = False) -> Column:
-    """Protein of a coding sequence: ``*`` for stops, ``X`` for codons with unknown bases, partial codons ignored."""
-    digits = F.translate(F.upper(col(seq)), BASE_ORDER + "U", "01230")
-    starts = F.when(F.length(digits) >= 3, F.sequence(F.lit(1), F.length(digits) - 2, F.lit(3))).otherwise(
-        F.array().cast("array<int>")
-    )
+    """Protein of a coding sequence: ``*`` for stops, ``X`` for codons with unknown bases, partial codons ignored.
 
-    def known(i):
-        return F.substring(F.lit(AMINO_ACIDS), F.conv(F.substring(digits, i, F.lit(3)), 4, 10).cast("int") + 1, F.lit(1))
+    One pass cuts the codons; each codon then is a base-4 number into the code table.
+    """
+    codons = F.regexp_extract_all(F.translate(F.upper(col(seq)), BASE_ORDER + "U", "01230"), F.lit(".{3}"), F.lit(0))
 
-    def any_codon(i):
-        return F.when(F.substring(digits, i, F.lit(3)).rlike("^[0-3]{3}$"), known(i)).otherwise(F.lit("X"))
+    def residue(codon):
+        digit = lambda i: F.ascii(F.substring(codon, i, 1)) - 48
+        index = digit(1) * 16 + digit(2) * 4 + digit(3) + 1
+        return F.when(F.translate(codon, "0123", "") == "", F.substring(F.lit(AMINO_ACIDS), index, F.lit(1))).otherwise("X")
 
-    clean = F.regexp_replace(digits, "[0-3]", "") == ""
-    protein = F.array_join(F.when(clean, F.transform(starts, known)).otherwise(F.transform(starts, any_codon)), "")
+    protein = F.array_join(F.transform(codons, residue), "")
     return F.substring_index(protein, "*", 1) if to_stop else protein
 
 

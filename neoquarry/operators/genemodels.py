@@ -18,6 +18,7 @@ def pack_transcripts(features: DataFrame) -> DataFrame:
         F.col("start_pos").cast("bigint").alias("start"), F.col("end_pos").cast("bigint").alias("end"),
         F.col("cds_start").cast("bigint").alias("cds_start"), F.col("cds_end").cast("bigint").alias("cds_end"),
         F.lit(None).cast("int").alias("num"), F.lit(None).cast("int").alias("frame"),
+        F.lit(None).cast("bigint").alias("offset"),
     )
     packed = features.groupBy("gene", "isoform", "chrom", "strand", "db").agg(
         F.array_sort(F.collect_list(exon)).alias("exons")
@@ -28,19 +29,27 @@ def pack_transcripts(features: DataFrame) -> DataFrame:
 def number_exons(df: DataFrame) -> DataFrame:
     """Fill exon numbers (from the 5' end) and frames, and add the transcript span."""
     strand, n = F.col("strand"), F.size("exons")
-    parts = m.coding("exons")
 
     def finished(e, i):
-        first = F.when(strand > 0, e["cds_start"] + 1).otherwise(e["cds_end"])
-        frame = F.when(e["cds_start"].isNull(), -1).otherwise(F.pmod(m._before(parts, strand, first), F.lit(3)))
+        frame = F.when(e["cds_start"].isNull(), -1).otherwise(F.pmod(e["offset"], F.lit(3)))
         num = F.when(strand > 0, i + 1).otherwise(n - i)
-        return F.struct(
-            e["start"].alias("start"), e["end"].alias("end"), e["cds_start"].alias("cds_start"),
-            e["cds_end"].alias("cds_end"), num.cast("int").alias("num"), frame.cast("int").alias("frame"),
-        )
+        return e.withField("num", num.cast("int")).withField("frame", frame.cast("int"))
+
+    def placed(e):
+        first = F.when(strand > 0, e["cds_start"] + 1).otherwise(e["cds_end"])
+        before = m.bases_before(F.col("_parts"), strand, first)
+        return e.withField("offset", F.when(e["cds_start"].isNotNull(), before))
 
-    return df.withColumn("exons", F.transform("exons", finished)).withColumns(
-        {"tx_start": F.get("exons", F.lit(0))["start"], "tx_end": F.element_at("exons", -1)["end"]}
+    spans = F.transform(
+        F.filter("exons", lambda e: e["cds_start"].isNotNull()),
+        lambda e: F.struct(e["cds_start"].alias("start"), e["cds_end"].alias("end")),
+    )
+    return (
+        df.withColumn("_parts", spans)
+        .withColumn("exons", F.transform("exons", placed))
+        .withColumn("exons", F.transform("exons", finished))
+        .withColumns({"tx_start": F.get("exons", F.lit(0))["start"], "tx_end": F.element_at("exons", -1)["end"]})
+        .drop("_parts")
     )
 
 

@@ -14,32 +14,35 @@ CHUNK = 65_536
 
 
 def transcript_sequence(
-    transcripts: DataFrame, genome: DataFrame, chunk: int = CHUNK, elements: Column | None = None, name: str = "cds_seq"
+    transcripts: DataFrame, genome: DataFrame, chunk: int = CHUNK, elements: Column | None = None, name: str = "cds_seq",
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """Add the coding sequence on the gene strand. Segments meet genome pieces by (chrom, piece number).
 
     ``genome`` has chrom, chunk and seq. A transcript with a missing piece gets null. Only the pieces of one
-    transcript are gathered together.
+    transcript are gathered together. ``elements`` replaces the coding parts by another span array, ``keys`` (which must
+    include chrom) name the rows when a transcript occurs more than once.
     """
+    keys = keys or TRANSCRIPT_KEY
     parts = m.coding("exons") if elements is None else elements
     cuts = (
-        transcripts.select(*TRANSCRIPT_KEY, F.explode(parts).alias("p"))
-        .select(*TRANSCRIPT_KEY, F.col("p.start").alias("_s"), F.col("p.end").alias("_e"))
+        transcripts.select(*keys, F.explode(parts).alias("p"))
+        .select(*keys, F.col("p.start").alias("_s"), F.col("p.end").alias("_e"))
         .withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_s") / chunk), F.floor((F.col("_e") - 1) / chunk))))
     )
     first = F.col("chunk") * chunk
     lo = F.greatest(F.col("_s") - first, F.lit(0))
     hi = F.least(F.col("_e") - first, F.lit(chunk))
     pieces = cuts.join(genome.select("chrom", "chunk", "seq"), ["chrom", "chunk"], "left").select(
-        *TRANSCRIPT_KEY, "_s", "chunk", F.substring("seq", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("_t")
+        *keys, "_s", "chunk", F.substring("seq", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("_t")
     )
-    joined = pieces.groupBy(*TRANSCRIPT_KEY).agg(
+    joined = pieces.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_s", "chunk", F.coalesce("_t", F.lit("")).alias("_t")))).alias("_p"),
         F.bool_and(F.col("_t").isNotNull()).alias("_whole"),
     )
     text = F.upper(F.array_join(F.transform("_p", lambda x: x["_t"]), ""))
     return (
-        transcripts.join(joined, TRANSCRIPT_KEY)
+        transcripts.join(joined, keys)
         .withColumn("_text", F.when(F.col("_whole"), text))
         .withColumn(name, F.when(F.col("strand") < 0, reverse_complement("_text")).otherwise(F.col("_text")))
         .drop("_p", "_whole", "_text")
@@ -222,7 +225,8 @@ def protein_divergence_start(df: DataFrame, first: str, second: str) -> DataFram
 
 
 def protein_reconvergence(df: DataFrame, original: str, altered: str) -> DataFrame:
-    return df.withColumn("reconverged", c.reconvergence(original, altered, "diverged"))
+    out = df.withColumn("_k", c.match_length(original, altered))
+    return out.withColumn("reconverged", c.reconvergence(original, altered, "diverged", "_k")).drop("_k")
 
 
 def altered_region(df: DataFrame, peptide: int = c.PEPTIDE, method: str = "protein") -> DataFrame:
@@ -231,22 +235,27 @@ def altered_region(df: DataFrame, peptide: int = c.PEPTIDE, method: str = "prote
     ``method='nucleotide'`` uses the older base-window comparison.
     """
     if method == "nucleotide":
-        lo, hi = c.nucleotide_window("cds", "cds_alt", peptide)
-        ok, out = lo.isNotNull(), df
+        out = df.withColumn("diverged", c.divergence("cds", "cds_alt"))
+        out = out.withColumn("_first", c.first_window("cds", "cds_alt", "diverged", peptide))
+        out = out.withColumn("_hi", c.next_equal_window("cds", "cds_alt", "_first", peptide))
+        ok, third = F.col("_first") >= 0, F.pmod(F.col("_first") + 1, F.lit(3))
+        out = out.withColumn("_lo", F.col("_first") + 1 - third)
     else:
         out = df.withColumns({"_po": translate_cds("cds"), "_pa": translate_cds("cds_alt")})
-        out = out.withColumn("diverged", c.divergence("_po", "_pa"))
-        out = out.withColumn("reconverged", c.reconvergence("_po", "_pa", "diverged"))
+        out = out.withColumns({"diverged": c.divergence("_po", "_pa"), "_k": c.match_length("_po", "_pa")})
+        out = out.withColumn("reconverged", c.reconvergence("_po", "_pa", "diverged", "_k"))
         stop = F.when(F.col("reconverged") == -1, F.length("_pa")).otherwise(F.col("reconverged"))
         lo, hi = c.altered_window("cds", "cds_alt", F.col("diverged"), stop, peptide)
+        out = out.withColumns({"_lo": lo, "_hi": hi})
         ok = F.col("diverged") >= 0
+    lo, hi = F.col("_lo"), F.col("_hi")
     return out.withColumns(
         {
             "region_start": F.when(ok, lo), "region_end": F.when(ok, hi),
             "region_orig": F.when(ok, cut("cds", lo, hi)).otherwise(""),
             "region_alt": F.when(ok, cut("cds_alt", lo, hi)).otherwise(""),
         }
-    ).drop("_po", "_pa")
+    ).drop("_po", "_pa", "_k", "_first", "_lo", "_hi")
 
 
 def comparative_neoepitopes(df: DataFrame) -> DataFrame:
@@ -296,9 +305,10 @@ def peptide_windows(
         }
     )
     if cds_first:
-        first = F.col(cds_first) + F.col("window_start") * 3
-        a, b = (m.genome_position("exons", "strand", o) for o in (first, first + 3 * size - 1))
-        out = out.withColumn("window_range", genome_range(a, b))
+        out = out.withColumn("_lo", (F.col(cds_first) + F.col("window_start") * 3).cast("bigint"))
+        out = out.withColumn("_hi", F.col("_lo") + 3 * size - 1)
+        out = out.withColumns({f"_g{x}": m.genome_position("exons", "strand", x) for x in ("_lo", "_hi")})
+        out = out.withColumn("window_range", genome_range(F.col("_g_lo"), F.col("_g_hi"))).drop("_lo", "_hi", "_g_lo", "_g_hi")
     return out
 
 
@@ -355,10 +365,14 @@ def alt_near_last_junction(df: DataFrame, boundary: str = "boundary", junction:
 
 def stretch(df: DataFrame, prefix: str, lo: Column, hi: Column, seq: str = "cds_seq") -> DataFrame:
     """Genome range, bases and protein of the closed coding offsets lo..hi; null when a bound is null."""
-    a, b = (m.genome_position("exons", "strand", x) for x in (lo, hi))
+    df = df.withColumns({"_lo": lo, "_hi": hi})
+    lo, hi = F.col("_lo"), F.col("_hi")
+    a, b = (m.genome_position("exons", "strand", x) for x in ("_lo", "_hi"))
+    df = df.withColumns({"_a": a, "_b": b})
+    a, b = F.col("_a"), F.col("_b")
     bases = F.when(lo.isNotNull() & hi.isNotNull(), piece(seq, (lo + 1).cast("int"), (hi - lo + 1).cast("int")))
     out = df.withColumns({f"{prefix}_range": genome_range(a, b), f"{prefix}_nuc": bases})
-    return out.withColumn(f"{prefix}_aa", translate_cds(f"{prefix}_nuc"))
+    return out.withColumn(f"{prefix}_aa", translate_cds(f"{prefix}_nuc")).drop("_lo", "_hi", "_a", "_b")
 
 
 def nmd_regions(df: DataFrame, position: str = "pos", seq: str = "cds_seq") -> DataFrame:

@@ -52,3 +52,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="neoquarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Set the checkpoint folder where the cluster has not set one."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
