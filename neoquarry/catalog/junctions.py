@@ -1 +1,341 @@
-"""Queries."""
+"""Queries on splice junctions and on transcripts as junction chains."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import ORACLE_ONLY
+from ..operators import evidence as ev
+from ..operators import genemodels as g
+from ..operators import junctions as j
+from . import query
+from .genes import transcripts
+
+CONTROLS = ["S0", "S1"]
+
+
+def _frame(p, f):
+    return f"case when {p} > {f}.cds_start and {p} <= {f}.cds_end then case when {f}.strand > 0 then ({p} - {f}.cds_start - 1 + {f}.frame) % 3 else ({f}.cds_end - {p} + {f}.frame) % 3 end end"
+
+
+# junction x isoform with what lies at both ends; exons do not touch, so each end meets one exon at most
+ORACLE_ONLY["jx"] = f"""
+select q.*, case when strand > 0 then fs else fe end as rf_start, case when strand > 0 then fe else fs end as rf_end, case when strand > 0 then (fs + 1) % 3 = fe else (fe + 1) % 3 = fs end as frame_preserved from (
+ select v.sj_id, v.sample, v.gene, v.chrom, v.start_pos, v.end_pos, v.leftmost, v.rightmost, v.read_count, t.isoform, t.strand, t.tx_start, t.tx_end, t.coding_start, t.coding_end, t.n_exons,
+  a.num as a_num, a.start_pos as a_start, a.end_pos as a_end, b.num as b_num, b.start_pos as b_start, b.end_pos as b_end, b1.num as b1_num, b1.start_pos as b1_start, b1.end_pos as b1_end,
+  {_frame('v.start_pos', 'a')} as fs, {_frame('(v.end_pos + 1)', 'b1')} as fe, i.isoform is not null as canonical,
+  ga.num as ga_num, ga.start_pos as ga_start, ga.end_pos as ga_end, gb.num as gb_num, gb.start_pos as gb_start, gb.end_pos as gb_end
+ from {{junctions}} v join {{tx}} t on t.gene = v.gene left join {{feat}} a on a.isoform = t.isoform and v.start_pos between a.start_pos and a.end_pos
+ left join {{feat}} b on b.isoform = t.isoform and v.end_pos between b.start_pos and b.end_pos left join {{feat}} b1 on b1.isoform = t.isoform and v.end_pos + 1 between b1.start_pos and b1.end_pos
+ left join {{introns}} i on i.isoform = t.isoform and i.start_pos = v.start_pos and i.end_pos = v.end_pos
+ left join {{introns}} ga on ga.isoform = t.isoform and v.start_pos between ga.start_pos and ga.end_pos left join {{introns}} gb on gb.isoform = t.isoform and v.end_pos between gb.start_pos and gb.end_pos) q"""
+_SKIPS = "case when a_num is null or {b} is null then null else greatest(greatest(a_num, {b}) - least(a_num, {b}) - 1, 0) end"
+ORACLE_ONLY["aberr"] = f"""
+select *, coalesce(skips, 0) + case when exon_start is null or exon_end is null then 500 when exon_start <> 'exon_canon' or exon_end <> 'exon_canon' then 100 else 0 end + case when coalesce(frame_preserved, false) then 0 else 200 end as score from (
+ select *, case when start_pos = a_start then 'exonLeft' when start_pos = a_end then 'exon_canon' when a_num is not null then 'withinElem' end as exon_start,
+  case when end_pos + 1 = b1_start then 'exon_canon' when end_pos + 1 = b1_end then 'exonRight' when b1_num is not null then 'withinElem' end as exon_end, {_SKIPS.format(b='b1_num')} as skips,
+  array_to_string(case when a_num is not null and b1_num is not null then range(least(a_num, b1_num) + 1, greatest(a_num, b1_num)) end, ',') as skip_text from {{jx}}) q"""
+ORACLE_ONLY["assigned"] = """select * from (select *, min(score) over (partition by sj_id) as best from (select * replace (case when canonical then -1 else score end as score) from {aberr} where canonical or (exon_start is not null and exon_end is not null)) a) q where score = best"""
+
+
+def pairs(fx):
+    return j.junction_models(fx.junctions, transcripts(fx))
+
+
+def assigned(fx):
+    return j.assign_isoforms(pairs(fx))
+
+
+@query("select sj_id, isoform, canonical from {jx}")
+def canonical_junction(fx):
+    return j.canonical_junction(pairs(fx)).select("sj_id", "isoform", "canonical")
+
+
+@query("select v.chrom, v.start_pos, v.end_pos, i.db, string_agg(distinct i.gene, ',' order by i.gene) as genes from (select distinct chrom, start_pos, end_pos from {junctions}) v join {introns} i on i.chrom = v.chrom and i.start_pos = v.start_pos and i.end_pos = v.end_pos group by 1, 2, 3, 4")
+def canonical_junction_sources(fx):
+    return j.canonical_sources(fx.junctions, g.donor_acceptor_sites(transcripts(fx)))
+
+
+@query("select sj_id, isoform, case when a_num is not null and b_num is not null then array_to_string(range(least(a_num, b_num) + 1, greatest(a_num, b_num)), ',') end as exon_skip from {jx}")
+def skipped_exons(fx):
+    return j.skipped_exons(pairs(fx)).select("sj_id", "isoform", F.array_join("exon_skip", ",").alias("exon_skip"))
+
+
+@query("select sj_id, isoform, rf_start, rf_end, frame_preserved from {jx}")
+def frame_preserved(fx):
+    return j.frame_preserved(pairs(fx)).select("sj_id", "isoform", "rf_start", "rf_end", "frame_preserved")
+
+
+_EFFECTS = """array_to_string(list_filter([case when skips > 0 then concat('exon_skip: ', skip_text) end, case when exon_start is null or exon_end is null then 'intronic' when exon_start <> 'exon_canon' or exon_end <> 'exon_canon' then 'exonic' end,
+ case when not coalesce(frame_preserved, false) then 'frameshift' end], lambda x: x is not null), ',')"""
+
+
+@query(f"select sj_id, isoform, exon_start, exon_end, score, {_EFFECTS} as effects from {{aberr}}")
+def aberration_class(fx):
+    out = j.aberration_class(pairs(fx), intronic=True)
+    return out.select("sj_id", "isoform", "exon_start", "exon_end", "score", F.array_join("effects", ",").alias("effects"))
+
+
+@query("select sj_id, isoform, score, canonical from {assigned}")
+def assign_isoforms(fx):
+    return assigned(fx).select("sj_id", "isoform", "score", "canonical")
+
+
+@query(f"""select sj_id, concat(sj_id, '::', string_agg(t, '>>' order by t)) as aberrations from (select sj_id, concat('isoform_id = ', isoform, ';exon_skip = ', coalesce(skip_text, ''), ';frame_preserved = ', case when frame_preserved then 'True' when not frame_preserved then 'False' else 'None' end,
+ ';calc_rf = ', coalesce(cast(rf_start as varchar), 'None'), '-', coalesce(cast(rf_end as varchar), 'None'), ';effects = ', {_EFFECTS}) as t from {{assigned}} where score >= 0) q group by sj_id""")
+def aberration_text(fx):
+    return j.aberration_text(assigned(fx))
+
+
+@query("select sj_id, isoform, coalesce(case when strand > 0 then coding_start > start_pos else coding_end < end_pos end, false) as before_coding from {jx}")
+def before_coding(fx):
+    return j.before_coding(pairs(fx)).select("sj_id", "isoform", "before_coding")
+
+
+@query("select sj_id, isoform, concat(coalesce(concat('exon_', a_num), concat('intron_', ga_num), 'None'), ':', coalesce(concat('exon_', b_num), concat('intron_', gb_num), 'None')) as ligated from (select * replace (case when a_num is not null then a_num end as a_num) from {jx}) q".replace("concat('exon_', a_num)", "case when a_num is not null then concat('exon_', a_num) end").replace("concat('intron_', ga_num)", "case when ga_num is not null then concat('intron_', ga_num) end").replace("concat('exon_', b_num)", "case when b_num is not null then concat('exon_', b_num) end").replace("concat('intron_', gb_num)", "case when gb_num is not null then concat('intron_', gb_num) end"))
+def ligated_elements(fx):
+    return j.ligated_elements(pairs(fx)).select("sj_id", "isoform", "ligated")
+
+
+@query("""with m as (select x.*, case when a_num is not null then a_num when ga_num is not null then case when strand > 0 then ga_num else ga_num + 1 end end as na, case when b_num is not null then b_num when gb_num is not null then case when strand > 0 then gb_num + 1 else gb_num end end as nb from {jx} x)
+ select m.sj_id, m.isoform, na as exon_left, nb as exon_right, concat(case when na is null then 'None' else concat(m.chrom, ':', l.start_pos, '-', m.start_pos) end, '*', case when nb is null then 'None' else concat(m.chrom, ':', m.end_pos, '-', r.end_pos) end) as exon_positions,
+ coalesce(l.end_pos = m.start_pos, false) as left_canonical, coalesce(r.start_pos = m.end_pos, false) as right_canonical from m left join {feat} l on l.isoform = m.isoform and l.num = na left join {feat} r on r.isoform = m.isoform and r.num = nb""")
+def modified_exons(fx):
+    out = j.modified_exons(pairs(fx))
+    return out.select("sj_id", "isoform", "exon_left", "exon_right", "exon_positions", "left_canonical", "right_canonical")
+
+
+@query("select x.sj_id, x.isoform, f.num as asked, coalesce(x.a_num = f.num, false) or coalesce(x.b_num = f.num, false) as has_exon from {jx} x join {feat} f on f.isoform = x.isoform and f.num = 2")
+def junction_has_exon(fx):
+    df = pairs(fx).withColumn("_x", F.get(F.filter("exons", lambda e: e["num"] == 2), F.lit(0))).where("_x is not null")
+    df = df.withColumns({"asked": F.col("_x.num"), "asked_start": F.col("_x.start"), "asked_end": F.col("_x.end")})
+    return j.junction_has_exon(df).select("sj_id", "isoform", "asked", "has_exon")
+
+
+@query("""select x.sj_id, x.isoform, 'skipped' as missing_kind, f.num as missing_num, f.start_pos as missing_start, f.end_pos as missing_end from {jx} x join {feat} f on f.isoform = x.isoform and f.num > least(x.a_num, x.b_num) and f.num < greatest(x.a_num, x.b_num) where x.a_num is not null and x.b_num is not null
+ union all select sj_id, isoform, 'cut', a_num, start_pos, a_end from {jx} where start_pos > a_start and start_pos < a_end union all select sj_id, isoform, 'cut', b_num, b_start, end_pos from {jx} where end_pos > b_start and end_pos < b_end""")
+def missing_exons(fx):
+    return j.missing_exons(pairs(fx)).select("sj_id", "isoform", "missing_kind", "missing_num", "missing_start", "missing_end")
+
+
+@query("""select sj_id, isoform, 'start' as retained_side, ga_num as retained_num, ga_start as retained_start, start_pos as retained_end from {jx} where start_pos > ga_start and start_pos < ga_end
+ union all select sj_id, isoform, 'end', gb_num, end_pos, gb_end from {jx} where end_pos > gb_start and end_pos < gb_end""")
+def retained_introns(fx):
+    return j.retained_introns(pairs(fx)).select("sj_id", "isoform", "retained_side", "retained_num", "retained_start", "retained_end")
+
+
+def _element(p, n):
+    # with the direction towards the 5' end, the exon wins over the intron it touches
+    return f"(select case when max(e.num) filter (e.feat_type = 'exon') is not null then concat('exon_', max(e.num) filter (e.feat_type = 'exon')) when max(e.num) is not null then concat('intron_', max(e.num)) end from {{elements}} e where e.isoform = x.isoform and {p} between e.start_pos and e.end_pos) as {n}"
+
+
+@query(f"""select sj_id, isoform, case when a is not null or b is not null then coalesce(a = b, false) end as same_start, case when c is not null or d is not null then coalesce(c = d, false) end as same_end
+ from (select sj_id, isoform, {_element('x.start_pos', 'a')}, {_element('x.leftmost', 'b')}, {_element('x.end_pos', 'c')}, {_element('x.rightmost', 'd')} from {{jx}} x) q""")
+def anchor_same_feature(fx):
+    return j.anchor_same_feature(pairs(fx)).select("sj_id", "isoform", "same_start", "same_end")
+
+
+_CODE = "case when a.start_pos <= b.start_pos and b.start_pos < a.end_pos then 1 else 0 end + case when a.start_pos < b.end_pos and b.end_pos <= a.end_pos then 2 else 0 end"
+
+
+@query(f"select a.sj_id, b.isoform, b.num as feat_num, {_CODE} as overlap_code from {{junctions}} a join {{introns}} b on b.chrom = a.chrom and a.start_pos < b.end_pos and b.start_pos < a.end_pos")
+def junction_overlap_code(fx):
+    sites = g.donor_acceptor_sites(transcripts(fx)).select(
+        "isoform", "feat_num", "chrom", F.col("start_pos").alias("other_start"), F.col("end_pos").alias("other_end")
+    )
+    met = j.overlapping_junctions(fx.junctions.select("sj_id", "chrom", "start_pos", "end_pos"), sites)
+    coded = j.junction_overlap_code(met.withColumn("other_chrom", F.col("chrom")))
+    return coded.select("sj_id", "isoform", "feat_num", "overlap_code")
+
+
+@query("""select sj_id, isoform, canon_start, canon_end from (select x.sj_id, x.isoform, i.start_pos as canon_start, i.end_pos as canon_end, row_number() over (partition by x.sj_id, x.isoform order by case when x.strand > 0 then i.start_pos else -i.end_pos end) as n
+ from {jx} x left join {introns} i on i.isoform = x.isoform and case when x.strand > 0 then i.end_pos > x.start_pos else i.start_pos < x.end_pos end) q where n = 1""")
+def nearest_canonical_junction(fx):
+    return j.nearest_canonical_junction(pairs(fx)).select("sj_id", "isoform", "canon_start", "canon_end")
+
+
+@query("select sj_id, isoform, canonical, 'both' as mode from {jx} where canonical and start_pos between tx_start + 100 and tx_start + 900 and end_pos between tx_start + 100 and tx_start + 900 union all select sj_id, isoform, canonical, 'start' from {jx} where not canonical and start_pos between tx_start + 100 and tx_start + 900")
+def junctions_in_range(fx):
+    df = j.canonical_junction(pairs(fx))
+    low, high = F.col("tx_start") + 100, F.col("tx_start") + 900
+    cols = ["sj_id", "isoform", "canonical"]
+    both = j.junctions_in_range(df, low, high, "both", 1).select(*cols, F.lit("both").alias("mode"))
+    return both.union(j.junctions_in_range(df, low, high, "start", 2).select(*cols, F.lit("start").alias("mode")))
+
+
+_PREV = "select chrom, start_pos, end_pos, gene, count(distinct sample) as sample_count, count(distinct case when sample in ('S0', 'S1') then sample end) as control_count from {junctions} where read_count >= 50 group by 1, 2, 3, 4"
+
+
+@query(f"""select x.sj_id, x.region_id, coalesce(p.sample_count, 0) as sample_count, coalesce(p.control_count, 0) as control_count from (select v.sj_id, v.chrom, v.start_pos, v.end_pos, v.gene, r.pk as region_id from {{junctions}} v join {{features}} r on r.chrom = v.chrom and v.start_pos < r.end_pos and r.start_pos < v.end_pos where v.read_count >= 100 and r.pk % 4 = 1) x
+ left join ({_PREV}) p on p.chrom = x.chrom and p.start_pos = x.start_pos and p.end_pos = x.end_pos""")
+def sample_junctions(fx):
+    regions = fx.features.where("pk % 4 = 1").select(F.col("pk").alias("region_id"), "chrom", F.col("start_pos").alias("region_start"), F.col("end_pos").alias("region_end"))
+    prevalence = j.junction_sample_prevalence(fx.junctions, CONTROLS, 50)
+    return j.sample_junctions(fx.junctions, regions, prevalence, 100).select("sj_id", "region_id", "sample_count", "control_count")
+
+
+@query("select sj_id, isoform, score from {assigned} where not canonical")
+def aberrant_junctions(fx):
+    return j.aberrant_junctions(assigned(fx)).select("sj_id", "isoform", "score")
+
+
+@query(_PREV)
+def junction_sample_prevalence(fx):
+    return j.junction_sample_prevalence(fx.junctions, CONTROLS, 50)
+
+
+_LISTS = "select o_orderkey as sj_id, concat('S', cast(o_custkey % 12 as string), ',S', cast(o_custkey % 5 as string), ',S', cast(o_orderkey % 7 as string)) as samples, concat(cast(o_custkey % 40 as string), ',', cast(o_orderkey % 40 as string), ',', cast((o_custkey + o_orderkey) % 40 as string)) as counts from {orders}"
+
+
+@query(f"select sj_id, sample, cast(reads as bigint) as reads, sample in ('S0', 'S1') as is_control from (select sj_id, unnest(string_split(samples, ',')) as sample, unnest(string_split(counts, ',')) as reads from ({_LISTS}) q) r where cast(reads as bigint) >= 20")
+def samples_above_threshold(fx):
+    return j.samples_above_threshold(fx.sql(_LISTS), 20, CONTROLS)
+
+
+@query("select sample, isoform, case when strand > 0 then start_pos else end_pos end as site, count(*) as junctions, count(distinct case when strand > 0 then end_pos else start_pos end) as partner_sites, sum(read_count) as reads from {jx} group by 1, 2, 3")
+def group_by_splice_site(fx):
+    return j.group_by_splice_site(j.canonical_junction(pairs(fx)))
+
+
+def _bracketed(closed):
+    low = "p.b <= x.donor" if closed else "p.b < x.donor"
+    guard = "" if closed else "and not exists (select 1 from bounds z where z.isoform = x.isoform and z.b = x.donor)"
+    return f"""bounds as (select isoform, case when strand > 0 then end_pos else start_pos end as b from {{introns}} union all select isoform, tx_start from {{tx}} union all select isoform, tx_end from {{tx}}),
+ x as (select *, case when strand > 0 then start_pos else end_pos end as donor from {{jx}}), k as (select x.*, (select max(p.b) from bounds p where p.isoform = x.isoform and {low} {guard}) as lo, (select min(p.b) from bounds p where p.isoform = x.isoform and p.b > x.donor) as hi from x),
+ br as (select *, case when lo is not null and hi is not null then lo else start_pos end as bracket_start, case when lo is not null and hi is not null then hi else start_pos end as bracket_end from k)"""
+
+
+@query(f"with {_bracketed(False)} select sj_id, isoform, bracket_start, bracket_end from br")
+def acceptor_brackets(fx):
+    return j.acceptor_brackets(pairs(fx)).select("sj_id", "isoform", "bracket_start", "bracket_end")
+
+
+@query(f"with {_bracketed(True)} select sj_id, isoform, bracket_start, bracket_end from br")
+def acceptor_brackets_closed(fx):
+    return j.acceptor_brackets(pairs(fx), closed_left=True).select("sj_id", "isoform", "bracket_start", "bracket_end")
+
+
+@query(f"""with {_bracketed(False)}, top as (select sample, isoform, bracket_start, bracket_end, read_count, sj_id, row_number() over (partition by sample, isoform, bracket_start, bracket_end order by read_count desc, sj_id) as n from br where canonical)
+ select br.sj_id, br.isoform, round(br.read_count / greatest(coalesce(t.read_count, 1), 1), 6) as ratio, coalesce(concat(t.read_count, ' - ', t.sj_id), 'nothing') as max_sj_info from br left join top t on t.n = 1 and t.sample = br.sample and t.isoform = br.isoform and t.bracket_start = br.bracket_start and t.bracket_end = br.bracket_end""".replace("coalesce(concat(t.read_count, ' - ', t.sj_id), 'nothing')", "case when t.sj_id is null then 'nothing' else concat(t.read_count, ' - ', t.sj_id) end"))
+def junction_dominance(fx):
+    out = j.junction_dominance(j.canonical_junction(pairs(fx)), canonical_only=True)
+    return out.select("sj_id", "isoform", F.round("ratio", 6).alias("ratio"), "max_sj_info")
+
+
+ORACLE_ONLY["gene_introns"] = "select i.gene, i.start_pos as intron_start, i.end_pos as intron_end, count(distinct isoform) >= n.n as constitutive from {introns} i join (select gene, count(distinct isoform) as n from {introns} group by 1) n on n.gene = i.gene group by 1, 2, 3, n.n"
+ORACLE_ONLY["gap_support"] = "select sample, gene, gap_start as intron_start, gap_end as intron_end, count(*) filter (nh = 1) as reads from {spans} group by 1, 2, 3, 4"
+
+
+@query("""with c as (select a.sample, a.gene, i.intron_start, i.intron_end, i.constitutive, coalesce(s.reads, 0) as reads from (select distinct sample, gene from {junctions}) a join {gene_introns} i on i.gene = a.gene left join {gap_support} s on s.sample = a.sample and s.gene = a.gene and s.intron_start = i.intron_start and s.intron_end = i.intron_end),
+ r as (select v.sj_id, v.read_count, (select avg(reads) from c where c.sample = v.sample and c.gene = v.gene and v.start_pos < c.intron_end and c.intron_start < v.end_pos) as near, (select avg(reads) from c where c.sample = v.sample and c.gene = v.gene and c.constitutive) as steady from {junctions} v)
+ select sj_id, round(case when coalesce(near, 1) <> 0 then read_count / coalesce(near, 1) end, 6) as aberrant_canonical, round(case when coalesce(steady, 1) <> 0 then read_count / coalesce(steady, 1) end, 6) as aberrant_constitutive, round(case when coalesce(steady, 1) <> 0 then coalesce(near, 0) / coalesce(steady, 1) end, 6) as overlap_constitutive from r""")
+def junction_evidence_ratios(fx):
+    features = g.exon_intron_features(transcripts(fx)).where("feat_type = 'intron'")
+    introns = g.constitutive_alternative(features).select(
+        "gene", F.col("start_pos").alias("intron_start"), F.col("end_pos").alias("intron_end"), (F.col("kind") == "constitutive").alias("constitutive")
+    )
+    genes = fx.reads.groupBy("chrom").agg(F.max("sample").alias("_x")).select("chrom")
+    support = ev.gap_counts(fx.reads).select("sample", "chrom", F.col("start_pos").alias("intron_start"), F.col("end_pos").alias("intron_end"), F.col("unique_count").alias("reads"))
+    named = features.select("gene", "chrom", F.col("start_pos").alias("intron_start"), F.col("end_pos").alias("intron_end")).distinct()
+    support = support.join(named, ["chrom", "intron_start", "intron_end"]).join(genes, "chrom").drop("chrom")
+    out = j.junction_evidence_ratios(fx.junctions, introns, support)
+    return out.select("sj_id", *[F.round(c, 6).alias(c) for c in ("aberrant_canonical", "aberrant_constitutive", "overlap_constitutive")])
+
+
+ORACLE_ONLY["presence"] = """select a.sample, a.gene, i.isoform, i.start_pos, i.end_pos, i.num, coalesce(s.reads, -1) as reads, s.reads is not null as present from (select distinct sample, gene from {junctions}) a join {introns} i on i.gene = a.gene
+ left join (select sample, gene, start_pos, end_pos, sum(read_count) as reads from {junctions} group by 1, 2, 3, 4) s on s.sample = a.sample and s.gene = a.gene and s.start_pos = i.start_pos and s.end_pos = i.end_pos"""
+
+
+def presence(fx):
+    return j.canonical_present_absent(fx.junctions, g.donor_acceptor_sites(transcripts(fx)))
+
+
+@query("select sample, isoform, start_pos, end_pos, reads, present from {presence}")
+def canonical_present_absent(fx):
+    return presence(fx).select("sample", "isoform", "start_pos", "end_pos", "reads", "present")
+
+
+@query("""select sample, isoform, missing, floor((n_exons + 1) * 0.5) > missing and (f or l) as isoform_present from (select p.sample, p.isoform, t.n_exons, count(*) filter (not present) as missing, bool_or(present and num = 1) as f, bool_or(present and num = t.n_exons - 1) as l
+ from {presence} p join {tx} t on t.isoform = p.isoform group by 1, 2, 3) q""")
+def isoform_present(fx):
+    out = j.isoform_present(presence(fx), transcripts(fx), 0.5, 3)
+    return out.select("sample", "isoform", "missing", "isoform_present")
+
+
+_CHAIN = "string_agg(concat(chrom, ':', start_pos, '-', end_pos), ' >> ' order by start_pos)"
+
+
+@query(f"select isoform, {_CHAIN} as chain, count(*) as junctions from {{introns}} group by 1")
+def canonical_transcript(fx):
+    df = j.transcript_text(j.canonical_transcript(transcripts(fx)))
+    return df.select("isoform", F.col("text_positions").alias("chain"), F.size("chain").alias("junctions"))
+
+
+ORACLE_ONLY["rebuilt"] = f"""
+with {_bracketed(False)}, own as (select distinct sj_id, isoform, chrom, strand, start_pos, end_pos, bracket_start, bracket_end, tx_start, tx_end from br where not canonical),
+ ib as (select i.isoform, i.start_pos, i.end_pos, (select max(p.b) from bounds p where p.isoform = i.isoform and p.b < d and not exists (select 1 from bounds z where z.isoform = i.isoform and z.b = d)) as lo, (select min(p.b) from bounds p where p.isoform = i.isoform and p.b > d) as hi from (select *, case when strand > 0 then start_pos else end_pos end as d from {{introns}}) i),
+ ic as (select isoform, start_pos, end_pos, case when lo is not null and hi is not null then lo else start_pos end as bs, case when lo is not null and hi is not null then hi else start_pos end as be from ib)
+ select o.sj_id, o.isoform, o.chrom, o.strand, i.start_pos, i.end_pos, o.tx_start, o.tx_end from own o join ic i on i.isoform = o.isoform where ({_CODE.replace('a.', 'o.').replace('b.', 'i.')}) = 0 and not (i.bs = o.bracket_start and i.be = o.bracket_end)
+ union all select sj_id, isoform, chrom, strand, start_pos, end_pos, tx_start, tx_end from own"""
+
+
+def rebuilt(fx):
+    return j.transcript_with_junction(j.canonical_junction(pairs(fx)).where("not canonical"))
+
+
+@query(f"select sj_id, isoform, {_CHAIN} as chain from {{rebuilt}} group by 1, 2")
+def transcript_with_junction(fx):
+    return j.transcript_text(rebuilt(fx)).select("sj_id", "isoform", F.col("text_positions").alias("chain"))
+
+
+def _exon_of(p):
+    return f"coalesce((select concat('exon_', min(f.num)) from {{feat}} f where f.isoform = i.isoform and {p} between f.start_pos and f.end_pos having min(f.num) is not null), 'None')"
+
+
+@query(f"select isoform, string_agg(concat({_exon_of('i.start_pos')}, ':', {_exon_of('i.end_pos')}), ' >> ' order by i.start_pos) as text_exons, count(*) as parsed from {{introns}} i group by 1")
+def transcript_text(fx):
+    df = j.transcript_text(j.canonical_transcript(transcripts(fx)))
+    df = j.parse_transcript_text(df.withColumnRenamed("chain", "given"))
+    return df.select("isoform", "text_exons", F.size(F.array_intersect("chain", "given")).alias("parsed"))
+
+
+@query("""with c as (select *, row_number() over (partition by sj_id, isoform order by start_pos) as k, count(*) over (partition by sj_id, isoform) as n, lead(start_pos) over (partition by sj_id, isoform order by start_pos) as nxt from {rebuilt}),
+ e as (select c.sj_id, c.isoform, case when start_pos <= tx_start then case when start_pos > tx_start then tx_start else start_pos - 100 end else tx_start end as lo, start_pos as hi from c where k = 1 union all
+  select sj_id, isoform, end_pos, nxt from c where k < n union all select sj_id, isoform, end_pos, case when end_pos >= tx_end then case when end_pos < tx_end then tx_end else end_pos + 100 end else tx_end end from c where k = n)
+ select e.sj_id, e.isoform, e.lo as exon_start, e.hi as exon_end, f.isoform is not null as canonical_exon from e left join {feat} f on f.isoform = e.isoform and f.start_pos = e.lo and f.end_pos = e.hi where e.lo <> e.hi""")
+def exons_from_junctions(fx):
+    df = j.exons_from_junctions(rebuilt(fx)).withColumn("x", F.explode("implied_exons"))
+    return df.select("sj_id", "isoform", F.col("x.start").alias("exon_start"), F.col("x.end").alias("exon_end"), F.col("x.canonical").alias("canonical_exon"))
+
+
+@query(f"""with a as (select *, row_number() over (partition by sample, isoform order by case when strand > 0 then start_pos else -end_pos end, start_pos, end_pos, sj_id) as n from {{assigned}} where not canonical), o as (select * from a where n = 1),
+ m as (select o.sample, o.isoform, o.sj_id, i.start_pos, i.end_pos, ({_CODE.replace('a.', 'o.').replace('b.', 'i.')}) > 0 as met, o.strand, case when o.strand > 0 then i.start_pos <= o.start_pos else i.end_pos >= o.end_pos end as up from o join {{introns}} i on i.isoform = o.isoform)
+ select o.sample, o.isoform, o.sj_id, coalesce(case when o.strand > 0 then min(m.start_pos) filter (met) else max(m.start_pos) filter (met) end, case when o.strand > 0 then max(m.start_pos) filter (up) else min(m.start_pos) filter (up) end) as canon_start,
+ coalesce(case when o.strand > 0 then min(m.end_pos) filter (met) else max(m.end_pos) filter (met) end, case when o.strand > 0 then max(m.end_pos) filter (up) else min(m.end_pos) filter (up) end) as canon_end from o left join m on m.sample = o.sample and m.isoform = o.isoform and m.sj_id = o.sj_id group by o.sample, o.isoform, o.sj_id, o.strand""")
+def fiveprime_aberrant_junction(fx):
+    out = j.fiveprime_aberrant_junction(assigned(fx), transcripts(fx))
+    return out.select("sample", "isoform", "sj_id", "canon_start", "canon_end")
+
+
+ORACLE_ONLY["edges"] = """select sample, isoform, sj_id, case when strand > 0 then a_num else b_num end as from_exon, case when strand > 0 then b_num else a_num end as to_exon, case when canonical then 0 else 1 end as penalty, n_exons from {assigned} where a_num is not null and b_num is not null"""
+ORACLE_ONLY["grown"] = """
+with recursive p as (select sample, isoform, n_exons, [sj_id] as path, to_exon as reached, penalty as cost from {edges} where from_exon = 1 and penalty <= 1 union all
+ select p.sample, p.isoform, p.n_exons, list_append(p.path, e.sj_id), e.to_exon, p.cost + e.penalty from p join {edges} e on e.sample = p.sample and e.isoform = p.isoform and e.from_exon = p.reached where not list_contains(p.path, e.sj_id) and p.cost + e.penalty <= 1)
+ select p.* from p where not exists (select 1 from {edges} e where e.sample = p.sample and e.isoform = p.isoform and e.from_exon = p.reached and not list_contains(p.path, e.sj_id)) or exists (select 1 from {edges} e where e.sample = p.sample and e.isoform = p.isoform and e.from_exon = p.reached and list_contains(p.path, e.sj_id))"""
+
+
+def paths(fx):
+    return j.transcript_paths(j.transcript_edges(assigned(fx)), 1)
+
+
+@query("select sample, isoform, array_to_string(path, '>') as path, reached, cost from {grown}")
+def transcript_paths(fx):
+    out = paths(fx)
+    return out.select("sample", "isoform", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "reached", "cost")
+
+
+@query("select sample, isoform, array_to_string(path, '>') as path, reached = n_exons as valid from {grown}")
+def transcript_validity(fx):
+    counts = transcripts(fx).select("isoform", F.size("exons").alias("exon_count"))
+    out = j.transcript_validity(paths(fx), counts)
+    return out.select("sample", "isoform", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "valid")
