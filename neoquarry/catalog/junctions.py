@@ -8,6 +8,7 @@ from ..fixtures import ORACLE_ONLY
 from ..operators import evidence as ev
 from ..operators import genemodels as g
 from ..operators import junctions as j
+from ..plans.rows import unroll
 from . import query
 from .genes import transcripts
 
@@ -234,10 +235,9 @@ def junction_evidence_ratios(fx):
     introns = g.constitutive_alternative(features).select(
         "gene", F.col("start_pos").alias("intron_start"), F.col("end_pos").alias("intron_end"), (F.col("kind") == "constitutive").alias("constitutive")
     )
-    genes = fx.reads.groupBy("chrom").agg(F.max("sample").alias("_x")).select("chrom")
     support = ev.gap_counts(fx.reads).select("sample", "chrom", F.col("start_pos").alias("intron_start"), F.col("end_pos").alias("intron_end"), F.col("unique_count").alias("reads"))
     named = features.select("gene", "chrom", F.col("start_pos").alias("intron_start"), F.col("end_pos").alias("intron_end")).distinct()
-    support = support.join(named, ["chrom", "intron_start", "intron_end"]).join(genes, "chrom").drop("chrom")
+    support = support.join(named, ["chrom", "intron_start", "intron_end"]).drop("chrom")
     out = j.junction_evidence_ratios(fx.junctions, introns, support)
     return out.select("sj_id", *[F.round(c, 6).alias(c) for c in ("aberrant_canonical", "aberrant_constitutive", "overlap_constitutive")])
 
@@ -304,7 +304,7 @@ def transcript_text(fx):
   select sj_id, isoform, end_pos, nxt from c where k < n union all select sj_id, isoform, end_pos, case when end_pos >= tx_end then case when end_pos < tx_end then tx_end else end_pos + 100 end else tx_end end from c where k = n)
  select e.sj_id, e.isoform, e.lo as exon_start, e.hi as exon_end, f.isoform is not null as canonical_exon from e left join {feat} f on f.isoform = e.isoform and f.start_pos = e.lo and f.end_pos = e.hi where e.lo <> e.hi""")
 def exons_from_junctions(fx):
-    df = j.exons_from_junctions(rebuilt(fx)).withColumn("x", F.explode("implied_exons"))
+    df = unroll(j.exons_from_junctions(rebuilt(fx)), "x", "implied_exons")
     return df.select("sj_id", "isoform", F.col("x.start").alias("exon_start"), F.col("x.end").alias("exon_end"), F.col("x.canonical").alias("canonical_exon"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.intervals import EXON_BIN, overlap_join
+from ..plans.rows import unroll
 
 UNIQUE_MAPQ = 50  # fixed value: mapping quality of a unique hit
 
@@ -35,7 +36,7 @@ def aligned_parts(reads: DataFrame) -> DataFrame:
 
 def gap_counts(reads: DataFrame) -> DataFrame:
     """Reads per sample and gap: all, NH = 1, top quality, distinct placements."""
-    gaps = aligned_parts(reads).withColumn("g", F.explode("gaps"))
+    gaps = unroll(aligned_parts(reads), "g", "gaps")
     return gaps.groupBy(
         "sample", "chrom", F.col("g.start").alias("start_pos"), F.col("g.end").alias("end_pos")
     ).agg(
@@ -57,7 +58,7 @@ def junction_block_support(junctions: DataFrame, reads: DataFrame) -> DataFrame:
     shapes = aligned_parts(reads).withColumn("edges", edges).groupBy("sample", "chrom", "edges").agg(
         F.count(F.lit(1)).alias("_all"), F.count_if(F.col("mapq") == UNIQUE_MAPQ).alias("_top")
     )
-    at_start = shapes.withColumn("start_pos", F.explode(F.array_distinct("edges")))
+    at_start = unroll(shapes, "start_pos", F.array_distinct("edges"))
     places = junctions.select("sample", "chrom", "start_pos", "end_pos").distinct()
     support = (
         places.join(at_start, ["sample", "chrom", "start_pos"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models as m
 from ..plans.intervals import GENE_BIN, overlap_join
+from ..plans.rows import unroll
 from .evidence import library_size, region_read_counts
 
 COUNTS = ("read_span", "read_mate", "read_break")
@@ -132,7 +133,7 @@ def fusion_exons(df: DataFrame, transcripts: DataFrame, side: str) -> DataFrame:
     lo = F.when(upper, pos).otherwise(F.col("tx_start"))
     hi = F.when(upper, F.col("tx_end")).otherwise(pos)
     edge = "_x.end" if side == "a" else "_x.start"
-    return rows.withColumn("_x", F.explode("exons")).select(
+    return unroll(rows, "_x", "exons").select(
         *df.columns, F.lit(side).alias("side"), F.col("_x.num").alias("exon_num"), F.col("_x.start").alias("exon_start"),
         F.col("_x.end").alias("exon_end"), F.col(edge).between(lo, hi).alias("kept"),
     )
@@ -201,7 +202,7 @@ def kinase_introns(kinase_exons: DataFrame) -> DataFrame:
 
     inner = F.slice("_x", 1, F.greatest(F.size("_x") - 1, F.lit(0)))
     gaps = F.transform(inner, gap)
-    return packed.select("gene", "isoform", F.explode(gaps).alias("g")).select("gene", "isoform", "g.*")
+    return unroll(packed, "g", gaps).select("gene", "isoform", "g.*")
 
 
 def id_type(column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import models as m
 from ..functions.sequence import col
 from ..plans.intervals import GENE_BIN, overlap_join
+from ..plans.rows import unroll
 
 TRANSCRIPT_KEY = ["isoform", "chrom", "tx_start"]
 
@@ -69,16 +70,12 @@ def exon_intron_features(transcripts: DataFrame) -> DataFrame:
         tagged(F.col("exons"), "exon", lambda e: e["frame"]),
         tagged(m.introns("exons", "strand"), "intron", lambda e: F.lit(None)),
     )
-    return transcripts.select("gene", "isoform", "chrom", "strand", "db", F.explode(rows).alias("f")).select(
-        "gene", "isoform", "chrom", "strand", "db", "f.*"
-    )
+    return unroll(transcripts, "f", rows).select("gene", "isoform", "chrom", "strand", "db", "f.*")
 
 
 def cds_segments(transcripts: DataFrame) -> DataFrame:
     """Coding part of each exon, with 0-based and 1-based starts."""
-    return transcripts.select("gene", "isoform", "chrom", "strand", F.explode("exons").alias("e")).where(
-        "e.cds_start is not null"
-    ).select(
+    return unroll(transcripts, "e", "exons").where("e.cds_start is not null").select(
         "gene", "isoform", "chrom", "strand", F.col("e.num").alias("feat_num"), F.col("e.start").alias("exon_start"),
         F.col("e.end").alias("exon_end"), F.col("e.cds_start").alias("cds_start"),
         (F.col("e.cds_start") + 1).alias("cds_start_1"), F.col("e.cds_end").alias("cds_end"),
@@ -281,9 +278,7 @@ def adjacent_splice_sites(df: DataFrame, position: str = "pos") -> DataFrame:
 def donor_acceptor_sites(transcripts: DataFrame) -> DataFrame:
     """Every intron as a donor and acceptor pair."""
     plus = F.col("strand") > 0
-    return transcripts.select(
-        "gene", "isoform", "chrom", "strand", "db", F.explode(m.introns("exons", "strand")).alias("i")
-    ).select(
+    return unroll(transcripts, "i", m.introns("exons", "strand")).select(
         "gene", "isoform", "chrom", "strand", "db", F.col("i.num").alias("feat_num"), F.col("i.start").alias("start_pos"),
         F.col("i.end").alias("end_pos"), F.when(plus, F.col("i.start")).otherwise(F.col("i.end")).alias("donor"),
         F.when(plus, F.col("i.end")).otherwise(F.col("i.start")).alias("acceptor"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models as m
 from ..plans.intervals import GENE_BIN, overlap_join
+from ..plans.rows import unroll
 
 START, END, STRAND = "start_pos", "end_pos", "strand"
 INTRONIC, EXONIC, FRAMESHIFT = 500, 100, 200  # fixed values: aberration scores
@@ -231,7 +232,7 @@ def missing_exons(df: DataFrame) -> DataFrame:
     )
     first = F.transform(m.holding("exons", s, "withinElem"), lambda x: row("cut", x, s, x["end"]))
     last = F.transform(m.holding("exons", e, "withinElem"), lambda x: row("cut", x, x["start"], e))
-    return df.withColumn("_m", F.explode(F.concat(whole, first, last))).select(
+    return unroll(df, "_m", F.concat(whole, first, last)).select(
         *df.columns, F.col("_m.kind").alias("missing_kind"), F.col("_m.num").alias("missing_num"),
         F.col("_m.lo").alias("missing_start"), F.col("_m.hi").alias("missing_end"),
     )
@@ -243,7 +244,7 @@ def retained_introns(df: DataFrame) -> DataFrame:
     row = lambda side, x, lo, hi: F.struct(F.lit(side).alias("side"), x["num"].alias("num"), lo.alias("lo"), hi.alias("hi"))
     first = F.transform(m.holding(_gaps(), s, "withinElem"), lambda x: row("start", x, x["start"], s))
     last = F.transform(m.holding(_gaps(), e, "withinElem"), lambda x: row("end", x, e, x["end"]))
-    return df.withColumn("_m", F.explode(F.concat(first, last))).select(
+    return unroll(df, "_m", F.concat(first, last)).select(
         *df.columns, F.col("_m.side").alias("retained_side"), F.col("_m.num").alias("retained_num"),
         F.col("_m.lo").alias("retained_start"), F.col("_m.hi").alias("retained_end"),
     )
@@ -324,7 +325,7 @@ def junction_sample_prevalence(junctions: DataFrame, controls: list[str], min_re
 def samples_above_threshold(df: DataFrame, threshold: int, controls: list[str], samples: str = "samples", counts: str = "counts") -> DataFrame:
     """Parallel comma lists to rows with enough reads, controls marked."""
     pairs = F.arrays_zip(F.split(samples, ",").alias("s"), F.split(counts, ",").alias("n"))
-    out = df.withColumn("_p", F.explode(pairs)).withColumns(
+    out = unroll(df, "_p", pairs).withColumns(
         {"sample": F.trim(F.col("_p.s")), "reads": F.trim(F.col("_p.n")).try_cast("bigint")}
     )
     return out.where(F.col("reads") >= threshold).withColumn("is_control", F.col("sample").isin(controls)).drop("_p", samples, counts)
@@ -344,28 +345,34 @@ def group_by_splice_site(df: DataFrame, side: str = "donor", canonical_only: boo
     )
 
 
-def bracket_of(start=START, end=END, closed_left: bool = False) -> Column:
-    """Struct (lo, hi): the bin between neighbouring acceptors that holds the donor, else (start, start)."""
-    s = F.col(start) if isinstance(start, str) else start
-    e = F.col(end) if isinstance(end, str) else end
-    bounds = F.array_sort(
-        F.concat(
-            F.transform(_gaps(), lambda g: F.when(F.col(STRAND) > 0, g["end"]).otherwise(g["start"])),
-            F.array("tx_start", "tx_end"),
+def acceptor_bounds() -> Column:
+    """Sorted acceptors of the isoform and the ends of the transcript."""
+    acceptor = lambda g: F.when(F.col(STRAND) > 0, g["end"]).otherwise(g["start"])
+    return F.array_sort(F.concat(F.transform(_gaps(), acceptor), F.array("tx_start", "tx_end")))
+
+
+def bracket_of(bounds: Column, start: Column, end: Column, closed_left: bool = False) -> Column:
+    """Struct (lo, hi): the bin between neighbouring bounds that holds the donor, else (start, start)."""
+    donor = F.when(_plus(), start).otherwise(end)
+    below = F.filter(bounds, lambda b: b <= donor)
+    above = F.filter(bounds, lambda b: b > donor)
+
+    def pick(below, above):
+        lo = F.get(below, F.size(below) - 1)
+        placed = (F.size(below) > 0) & (F.size(above) > 0)
+        if not closed_left:
+            placed = placed & (lo != donor)
+        return F.struct(
+            F.when(placed, lo).otherwise(start).alias("lo"), F.when(placed, F.get(above, F.lit(0))).otherwise(start).alias("hi")
         )
-    )
-    donor = F.when(_plus(), s).otherwise(e)
-    below = F.array_max(F.filter(bounds, lambda b: (b <= donor) if closed_left else (b < donor)))
-    above = F.array_min(F.filter(bounds, lambda b: b > donor))
-    on_edge = F.array_contains(bounds, donor)
-    placed = below.isNotNull() & above.isNotNull() & (F.lit(True) if closed_left else ~on_edge)
-    return F.struct(F.when(placed, below).otherwise(s).alias("lo"), F.when(placed, above).otherwise(s).alias("hi"))
+
+    return pick(below, above)
 
 
 def acceptor_brackets(df: DataFrame, closed_left: bool = False) -> DataFrame:
-    return df.withColumn("_b", bracket_of(closed_left=closed_left)).withColumns(
-        {"bracket_start": F.col("_b.lo"), "bracket_end": F.col("_b.hi")}
-    ).drop("_b")
+    out = df.withColumn("_bounds", acceptor_bounds())
+    out = out.withColumn("_b", bracket_of(F.col("_bounds"), F.col(START), F.col(END), closed_left))
+    return out.withColumns({"bracket_start": F.col("_b.lo"), "bracket_end": F.col("_b.hi")}).drop("_b", "_bounds")
 
 
 def junction_dominance(df: DataFrame, canonical_only: bool = False, key: str = "sj_id") -> DataFrame:
@@ -470,18 +477,18 @@ def canonical_transcript(transcripts: DataFrame) -> DataFrame:
 def transcript_with_junction(df: DataFrame, competing: bool = True) -> DataFrame:
     """Canonical chain without the introns the junction overlaps (and, if ``competing``, without others in its bracket), plus the junction."""
     s, e = F.col(START), F.col(END)
-    out = df.withColumn("_own", bracket_of())
-    own = F.col("_own")
+    out = df.withColumns({"_gaps": _gaps(), "_bounds": acceptor_bounds()})
+    out = out.withColumn("_own", bracket_of(F.col("_bounds"), s, e))
 
     def stays(g):
         free = overlap_code(s, e, g["start"], g["end"]) == 0
         if not competing:
             return free
-        other = bracket_of(g["start"], g["end"])
-        return free & ~((other["lo"] == own["lo"]) & (other["hi"] == own["hi"]))
+        return free & (bracket_of(F.col("_bounds"), g["start"], g["end"]) != F.col("_own"))
 
-    chain = F.array_sort(F.concat(chain_of(F.filter(_gaps(), stays)), F.array(F.struct(s.alias("start"), e.alias("end")))))
-    return out.withColumn("chain", chain).drop("_own")
+    kept = F.filter("_gaps", stays)
+    chain = F.array_sort(F.concat(chain_of(kept), F.array(F.struct(s.alias("start"), e.alias("end")))))
+    return out.withColumn("chain", chain).drop("_own", "_gaps", "_bounds")
 
 
 def transcript_edges(assigned: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import col
 from ..plans.ordered import strict_percentiles, with_ranks
+from ..plans.rows import unroll
 
 # Upper ic50 limits of the affinity categories.
 AFFINITY_LIMITS = {"HIGH": 50, "MID": 500, "LOW": 5000}
@@ -105,9 +106,8 @@ def protein_kmers(proteome: DataFrame, lengths: list[int], protein: str = "prote
             lambda i: F.struct(i.alias("start"), F.substring(F.col(protein), i, F.lit(k)).alias("peptide")),
         )
 
-    return proteome.select(
-        *[c for c in proteome.columns if c != protein], F.explode(F.concat(*[windows(k) for k in lengths])).alias("w")
-    ).select("*", "w.start", "w.peptide").drop("w")
+    rows = unroll(proteome, "w", F.concat(*[windows(k) for k in lengths]))
+    return rows.select(*[c for c in proteome.columns if c != protein], "w.start", "w.peptide")
 
 
 def _wanted_kmers(peptides: DataFrame, proteome: DataFrame, lengths: list[int]) -> tuple[DataFrame, DataFrame]:

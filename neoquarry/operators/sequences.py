@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import coding as c
 from ..functions import models as m
 from ..functions.sequence import codon_end, codon_start, cut, piece, reverse_complement, translate_cds
+from ..plans.rows import unroll
 from .genemodels import TRANSCRIPT_KEY
 
 CHUNK = 65_536
@@ -26,10 +27,10 @@ def transcript_sequence(
     keys = keys or TRANSCRIPT_KEY
     parts = m.coding("exons") if elements is None else elements
     cuts = (
-        transcripts.select(*keys, F.explode(parts).alias("p"))
+        unroll(transcripts.select(*keys, parts.alias("_parts")), "p", "_parts")
         .select(*keys, F.col("p.start").alias("_s"), F.col("p.end").alias("_e"))
-        .withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_s") / chunk), F.floor((F.col("_e") - 1) / chunk))))
     )
+    cuts = unroll(cuts, "chunk", F.sequence(F.floor(F.col("_s") / chunk), F.floor((F.col("_e") - 1) / chunk)))
     first = F.col("chunk") * chunk
     lo = F.greatest(F.col("_s") - first, F.lit(0))
     hi = F.least(F.col("_e") - first, F.lit(chunk))
@@ -173,8 +174,7 @@ def longest_orf(df: DataFrame, seq: str = "cds") -> DataFrame:
     )
     best = F.array_max(F.transform("_orfs", lambda o: F.length(o["orf_protein"])))
     return (
-        df.withColumn("_orfs", found)
-        .withColumn("_orf", F.explode(F.filter("_orfs", lambda o: F.length(o["orf_protein"]) == best)))
+        unroll(df.withColumn("_orfs", found), "_orf", F.filter("_orfs", lambda o: F.length(o["orf_protein"]) == best))
         .select(*df.columns, "_orf.orf_start", "_orf.orf_protein")
     )
 
@@ -295,7 +295,7 @@ def peptide_windows(
     """
     last = F.length(altered) - size
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    out = df.withColumn("window_start", F.explode(starts)).withColumns(
+    out = unroll(df, "window_start", starts).withColumns(
         {
             "window_frame": F.concat(
                 F.col("window_start").cast("string"), F.lit(":"), (F.col("window_start") + size).cast("string")

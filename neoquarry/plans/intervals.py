@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import unroll
+
 EXON_BIN = 16_384
 GENE_BIN = 131_072
 
@@ -12,7 +14,7 @@ GENE_BIN = 131_072
 def _binned(df: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
     first = F.floor(F.col(start) / width)
     last = F.greatest(first, F.floor(F.col(end) / width))
-    return df.withColumn(f"{name}_first", first).withColumn(f"{name}_bin", F.explode(F.sequence(first, last)))
+    return unroll(df.withColumn(f"{name}_first", first), f"{name}_bin", F.sequence(first, last))
 
 
 def overlap_join(
