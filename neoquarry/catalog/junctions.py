@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..fixtures import ORACLE_ONLY
 from ..operators import evidence as ev
 from ..operators import genemodels as g
+from ..operators import junction_products as jp
 from ..operators import junctions as j
 from ..plans.rows import unroll
+from ..operators import sequences as sequence_ops
 from . import query
 from .genes import transcripts
+from .sequences import CHUNK, sql_translate
 
 CONTROLS = ["S0", "S1"]
 
@@ -339,3 +342,80 @@ def transcript_validity(fx):
     counts = transcripts(fx).select("isoform", F.size("exons").alias("exon_count"))
     out = j.transcript_validity(paths(fx), counts)
     return out.select("sample", "isoform", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "valid")
+
+
+# ---- products of aberrant junctions -----------------------------------------------------------
+
+ORACLE_ONLY["aex"] = """with c as (select *, row_number() over (partition by sj_id, isoform order by start_pos) as k, count(*) over (partition by sj_id, isoform) as n, lead(start_pos) over (partition by sj_id, isoform order by start_pos) as nxt from {rebuilt})
+ select * from (select sj_id, isoform, chrom, strand, case when start_pos <= tx_start then start_pos - 100 else tx_start end as lo, start_pos as hi from c where k = 1 union all select sj_id, isoform, chrom, strand, end_pos, nxt from c where k < n
+  union all select sj_id, isoform, chrom, strand, end_pos, case when end_pos >= tx_end then end_pos + 100 else tx_end end from c where k = n) q where lo <> hi"""
+
+
+def _spliced(table, keys, name):
+    cols = ", ".join(keys)
+    return f"""{name} as (select {cols}, strand, case when strand > 0 then t else reverse(translate(t, 'ACGT', 'TGCA')) end as s from (select {', '.join('x.' + k for k in keys)}, x.strand,
+ string_agg(substr(g.seq, cast(greatest(lo - chunk * {CHUNK}, 0) + 1 as bigint), cast(least(hi - chunk * {CHUNK}, {CHUNK}) - greatest(lo - chunk * {CHUNK}, 0) as bigint)), '' order by lo, chunk) as t, count(*) as pieces, sum(least(hi - chunk * {CHUNK}, {CHUNK}) - greatest(lo - chunk * {CHUNK}, 0)) as got, max(x.total) as total
+ from (select *, sum(hi - lo) over (partition by {cols}) as total from {table}) x join {{genome}} g on g.chrom = x.chrom and g.chunk between floor(lo / {CHUNK}.0) and floor((hi - 1) / {CHUNK}.0) group by {', '.join('x.' + k for k in keys)}, x.strand) q where got = total)"""
+
+
+_BEFORE = "(select sum(greatest(0, least(case when y.strand > 0 then {p} - 1 - y.lo else y.hi - {p} end, y.hi - y.lo))) from {t} y where {w})"
+ORACLE_ONLY["jn"] = f"""
+with cex as (select isoform, chrom, strand, start_pos as lo, end_pos as hi from {{features}}), {_spliced('cex', ['isoform'], 'cseq')}, {_spliced('{aex}', ['sj_id', 'isoform'], 'aseq')},
+ k as (select distinct v.sj_id, v.isoform, v.chrom, v.strand, v.start_pos, v.end_pos, case when v.strand > 0 then v.coding_start + 1 else v.coding_end end as first, case when v.strand > 0 then v.start_pos else v.end_pos + 1 end as donor from {{jx}} v where not v.canonical and v.coding_start is not null),
+ o as (select k.*, cs.s as mrna, als.s as mrna_alt, cast({_BEFORE.format(p='k.first', t='cex', w='y.isoform = k.isoform')} as bigint) as oc,
+  cast(case when exists (select 1 from {{aex}} z where z.sj_id = k.sj_id and z.isoform = k.isoform and z.lo < k.first and k.first <= z.hi) then {_BEFORE.format(p='k.first', t='{aex}', w='y.sj_id = k.sj_id and y.isoform = k.isoform')} end as bigint) as oa,
+  cast({_BEFORE.format(p='k.donor', t='{aex}', w='y.sj_id = k.sj_id and y.isoform = k.isoform')} + 1 as bigint) as oj,
+  cast((select sum(y.hi - y.lo) - arg_max(y.hi - y.lo, y.strand * y.lo) - 1 from {{aex}} y where y.sj_id = k.sj_id and y.isoform = k.isoform) as bigint) as pend
+  from k join cseq cs on cs.isoform = k.isoform join aseq als on als.sj_id = k.sj_id and als.isoform = k.isoform)
+ select *, substr(mrna, oc + 1) as cds, substr(mrna_alt, oa + 1) as cds_alt, oj - 1 - oa as v, pend - 50 - oa as bd from o where oa is not null"""
+ORACLE_ONLY["jnp"] = f"""select sj_id, isoform, substr(mrna_alt, greatest(oj - 27, 0) + 1, oj - greatest(oj - 27, 0)) as nuc_before, substr(mrna_alt, oj + 1, 27) as nuc_after, {sql_translate('cds')} as po, {sql_translate('cds_alt')} as pa, cds, cds_alt,
+ case when v >= 0 and bd >= 0 and v < bd then substr(cds_alt, v - v % 3 + 1, bd - bd % 3 + 3 - (v - v % 3)) end as sens, case when v >= 0 and bd >= 0 then substr(cds_alt, case when v > bd then v - v % 3 else bd - bd % 3 + 3 end + 1) end as irr from {{jn}}"""
+
+
+def products(fx):
+    return jp.junction_neoepitopes(rebuilt(fx), transcripts(fx), fx.genome, CHUNK)
+
+
+@query(f"""select sj_id, isoform, nuc_before, nuc_after, coalesce(list_min(list_filter(range(0, least(length(po), length(pa))), lambda i: substr(po, cast(i as bigint) + 1, 1) <> substr(pa, cast(i as bigint) + 1, 1))), -1) as diverged, {sql_translate('sens')} as sensitive_aa, {sql_translate('irr')} as irrelevant_aa,
+ position('*' in {sql_translate('sens')}) > 0 as nmd, position('*' in {sql_translate('irr')}) = 0 as nsd from {{jnp}}""")
+def junction_neoepitopes(fx):
+    return products(fx).select(
+        "sj_id", "isoform", "nuc_before", "nuc_after", "diverged", "sensitive_aa", "irrelevant_aa", F.col("bool_NMD").alias("nmd"), F.col("bool_NSD").alias("nsd")
+    )
+
+
+@query(None)
+def junction_neoepitope_windows(fx):
+    """Altered and original peptides of the differing windows, with the genome range of the window."""
+    out = products(fx)
+    windows = sequence_ops.peptide_windows(out)
+    return windows.select("sj_id", "isoform", "window_range", "window_start", "peptide_alt", "peptide_orig")
+
+
+_NOTES = "select distinct concat('I', cast(cast(floor(variant_id / 4.0) as bigint) as string)) as isoform, cds_start - 1 as position, concat(case change_type when 1 then 'insertion ' when 2 then 'deletion ' else 'mutation ' end, alt) as note from {sequences} where cds_start is not null"
+_NOTED = "select concat('I', cast(cast(floor(variant_id / 4.0) as bigint) as string)) as isoform, min(concat(cds, 'A')) as cds from {sequences} group by 1"
+
+
+@query(f"""with e as (select isoform, codon, string_agg(note, ',' order by note) as n from (select distinct isoform, cast(floor(position / 3.0) as bigint) as codon, note from ({_NOTES}) q) r group by 1, 2), s as ({_NOTED}),
+ c as (select s.isoform, s.cds, i as codon, substr(s.cds, cast(i as bigint) * 3 + 1, 3) as t from s, unnest(range(0, cast(ceil(length(s.cds) / 3.0) as bigint))) u(i))
+ select c.isoform, string_agg(concat(t, case when e.n is not null then concat('[', e.n, ']') else '' end), ' ' order by c.codon) as marked_sequence,
+ string_agg(concat({sql_translate('t')}, case when e.n is not null then concat('[', e.n, ']') else '' end), '' order by c.codon) filter (length(t) = 3) as marked_protein from c left join e on e.isoform = c.isoform and e.codon = c.codon group by c.isoform""")
+def transcript_event_notes(fx):
+    out = jp.transcript_event_notes(fx.sql(_NOTED), fx.sql(_NOTES))
+    return out.select("isoform", "marked_sequence", "marked_protein")
+
+
+@query("""with dens as (select r.isoform, r.num, r.gene, s.sample, sum(1) * 1e9 as n, r.end_pos - r.start_pos as len from {elements} r join {spans} s on s.chrom = r.chrom and r.start_pos < s.ref_end and s.ref_start < r.end_pos where r.feat_type = 'exon' group by r.isoform, r.num, r.gene, s.sample, r.end_pos - r.start_pos),
+ d as (select dens.isoform, dens.num, dens.gene, dens.sample, n / (l.library * len) as density from dens join (select sample, count(*) as library from {reads} group by 1) l on l.sample = dens.sample),
+ t as (select x.sj_id, x.sample, x.gene, avg(d.density) as v from {jx} x join {feat} f on f.isoform = x.isoform and f.num > least(x.a_num, x.b_num) and f.num < greatest(x.a_num, x.b_num) join d on d.isoform = f.isoform and d.num = f.num and d.sample = x.sample where x.a_num is not null and x.b_num is not null group by 1, 2, 3),
+ b as (select sample, gene, avg(density) as c from d where num = 1 group by 1, 2)
+ select t.sj_id, t.sample, t.gene, round(case when coalesce(c, 1) <> 0 then v / coalesce(c, 1) end, 6) as density_ratio from t left join b on b.sample = t.sample and b.gene = t.gene""")
+def density_evidence(fx):
+    exons = g.exon_intron_features(transcripts(fx)).where("feat_type = 'exon'")
+    regions = exons.select(
+        F.concat_ws(":", "isoform", F.col("feat_num").cast("string")).alias("region_id"), "gene", "isoform", "feat_num", "chrom", F.col("start_pos").alias("region_start"), F.col("end_pos").alias("region_end")
+    )
+    dens = ev.read_density(regions, fx.reads, ["region_id", "gene", "isoform", "feat_num"], counted="all_reads").select("sample", "gene", "isoform", "feat_num", "density")
+    skipped = j.missing_exons(pairs(fx)).where("missing_kind = 'skipped'").select("sj_id", "sample", "gene", "isoform", F.col("missing_num").alias("feat_num"))
+    out = j.density_evidence(skipped.join(dens, ["sample", "gene", "isoform", "feat_num"]), dens.where("feat_num = 1"))
+    return out.withColumn("density_ratio", F.round("density_ratio", 6))

@@ -114,3 +114,30 @@ def frame_at(exons, strand, position, direction) -> Column:
         .when((p > part["start"]) & (p <= part["end"]), F.pmod(distance + part["frame"], F.lit(3)))
         .cast("int")
     )
+
+
+def spliced_length(parts) -> Column:
+    return F.aggregate(col(parts), F.lit(0).cast("bigint"), lambda a, e: a + e["end"] - e["start"])
+
+
+def spliced_offset(parts, strand, position) -> Column:
+    """0-based offset of a 1-based position in the joined spans of any element array; null outside."""
+    p, e = col(position), col(parts)
+    inside = F.exists(e, lambda x: (x["start"] < p) & (p <= x["end"]))
+    return F.when(inside, bases_before(e, strand, p))
+
+
+def spliced_position(parts, strand, offset) -> Column:
+    """1-based genome position of a 0-based offset in the joined spans; null outside."""
+    e, o, plus = col(parts), col(offset), col(strand) > 0
+    ordered = F.when(plus, e).otherwise(F.reverse(e))
+    zero = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("pos"))
+
+    def step(acc, x):
+        size = x["end"] - x["start"]
+        local = o - acc["seen"]
+        here = F.when(plus, x["start"] + 1 + local).otherwise(x["end"] - local)
+        hit = (local >= 0) & (local < size)
+        return F.struct((acc["seen"] + size).alias("seen"), F.when(hit, here).otherwise(acc["pos"]).alias("pos"))
+
+    return F.aggregate(ordered, zero, step)["pos"]
