@@ -10,6 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.rows import pinned
+from .session import spread
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -133,9 +136,12 @@ class Fixtures:
             raise AttributeError(name)
         if name not in self._frames:
             if name in BASE_TABLES:
-                frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                frame = spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
             else:
                 frame = self.sql(PROJECTIONS[name])
+                if name == "sequences":
+                    # a stored column in real tables: compute it once per row, not once per use
+                    frame = pinned(frame, {"cds": frame["cds"]})
             self._frames[name] = frame
         return self._frames[name]
 

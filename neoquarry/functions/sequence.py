@@ -10,6 +10,12 @@ BASE_ORDER = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
+def codon_table() -> dict[str, str]:
+    """Codon to amino acid, from the code string."""
+    codons = [a + b + c for a in BASE_ORDER for b in BASE_ORDER for c in BASE_ORDER]
+    return dict(zip(codons, AMINO_ACIDS))
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -34,16 +40,11 @@ def reverse_complement(seq) -> Column:
 def translate_cds(seq, to_stop: bool = False) -> Column:
     """Protein of a coding sequence: ``*`` for stops, ``X`` for codons with unknown bases, partial codons ignored.
 
-    One pass cuts the codons; each codon then is a base-4 number into the code table.
+    One pass cuts the codons; each codon is looked up in the code table.
     """
-    codons = F.regexp_extract_all(F.translate(F.upper(col(seq)), BASE_ORDER + "U", "01230"), F.lit(".{3}"), F.lit(0))
-
-    def residue(codon):
-        digit = lambda i: F.ascii(F.substring(codon, i, 1)) - 48
-        index = digit(1) * 16 + digit(2) * 4 + digit(3) + 1
-        return F.when(F.translate(codon, "0123", "") == "", F.substring(F.lit(AMINO_ACIDS), index, F.lit(1))).otherwise("X")
-
-    protein = F.array_join(F.transform(codons, residue), "")
+    codons = F.regexp_extract_all(F.translate(F.upper(col(seq)), "U", "T"), F.lit(".{3}"), F.lit(0))
+    table = F.create_map(*[F.lit(x) for pair in codon_table().items() for x in pair])
+    protein = F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
     return F.substring_index(protein, "*", 1) if to_stop else protein
 
 

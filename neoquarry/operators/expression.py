@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import with_strict_percentile
+from ..plans.ordered import BUCKETS, with_strict_percentile
 
 
 def unpivot_expression(df: DataFrame, gene: str, conditions: list[str]) -> DataFrame:
@@ -13,7 +13,7 @@ def unpivot_expression(df: DataFrame, gene: str, conditions: list[str]) -> DataF
     return df.unpivot([gene], conditions, "condition", "express")
 
 
-def expression_percentile(df: DataFrame, condition: str = "condition", value: str = "express", buckets: int = 256) -> DataFrame:
+def expression_percentile(df: DataFrame, condition: str = "condition", value: str = "express", buckets: int = BUCKETS) -> DataFrame:
     """Strict percentile of each gene among the expressed genes of its condition; 0 for genes not expressed."""
     expressed = df.where(F.col(value) > 0)
     ranked = with_strict_percentile(df, expressed.select(condition, value), [condition], value, "percentile", buckets=buckets)
@@ -42,7 +42,7 @@ def isoform_expression(wanted: DataFrame, table: DataFrame, samples: list[str],
     return joined.select(*wanted.columns, *picked)
 
 
-def sample_expression_percentile(df: DataFrame, sample: str = "sample", value: str = "express", buckets: int = 256) -> DataFrame:
+def sample_expression_percentile(df: DataFrame, sample: str = "sample", value: str = "express", buckets: int = BUCKETS) -> DataFrame:
     """Strict percentile against the distinct positive values of the sample."""
     distinct = df.where(F.col(value) > 0).select(sample, value).distinct()
     return with_strict_percentile(df, distinct, [sample], value, "percentile", buckets=buckets)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import coding as c
 from ..functions import models as m
 from ..functions.sequence import cut, translate_cds
+from ..plans.rows import pinned
 from .genemodels import TRANSCRIPT_KEY
 from .junctions import exons_from_junctions
 from .sequences import CHUNK, altered_region, comparative_neoepitopes, transcript_sequence
@@ -34,12 +35,13 @@ def junction_neoepitopes(
     rows = rows.where(F.exists("exons", lambda e: e["cds_start"].isNotNull())).withColumn("_first", first)
     donor = F.when(plus, F.col("start_pos")).otherwise(F.col("end_pos") + 1)
     last = F.when(plus, F.element_at("implied_exons", -1)).otherwise(F.get("implied_exons", F.lit(0)))
-    rows = rows.withColumns(
+    rows = pinned(
+        rows,
         {
             "_oc": m.spliced_offset("exons", "strand", "_first"), "_oa": m.spliced_offset("implied_exons", "strand", "_first"),
             "_oj": m.spliced_offset("implied_exons", "strand", donor) + 1,
             "_end": m.spliced_length("implied_exons") - (last["end"] - last["start"]) - 1,
-        }
+        },
     ).where("_oc is not null and _oa is not null and mrna is not null and mrna_alt is not null")
     whole = lambda text, start: cut(text, F.col(start).cast("int"), F.length(text))
     rows = rows.withColumns({"cds": whole("mrna", "_oc"), "cds_alt": whole("mrna_alt", "_oa")})

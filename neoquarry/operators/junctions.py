@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models as m
 from ..plans.intervals import GENE_BIN, overlap_join
-from ..plans.rows import unroll
+from ..plans.rows import pinned, unroll
 
 START, END, STRAND = "start_pos", "end_pos", "strand"
 INTRONIC, EXONIC, FRAMESHIFT = 500, 100, 200  # fixed values: aberration scores
@@ -42,7 +42,7 @@ def is_canonical(start=START, end=END) -> Column:
 
 
 def canonical_junction(df: DataFrame) -> DataFrame:
-    return df.withColumn("canonical", is_canonical())
+    return pinned(df, {"canonical": is_canonical()})
 
 
 def canonical_sources(junctions: DataFrame, sites: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def frames(df: DataFrame, start: Column, end: Column) -> DataFrame:
     """``rf_start``, ``rf_end`` in reading direction and whether the frame goes on (null if one is missing)."""
     a = F.when(_plus(), m.frame_at("exons", STRAND, start, -1)).otherwise(m.frame_at("exons", STRAND, end, 1))
     b = F.when(_plus(), m.frame_at("exons", STRAND, end, 1)).otherwise(m.frame_at("exons", STRAND, start, -1))
-    out = df.withColumns({"rf_start": a, "rf_end": b})
+    out = pinned(df, {"rf_start": a, "rf_end": b})
     return out.withColumn("frame_preserved", F.pmod(F.col("rf_start") + 1, F.lit(3)) == F.col("rf_end"))
 
 
@@ -98,12 +98,13 @@ def aberration_class(df: DataFrame, intronic: bool = False, legacy_skip_score: b
     left, right = exon_at(s, 0), exon_at(e, 0)
     at_start = m.place(s, left["start"], left["end"])
     at_end = m.place(e, right["start"], right["end"])
-    out = frames(df, s, e).withColumns(
+    out = pinned(
+        frames(df, s, e),
         {
             "exon_start": F.when(at_start == "exonRight", "exon_canon").otherwise(at_start),
             "exon_end": F.when(at_end == "exonLeft", "exon_canon").otherwise(at_end),
             "exon_skip": skipped(s, e),
-        }
+        },
     )
     off = F.col("exon_start").isNull() | F.col("exon_end").isNull()
     inner = (F.col("exon_start") != "exon_canon") | (F.col("exon_end") != "exon_canon")
@@ -129,7 +130,7 @@ def assign_isoforms(df: DataFrame, key: str = "sj_id", intronic: bool = False) -
 
     A junction meets only the isoforms of its gene, so the groups stay small.
     """
-    scored = aberration_class(df, intronic=True).withColumn("canonical", is_canonical())
+    scored = aberration_class(pinned(df, {"canonical": is_canonical()}), intronic=True)
     if not intronic:
         scored = scored.where("canonical or (exon_start is not null and exon_end is not null)")
     scored = scored.withColumn("score", F.when(F.col("canonical"), -1).otherwise(F.col("score")))
@@ -494,11 +495,12 @@ def transcript_with_junction(df: DataFrame, competing: bool = True) -> DataFrame
 def transcript_edges(assigned: DataFrame) -> DataFrame:
     """Junctions as steps from the exon at the 5' end to the exon at the 3' end, in reading order."""
     a, b = exon_at(START, -1)["num"], exon_at(END, 1)["num"]
-    return assigned.withColumns(
+    return pinned(
+        assigned,
         {
             "from_exon": F.when(_plus(), a).otherwise(b), "to_exon": F.when(_plus(), b).otherwise(a),
             "penalty": F.when(F.col("canonical"), 0).otherwise(1), "exon_count": F.size("exons"),
-        }
+        },
     ).where("from_exon is not null and to_exon is not null")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import col
-from ..plans.ordered import with_rank
+from ..plans.ordered import BUCKETS, with_rank
 from .scoring import affinity_category
 
 
@@ -61,7 +61,7 @@ def mutation_neoepitope_rank(
     keys: tuple[str, ...] = ("case_id", "genome_pos"),
     score: str = "mhc_score_2",
     ties: str = "average",
-    buckets: int = 256,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Descending rank of the altered peptide within its mutation; with average ties a shared top rank is above 1."""
     return with_rank(df, list(keys), score, "mut_neoep_rank_1", ties=ties, buckets=buckets)
@@ -81,7 +81,7 @@ def attach_gene_expression(df: DataFrame, expression: DataFrame | None) -> DataF
     )
 
 
-def rank1_report(frames: list[DataFrame], nmd: str = "bool_nmd", change: str = "my_change_type", buckets: int = 256) -> DataFrame:
+def rank1_report(frames: list[DataFrame], nmd: str = "bool_nmd", change: str = "my_change_type", buckets: int = BUCKETS) -> DataFrame:
     """Best peptide of every mutation outside NMD, original and altered peptides differing, with its fold change.
 
     Several inputs are ranked on their own (column ``input``); ``binding`` marks rows that belong to the

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import col
-from ..plans.ordered import strict_percentiles, with_ranks
+from ..plans.ordered import BUCKETS, strict_percentiles, with_ranks
 from ..plans.rows import unroll
 
 # Upper ic50 limits of the affinity categories.
@@ -48,7 +48,7 @@ def affinity_category(ic50) -> Column:
     return label.otherwise("none")
 
 
-def processing_percentile(df: DataFrame, reference: DataFrame, columns: dict[str, str], buckets: int = 256) -> DataFrame:
+def processing_percentile(df: DataFrame, reference: DataFrame, columns: dict[str, str], buckets: int = BUCKETS) -> DataFrame:
     """Strict percentile of each named score against the reference scores.
 
     ``columns`` maps the score column to the reference column; the result is ``<score>`` with ``score``
@@ -149,7 +149,7 @@ RANKED_SCORES = {
 
 
 def rank_processing_scores(
-    df: DataFrame, scores: dict[str, bool] | None = None, buckets: int = 256, sort: bool = True
+    df: DataFrame, scores: dict[str, bool] | None = None, buckets: int = BUCKETS, sort: bool = True
 ) -> DataFrame:
     """File-wide average-tie ranks (value True = ascending) and the summed rank of mhc, proteasome and TAP."""
     scores = scores or RANKED_SCORES

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import clean_allele, col
+from ..plans.ordered import BUCKETS, cumulative_counts
 
 MISSING_COLUMN = "~_~"
 CARRIED_COLUMNS = (
@@ -179,14 +180,12 @@ REPORT_COLUMNS = {
 
 
 def report_projection(
-    df: DataFrame, file: str, order: str, columns: dict[str, str] | None = None, buckets: int = 256
+    df: DataFrame, file: str, order: str, columns: dict[str, str] | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """Report columns in fixed order with a row id ``<file>_<i>``.
 
     ``order`` is a numeric column without repeats within a file; it decides the running number.
     """
-    from ..plans.ordered import cumulative_counts
-
     place = cumulative_counts(df, [file], order, buckets=buckets).select(file, order, "below")
     kept = [F.col(c).alias(n) for c, n in (columns or REPORT_COLUMNS).items() if c in df.columns]
     row_id = F.concat(F.col(file), F.lit("_"), (F.col("below") + 1).cast("string")).alias("row_id")

@@ -1,9 +1,11 @@
 """Ranks and percentiles over groups of any size.
 
 A window ordered over one group runs in one task, so a group that holds a third of the rows would decide the
-run time. Here equal values are counted first (with map-side combine), the distinct values are cut into
-ranges at approximate quantiles, each range is summed in its own task, and the range totals (at most
-``buckets`` rows per group) give the offsets. The quantiles only steer the balance; the counts are exact.
+run time. Equal values are counted first (with map-side combine). Groups with few distinct values then take
+the plain window. A group with more than a ten-thousandth of them (so there are fewer than ten thousand such
+groups, which makes their list safe to broadcast) is cut into ranges at approximate quantiles: each range is
+summed in its own task, and the range totals (at most ``BUCKETS`` rows per group) give the offsets. The
+quantiles only steer the balance; the counts are exact.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 1024
+ACCURACY = 2000  # the cuts are off by at most 1/2000 of the values, half a bucket
+HEAVY_SHARE = 10_000  # a heavy group has more than 1 / HEAVY_SHARE of the distinct values ...
+HEAVY_FLOOR = 200_000  # ... and more than this many
 
 
 def _bucket(value: str, bounds: Column, buckets: int) -> Column:
@@ -31,7 +36,7 @@ def _bucket(value: str, bounds: Column, buckets: int) -> Column:
 
 
 def cumulative_counts(
-    df: DataFrame, keys: list[str], value: str, weight: str | None = None, buckets: int = BUCKETS
+    df: DataFrame, keys: list[str], value: str, weight: str | None = None, buckets: int = BUCKETS, floor: int = HEAVY_FLOOR
 ) -> DataFrame:
     """One row per (keys, value): ``ties`` at the value, ``below`` it and ``total`` of the group.
 
@@ -40,8 +45,25 @@ def cumulative_counts(
     """
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     grouped = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.cast("bigint").alias("ties"))
+    if not keys:
+        return _by_ranges(grouped, keys, value, buckets)
+    # the test on ties is always true; with it the sizes and quantiles read the same exchange as the counts
+    grouped = grouped.where(F.col("ties") >= 0)
+    sizes = grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    share = sizes.select((F.sum("_n") / HEAVY_SHARE).cast("bigint")).scalar()
+    heavy = F.broadcast(sizes.where(F.col("_n") > F.greatest(F.coalesce(share, F.lit(0)), F.lit(floor))).select(*keys))
+    group = W.partitionBy(*keys)
+    below = F.sum("ties").over(group.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    light = grouped.join(heavy, keys, "left_anti").select(
+        *keys, value, "ties", F.coalesce(below, F.lit(0)).alias("below"), F.sum("ties").over(group).alias("total")
+    )
+    return light.unionByName(_by_ranges(grouped.join(heavy, keys, "left_semi"), keys, value, buckets))
+
+
+def _by_ranges(grouped: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
     quantiles = [i / buckets for i in range(1, buckets)]
-    bounds = grouped.select(F.percentile_approx(F.col(value).cast("double"), quantiles, 10000)).scalar()
+    sketch = F.percentile_approx(F.col(value).cast("double"), quantiles, ACCURACY)
+    bounds = grouped.where(F.col("ties") >= 0).select(sketch).scalar()
     placed = (
         grouped.withColumn("_bounds", bounds)
         .withColumn("_bucket", _bucket(value, F.col("_bounds"), buckets))

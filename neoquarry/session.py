@@ -58,3 +58,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Set the checkpoint folder where the cluster has not set one."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+
+
+def spread(df):
+    """Deal a table out when its files give fewer splits than the session has cores.
+
+    One small file is one task, which leaves the other cores idle in front of row-wise work. A table with
+    enough splits is returned as it is, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
