@@ -285,7 +285,7 @@ def same_peptide_flag(fx):
 _BEST = "(select peptide_2, allele from (select peptide_2, allele, mhc_score_2, max(mhc_score_2) over (partition by peptide_2) as best from {compare}) q where mhc_score_2 = best)"
 
 
-@query(f"select order_key, line_number, c.peptide_2, l.p as preferred_HLA from {{compare}} c join (select peptide_2, string_agg(allele, ',' order by allele) as p from {_BEST} b group by peptide_2) l on l.peptide_2 = c.peptide_2")
+@query(f"select order_key, line_number, c.peptide_2, l.p as preferred_HLA, l.n as preferred_HLA_copies from {{compare}} c join (select peptide_2, string_agg(allele, ',' order by allele) as p, string_agg(cast(n as varchar), ',' order by allele) as n from (select peptide_2, allele, count(*) as n from {_BEST} b group by 1, 2) a group by peptide_2) l on l.peptide_2 = c.peptide_2")
 def preferred_hla(fx):
     return reports.preferred_hla(fx.compare.select("order_key", "line_number", "peptide_2", "allele", "mhc_score_2")).drop("allele", "mhc_score_2")
 

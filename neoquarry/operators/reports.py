@@ -31,19 +31,22 @@ def _best_alleles(df: DataFrame, peptide: str, score: str) -> DataFrame:
 
 
 def preferred_hla(
-    df: DataFrame, peptide: str = "peptide_2", score: str = "mhc_score_2", repeats: bool = True
+    df: DataFrame, peptide: str = "peptide_2", score: str = "mhc_score_2", repeats: bool = False
 ) -> DataFrame:
-    """All alleles at the peptide's highest score over the table, sorted, comma-joined, repeats kept.
+    """All alleles at the peptide's highest score over the table, sorted and comma-joined.
 
-    Only (allele, count) pairs are gathered per peptide, so the gathered list is as long as the allele list.
+    ``preferred_HLA`` names each allele once and ``preferred_HLA_copies`` says how often it reaches the score,
+    so both cells stay as short as the allele list however common the peptide is. ``repeats`` writes every
+    copy out instead; such a cell grows with the rows of its peptide.
     """
     pairs = F.array_sort(F.collect_list(F.struct("allele", "copies")))
-    names = (
-        F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["allele"], p["copies"].cast("int"))))
-        if repeats
-        else F.transform(pairs, lambda p: p["allele"])
-    )
-    labels = _best_alleles(df, peptide, score).groupBy(peptide).agg(F.array_join(names, ",").alias("preferred_HLA"))
+    once = F.transform(pairs, lambda p: p["allele"])
+    every = F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["allele"], p["copies"].cast("int"))))
+    texts = [F.array_join(every if repeats else once, ",").alias("preferred_HLA")]
+    if not repeats:
+        copies = F.transform(pairs, lambda p: p["copies"].cast("string"))
+        texts.append(F.array_join(copies, ",").alias("preferred_HLA_copies"))
+    labels = _best_alleles(df, peptide, score).groupBy(peptide).agg(*texts)
     return df.join(labels, peptide, "left")
 
 

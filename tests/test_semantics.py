@@ -139,3 +139,12 @@ def test_p_value(spark):
     density = lambda x: math.gamma(3.5) / (math.sqrt(6 * math.pi) * math.gamma(3)) * (1 + x * x / 6) ** -3.5
     inner = sum(density(t * i / n) for i in range(1, n)) + (density(0) + density(t)) / 2
     assert abs(r["p_value"] - (1 - 2 * inner * t / n)) < 1e-6
+
+
+def test_preferred_alleles(spark):
+    rows = [("P", "HLA-B*02", 3.0), ("P", "HLA-A*01", 3.0), ("P", "HLA-B*02", 3.0), ("P", "HLA-C*07", 1.0), ("Q", "HLA-A*01", None)]
+    df = spark.createDataFrame(rows, "peptide_2 string, allele string, mhc_score_2 double")
+    short = reports.preferred_hla(df).where("peptide_2 = 'P'").first()
+    assert (short["preferred_HLA"], short["preferred_HLA_copies"]) == ("HLA-A*01,HLA-B*02", "1,2")
+    assert reports.preferred_hla(df, repeats=True).where("peptide_2 = 'P'").first()["preferred_HLA"] == "HLA-A*01,HLA-B*02,HLA-B*02"
+    assert reports.preferred_hla_subgroup(df).where("peptide_2 = 'P'").first()["preferred_HLA_subgroup"] == "HLA-A,HLA-B"
