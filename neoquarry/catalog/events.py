@@ -67,7 +67,7 @@ def library_size(fx):
 
 
 @query(f"""select q.isoform, q.sample, q.reads, l.length, round(1e9 * q.reads / (b.library * l.length), 6) as density from (select r.isoform, s.sample, count(*) filter (nh = 1) as reads {_REGION_HITS} group by 1, 2) q
- join (select isoform, sum(end_pos - start_pos) as length from {{features}} group by 1) l on l.isoform = q.isoform join (select sample, count(*) as library from {{reads}} group by 1) b on b.sample = q.sample""")
+ join (select isoform, cast(sum(end_pos - start_pos) as bigint) as length from {{features}} group by 1) l on l.isoform = q.isoform join (select sample, count(*) as library from {{reads}} group by 1) b on b.sample = q.sample""")
 def read_density(fx):
     out = ev.read_density(exon_regions(fx), fx.reads, ["isoform"])
     return out.select("isoform", "sample", "reads", "length", F.round("density", 6).alias("density"))
@@ -140,7 +140,7 @@ def fusion_exons(fx):
 
 
 @query("""with c as (select r.chrom, r.start_pos, r.end_pos, s.sample, count(*) as n from (select distinct chrom, start_pos, end_pos from {features}) r join {spans} s on s.chrom = r.chrom and r.start_pos < s.ref_end and s.ref_start < r.end_pos group by 1, 2, 3, 4),
- t as (select x.fusion_id, sum(coalesce(c.n, 0)) as reads, sum(x.exon_end - x.exon_start) as length from {fexons} x left join c on c.chrom = x.chrom and c.start_pos = x.exon_start and c.end_pos = x.exon_end and c.sample = x.sample where x.kept group by 1)
+ t as (select x.fusion_id, cast(sum(coalesce(c.n, 0)) as bigint) as reads, cast(sum(x.exon_end - x.exon_start) as bigint) as length from {fexons} x left join c on c.chrom = x.chrom and c.start_pos = x.exon_start and c.end_pos = x.exon_end and c.sample = x.sample where x.kept group by 1)
  select f.fusion_id, f.sample, coalesce(t.reads, 0) as reads, coalesce(t.length, 0) as length, round(coalesce(1e9 * t.reads / (l.library * t.length), -1), 6) as density from {fusions} f left join t on t.fusion_id = f.fusion_id left join (select sample, count(*) as library from {reads} group by 1) l on l.sample = f.sample""")
 def fusion_density(fx):
     out = fu.fusion_density(fx.fusions, transcripts(fx), fx.reads)
@@ -153,7 +153,7 @@ def kinase_genes_at_position(fx):
 
 
 @query("""select c.isoform, c.domain_exons, c.before_domain, c.after_domain, i.n as introns, i.len as intron_bases, coalesce(k.n, 0) as kept_domain from (select isoform, count(*) filter (state = 0) as domain_exons, count(*) filter (state = -1) as before_domain, count(*) filter (state = 1) as after_domain from {kinase} group by 1) c
- join (select isoform, count(*) as n, sum(end_pos - start_pos) as len from {introns} group by 1) i on i.isoform = c.isoform left join (select x.isoform, count(*) as n from {fexons} x join {kinase} k on k.isoform = x.isoform and k.exon_num = x.exon_num where x.kept and k.state = 0 group by 1) k on k.isoform = c.isoform""")
+ join (select isoform, count(*) as n, cast(sum(end_pos - start_pos) as bigint) as len from {introns} group by 1) i on i.isoform = c.isoform left join (select x.isoform, count(*) as n from {fexons} x join {kinase} k on k.isoform = x.isoform and k.exon_num = x.exon_num where x.kept and k.state = 0 group by 1) k on k.isoform = c.isoform""")
 def kinase_exons(fx):
     table = kinase(fx)
     counts = fu.kinase_exon_counts(table).drop("gene")

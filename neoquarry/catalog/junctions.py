@@ -196,7 +196,7 @@ def samples_above_threshold(fx):
     return j.samples_above_threshold(fx.sql(_LISTS), 20, CONTROLS)
 
 
-@query("select sample, isoform, case when strand > 0 then start_pos else end_pos end as site, count(*) as junctions, count(distinct case when strand > 0 then end_pos else start_pos end) as partner_sites, sum(read_count) as reads from {jx} group by 1, 2, 3")
+@query("select sample, isoform, case when strand > 0 then start_pos else end_pos end as site, count(*) as junctions, count(distinct case when strand > 0 then end_pos else start_pos end) as partner_sites, cast(sum(read_count) as bigint) as reads from {jx} group by 1, 2, 3")
 def group_by_splice_site(fx):
     return j.group_by_splice_site(j.canonical_junction(pairs(fx)))
 
@@ -246,7 +246,7 @@ def junction_evidence_ratios(fx):
 
 
 ORACLE_ONLY["presence"] = """select a.sample, a.gene, i.isoform, i.start_pos, i.end_pos, i.num, coalesce(s.reads, -1) as reads, s.reads is not null as present from (select distinct sample, gene from {junctions}) a join {introns} i on i.gene = a.gene
- left join (select sample, gene, start_pos, end_pos, sum(read_count) as reads from {junctions} group by 1, 2, 3, 4) s on s.sample = a.sample and s.gene = a.gene and s.start_pos = i.start_pos and s.end_pos = i.end_pos"""
+ left join (select sample, gene, start_pos, end_pos, cast(sum(read_count) as bigint) as reads from {junctions} group by 1, 2, 3, 4) s on s.sample = a.sample and s.gene = a.gene and s.start_pos = i.start_pos and s.end_pos = i.end_pos"""
 
 
 def presence(fx):

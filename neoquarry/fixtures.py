@@ -109,7 +109,7 @@ select s_suppkey as protein_id, concat('P', cast(s_suppkey as string)) as access
 ORACLE_ONLY = {
     "feat": """
 select f.*, case when strand > 0 then rn else n - rn + 1 end as num, n as n_exons,
- case when cds_start is null then -1 else coalesce(cum, 0) % 3 end as frame, cast(coalesce(cum, 0) as bigint) as cds_offset
+ case when cds_start is null then -1 else cast(coalesce(cum, 0) % 3 as bigint) end as frame, cast(coalesce(cum, 0) as bigint) as cds_offset
  from (select f.*, row_number() over (partition by isoform order by start_pos) as rn, count(*) over (partition by isoform) as n,
    sum(cds_end - cds_start) over (partition by isoform order by strand * start_pos rows between unbounded preceding and 1 preceding) as cum from {features} f) f""",
     "introns": """

@@ -43,7 +43,8 @@ def translate_cds(seq, to_stop: bool = False) -> Column:
     One pass cuts the codons; each codon is looked up in the code table.
     """
     codons = F.regexp_extract_all(F.translate(F.upper(col(seq)), "U", "T"), F.lit(".{3}"), F.lit(0))
-    table = F.create_map(*[F.lit(x) for pair in codon_table().items() for x in pair])
+    # folded to one literal map
+    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in codon_table().items())), F.lit(","), F.lit(":"))
     protein = F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
     return F.substring_index(protein, "*", 1) if to_stop else protein
 
