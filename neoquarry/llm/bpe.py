@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words a worker remembers the ids of before its memory is emptied; longer words are not remembered.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 600_000
 MEMORY_LENGTH = 64
 MEMORY_PAIRS = 500_000
 # stands behind a word's last symbol; no byte symbol is a control character
@@ -40,6 +42,14 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def in_latin_1(pattern: str) -> str:
+    """The pattern for texts whose characters all lie below 256, with its classes written out; it is matched faster."""
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        members = [chr(c) for c in range(256) if regex.fullmatch(name, chr(c))]
+        pattern = pattern.replace(name, "".join(map(re.escape, members)))
+    return pattern
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file (BPE with an end-of-word mark)."""
 
@@ -51,6 +61,7 @@ class Codec:
         self.strings = {i: s for s, i in [*vocab.items(), *self.added.items()]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.latin_words = re.compile(in_latin_1(split["pattern"]["Regex"]))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
         # the order of the merge of two tokens, and of a token the two parts it was merged from
@@ -69,7 +80,7 @@ class Codec:
             if self._made(token, len(plain) - closing):
                 self.matches.add_word(plain, (token, len(plain)))
         self.matches.make_automaton()
-        self.memory: dict[str, tuple[int, str, str]] = {}
+        self.memory = Memory(self)
 
     def _made(self, token: int, length: int) -> bool:
         """Whether merging a token's own string gives the token; others are never part of an encoding."""
@@ -103,7 +114,7 @@ class Codec:
 
     def word(self, symbols: str) -> tuple[int, ...]:
         """Ids of one word, given in byte symbols."""
-        n = len(symbols)
+        n, known = len(symbols), self.seen.get
         last: list[tuple[int, int] | None] = [None] * (n + 1)
         for at, (token, length) in self.matches.iter(symbols + CLOSE):
             # the mark counts as no symbol of its own: a closing match covers one symbol less than its length
@@ -111,7 +122,12 @@ class Codec:
             end, start = (n, n + 1 - length) if closing else (at + 1, at + 1 - length)
             if (end == n) != closing or last[end] is not None:
                 continue
-            if start == 0 or self.compatible(last[start][0], token):
+            if start:
+                pair = last[start][0], token
+                fits = known(pair)
+                if fits is None:
+                    fits = self.compatible(*pair)
+            if start == 0 or fits:
                 last[end] = (token, start)
         out, at = [], n
         while at:
@@ -119,29 +135,22 @@ class Codec:
             out.append(token)
         return tuple(reversed(out))
 
-    def remembered(self, word: str) -> tuple[int, str, str]:
-        """How many ids a word has, their digits and their strings."""
-        found = self.memory.get(word)
-        if found is None:
-            ids = self.word("".join([self.symbols[b] for b in word.encode()]))
-            found = len(ids), " ".join(map(str, ids)), self.decode(ids)
-            if len(word) <= MEMORY_LENGTH:
-                if len(self.memory) >= MEMORY_WORDS:
-                    self.memory.clear()
-                self.memory[word] = found
-        return found
-
     def pieces(self, text: str) -> list[tuple[int, str, str]]:
-        """What ``remembered`` gives for the words and added tokens of a text."""
+        """Of each word or added token: how many ids it has, their digits and their strings."""
         out = []
         for place, piece in enumerate(self.marks.split(text) if "<|" in text else [text]):
             if place % 2:
                 token = self.added[piece]
                 out.append((1, str(token), piece))
-            else:
-                # letter by letter: a sigma at a word's end is an ordinary one
-                lowered = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                out += map(self.remembered, self.words.findall(lowered))
+                continue
+            # letter by letter: a sigma at a word's end is an ordinary one
+            lowered = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+            try:
+                lowered.encode("latin-1")
+                words = self.latin_words.findall(lowered)
+            except UnicodeEncodeError:
+                words = self.words.findall(lowered)
+            out += map(self.memory.__getitem__, words)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -152,6 +161,24 @@ class Codec:
         return " ".join([self.strings[i] for i in ids])
 
 
+class Memory(dict):
+    """Words met before."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec, self.symbols = codec, {b: s for b, s in enumerate(codec.symbols)}
+
+    def __missing__(self, word: str) -> tuple[int, str, str]:
+        codec = self.codec
+        ids = codec.word("".join([self.symbols[b] for b in word.encode()]))
+        found = len(ids), " ".join(map(str, ids)), codec.decode(ids)
+        if len(word) <= MEMORY_LENGTH:
+            if len(self) >= MEMORY_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Shared:
     """The tokenizer file on its way to the workers; a worker builds its codec once."""
 
@@ -190,9 +217,9 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
         sizes, left, right = [], [], []
         for t in texts:
             pieces = codec.pieces(t)
-            sizes.append(sum([n for n, _, _ in pieces]))
-            left.append(hashlib.sha256(" ".join([digits for _, digits, _ in pieces]).encode()).hexdigest())
-            right.append(hashlib.sha256(" ".join([strings for _, _, strings in pieces]).encode()).hexdigest())
+            sizes.append(sum(map(itemgetter(0), pieces)))
+            left.append(hashlib.sha256(" ".join(map(itemgetter(1), pieces)).encode()).hexdigest())
+            right.append(hashlib.sha256(" ".join(map(itemgetter(2), pieces)).encode()).hexdigest())
         return [pa.array(sizes, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())]
 
     return _mapped(docs, path, doc_id, text, columns, "n_tokens long, ids_sha256 string, decoded_sha256 string")
