@@ -30,4 +30,27 @@ select d.doc_id, len(d.w) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(l.
 from doc_words d left join hits h using (r) left join listed l using (r)
 """.replace("LOW_TEXT", _LOW.format("text"))
 
-ORACLES = {"op2_decontamination": OP2}
+OP10 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, t, r, '<|im_end|><|im_start|>assistant ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)
+), marked as (
+  select *, length('<|im_start|>') + length('<|im_end|>') + 2
+    + length(replace(replace(replace(role, '\', '\\'), '<', '\<'), chr(10), '\' || chr(10)))
+    + length(replace(replace(text, '\', '\\'), '<', '\<')) as chars,
+    lag(role) over (partition by conv_id order by turn, role, text) as before
+  from turns
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(chars)::bigint as formatted_chars,
+       count(*) filter (not case when before is null then role in ('system', 'user')
+                            when before in ('system', 'assistant') then role = 'user'
+                            when before = 'user' then role = 'assistant' else false end) as n_broken
+from marked group by conv_id
+"""
+
+ORACLES = {"op10_chat": OP10, "op2_decontamination": OP2}
