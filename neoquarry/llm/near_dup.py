@@ -7,9 +7,11 @@ a chunk with at most one difference, so the index holds, for every chunk, the ch
 out in turn: every such pair meets under some key. K follows from the threshold: a pair exactly on it exceeds
 2m - 1 differences with a probability below 1e-5. Links are confirmed on the full sets.
 
-Groups of any size stay cheap: within a key every class is first compared with one class of the key only, in two
-rounds with different choices. What is linked then is one component, and only pairs of classes that meet under a
-key and are still in different components are compared after that, all of them, so that no link is lost.
+Groups of any size stay cheap: within a key every class is first compared with one class of the key only, the one
+that meets the most others over all its keys (of a group of copies, that is what they were copied from). What is linked
+then is one component; a second round does the same among what stays outside the largest component of a key. After
+that all pairs of classes that meet under a key and are still in different components are compared, so that no link is
+lost, but for those that an exact bound rules out: shingles that no other such class has are common to no pair.
 Components are found by alternating large and small stars, as joins and grouped minima.
 """
 
@@ -191,7 +193,7 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), doc_id: st
     )
     classes = settled(classes)
     keys = index_keys(classes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     groups = settled(keys.join(shared, "key"))
     roots = _linked(docs, classes, groups, like, doc_id, text)
     least = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else classes.withColumn("root", F.col("node"))
@@ -204,28 +206,27 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), doc_id: st
 
 def _linked(docs, classes, groups, like, doc_id, text) -> DataFrame | None:
     """``node``, ``root`` of the classes that have links, or None where no two classes share a key."""
-    members = settled(groups.select("node").distinct().join(classes, "node"))
+    members = groups.groupBy("node").agg(F.sum("members").alias("met"))
+    members = settled(members.join(classes, "node"))
     if members.isEmpty():
         return None
+    groups = groups.select("key", "node").join(members.select("node", "met"), "node")
     card = members.select("node", "n_shingles", F.hex("sig").alias("sig"))
     radius, percent = like.radius(like.symbols), like.percent
-    sets = roots = links = tested = None
-    for turn in (0, 1, 2):
+    sets = roots = links = None
+    for pairs_of in (_star, _second_star, _across):
         placed = groups if roots is None else groups.join(roots, "node", "left")
         placed = placed.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        pairs = _star(placed, turn) if turn < 2 else _across(placed)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs_of(placed, sets, members, percent)
         for side in "ab":
             pairs = pairs.join(card.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
         # a link needs sizes this close, whatever the sets hold
         pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         pairs = settled(pairs.where(differing(F.col("sa"), F.col("sb")) <= radius).select("a", "b", "na", "nb"))
-        if pairs.isEmpty():
-            continue
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         if sets is None:
             sets = settled(_sets(docs, members, like, doc_id, text))
+        if pairs.isEmpty():
+            continue
         full = pairs
         for side in "ab":
             full = full.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"x{side}")), side)
@@ -236,21 +237,47 @@ def _linked(docs, classes, groups, like, doc_id, text) -> DataFrame | None:
     return roots
 
 
-def _star(placed: DataFrame, turn: int) -> DataFrame:
-    """Each class of a key with one class of that key, another one every turn."""
-    order = F.xxhash64(F.col("node"), F.lit(turn))
-    hub = placed.groupBy("key").agg(F.min_by("node", order).alias("hub"), F.min_by("root", order).alias("hub_root"))
-    pairs = placed.join(hub, "key").where("root <> hub_root")
+def _with_hub(rows: DataFrame) -> DataFrame:
+    """Pairs of each class of a key with the class of that key that meets the most others."""
+    most = F.struct("met", "node")
+    hub = rows.groupBy("key").agg(F.max_by("node", most).alias("hub"), F.max_by("root", most).alias("hub_root"))
+    pairs = rows.join(hub, "key").where("root <> hub_root")
     return pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """All pairs of classes of a key that are still in different components."""
+def _star(placed: DataFrame, *_) -> DataFrame:
+    return _with_hub(placed)
+
+
+def _largest_roots(placed: DataFrame) -> DataFrame:
+    """``key`` and ``main``, the component with the most classes there, of keys with several components."""
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    mixed_keys = placed.join(main.select("key", "main"), "key")
+    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+    return main.where("roots > 1").select("key", "main")
+
+
+def _second_star(placed: DataFrame, *_) -> DataFrame:
+    return _with_hub(placed.join(_largest_roots(placed), "key").where("root <> main"))
+
+
+def _across(placed: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of a key that are in different components and could be linked."""
+    rows = settled(placed.join(_largest_roots(placed), "key"))
+    # shingles that only one of these classes has cannot be common to two of them
+    held = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("x"))
+    own = held.groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = own.groupBy("node").agg(F.count("*").alias("own"))
+    cards = members.select("node", "n_shingles").join(own, "node", "left")
+    cards = cards.select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce(F.col("own"), F.lit(0))).alias("most"))
+    keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    rows = rows.join(cards.where(f"100 * most >= {percent} * n"), "node").join(keys, "node")
     # a pair has a side outside the key's largest component, so that component is never paired with itself
-    outside = mixed_keys.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("xr"))
-    every = mixed_keys.select("key", F.col("node").alias("y"), F.col("root").alias("yr"))
-    pairs = outside.join(every, "key").where("xr <> yr")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    names = ("node", "root", "n", "most", "keys")
+    x = rows.where("root <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = rows.select("key", "main", *(F.col(c).alias(f"y_{c}") for c in names))
+    least = "least(x_most, y_most)"
+    fits = f"100 * {least} >= {percent} * (x_n + y_n - {least})"
+    # a pair is taken under one of its common keys, and once if both sides are outside the largest component
+    once = "key = array_min(array_intersect(x_keys, y_keys)) and (y_root = main or x_node < y_node)"
+    pairs = x.join(y, "key").where(f"x_root <> y_root and {fits} and {once}")
+    return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
