@@ -281,3 +281,16 @@ def _across(placed: DataFrame, sets: DataFrame, members: DataFrame, percent: int
     once = "key = array_min(array_intersect(x_keys, y_keys)) and (y_root = main or x_node < y_node)"
     pairs = x.join(y, "key").where(f"x_root <> y_root and {fits} and {once}")
     return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+
+
+def representatives(docs: DataFrame, like: Similarity = Similarity(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stand for their groups, all columns, one row each.
+
+    Of repeated rows with the id that stands for a group one stays. Rows with a null id, and of these all without
+    words, stay where no document with an id is linked with them.
+    """
+    found = near_duplicates(docs, like, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    key = F.col(doc_id).cast("long")
+    kept = docs.join(found, key.eqNullSafe(F.col("_kept_id")), "left_semi")
+    named = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+    return named.unionByName(kept.where(F.col(doc_id).isNull()))

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, near_dup, pii
+from . import bpe, chat, decontamination, language_id, near_dup, pii
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified_documents(table(spark, sf_dir, "documents"))
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.digests(found)
@@ -43,7 +51,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_bpe, op6_near_duplicates, op8_pii, op10_chat)}
+    return {f.__name__: f for f in (op1_language_id, page_language_id, op2_decontamination, op5_bpe, op6_near_duplicates, op8_pii, op10_chat)}
 
 
 def oracles() -> dict[str, str]:
