@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, language_id, near_dup, pii
+from . import bpe, chat, decontamination, importance, language_id, near_dup, pii, quality
 from .common import table
 
 
@@ -30,6 +30,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,6 +42,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Similarity(words=3, percent=85))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, page_language_id, op2_decontamination, op5_bpe, op6_near_duplicates, op8_pii, op10_chat)}
+    found = (
+        op1_language_id, page_language_id, op2_decontamination, op4_resampling, op5_bpe, op6_near_duplicates,
+        op7_quality, op8_pii, op10_chat,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
