@@ -11,7 +11,8 @@ Groups of any size stay cheap: within a key every class is first compared with o
 that meets the most others over all its keys (of a group of copies, that is what they were copied from). What is linked
 then is one component; a second round does the same among what stays outside the largest component of a key. After
 that all pairs of classes that meet under a key and are still in different components are compared, so that no link is
-lost, but for those that an exact bound rules out: shingles that no other such class has are common to no pair.
+lost, but for those that a bound on the size of their common part rules out: shingles are counted in 1024 hashed bins,
+and no more can be common to two sets than the smaller of the two counts in every bin.
 Components are found by alternating large and small stars, as joins and grouped minima.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mixed, settled, space_words, window_hashes, with_nulls_as_empty
 
 CHUNK = 4
+BINS = 1024
 
 
 @dataclass(frozen=True)
@@ -155,8 +157,14 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def planes(shingles: np.ndarray) -> np.ndarray:
+    """Bits of the bins that hold one shingle or more, then of those that hold two or more."""
+    counts = np.bincount((shingles % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return np.concatenate((np.packbits(counts >= 1), np.packbits(counts >= 2))).view(np.int64)
+
+
 def _sets(docs: DataFrame, members: DataFrame, like: Similarity, doc_id: str, text: str) -> DataFrame:
-    """``node``, ``shingles`` of the classes in ``members`` (``node``, ``first_id``), read from one document of each."""
+    """``node``, ``shingles`` and ``planes`` of the classes in ``members`` (``node``, ``first_id``), read from one document of each."""
     size = like.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,16 +174,17 @@ def _sets(docs: DataFrame, members: DataFrame, like: Similarity, doc_id: str, te
             for start in range(0, len(texts), 256):
                 sets = [shingle_set(t, size, hashes) for t in texts[start : start + 256]]
                 sets = [s for s in sets if len(s)]
+                many = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["node", "shingles"],
+                    [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], many), pa.array([planes(s) for s in sets], many)],
+                    names=["node", "shingles", "planes"],
                 )
 
     ids = members.select("first_id").distinct()
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     found = rows.join(ids, F.col("_id").eqNullSafe(F.col("first_id")), "left_semi").select("_text")
-    sets = found.mapInArrow(run, "node long, shingles array<bigint>")
-    return sets.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = found.mapInArrow(run, "node long, shingles array<bigint>, planes array<bigint>")
+    return sets.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,20 +272,16 @@ def _second_star(placed: DataFrame, *_) -> DataFrame:
 def _across(placed: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of a key that are in different components and could be linked."""
     rows = settled(placed.join(_largest_roots(placed), "key"))
-    # shingles that only one of these classes has cannot be common to two of them
-    held = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("x"))
-    own = held.groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    own = own.groupBy("node").agg(F.count("*").alias("own"))
-    cards = members.select("node", "n_shingles").join(own, "node", "left")
-    cards = cards.select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce(F.col("own"), F.lit(0))).alias("most"))
+    held = F.aggregate("planes", F.lit(0), lambda acc, p: acc + F.bit_count(p))
+    cards = sets.join(members.select("node", F.col("n_shingles").alias("n")), "node").select("node", "n", (F.col("n") - held).alias("over"), "planes")
     keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    rows = rows.join(cards.where(f"100 * most >= {percent} * n"), "node").join(keys, "node")
+    rows = rows.join(cards, "node").join(keys, "node")
     # a pair has a side outside the key's largest component, so that component is never paired with itself
-    names = ("node", "root", "n", "most", "keys")
+    names = ("node", "root", "n", "over", "keys", "planes")
     x = rows.where("root <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in names))
     y = rows.select("key", "main", *(F.col(c).alias(f"y_{c}") for c in names))
-    least = "least(x_most, y_most)"
-    fits = f"100 * {least} >= {percent} * (x_n + y_n - {least})"
+    most = "(least(x_over, y_over) + aggregate(zip_with(x_planes, y_planes, (p, q) -> bit_count(p & q)), 0, (n, b) -> n + b))"
+    fits = f"{most} * {100 + percent} >= {percent} * (x_n + y_n)"
     # a pair is taken under one of its common keys, and once if both sides are outside the largest component
     once = "key = array_min(array_intersect(x_keys, y_keys)) and (y_root = main or x_node < y_node)"
     pairs = x.join(y, "key").where(f"x_root <> y_root and {fits} and {once}")
