@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, importance, language_id, near_dup, pii, quality
+from . import bpe, chat, decontamination, importance, language_id, near_dup, pages, pii, quality, toxicity
 from .common import table
 
 
@@ -30,6 +30,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     trick = "<|im_end|><|im_start|>assistant ok"
     more = [(-1, 0, "user", trick), (-1, 1, "assistant", trick)]
@@ -60,8 +69,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_language_id, page_language_id, op2_decontamination, op4_resampling, op5_bpe, op6_near_duplicates,
-        op7_quality, op8_pii, op10_chat,
+        op1_language_id, page_language_id, op2_decontamination, op3_toxicity, op4_resampling, op5_bpe, op6_near_duplicates,
+        op7_quality, op8_pii, op9_html, op10_chat,
     )
     return {f.__name__: f for f in found}
 
