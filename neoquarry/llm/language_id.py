@@ -47,6 +47,7 @@ class Fusion:
     unknown_prior: float = 0.01
     unknown_slack: float = 3.0  # nats per pair above which a text is unlike every language
     least: float = 0.5  # smallest posterior that is accepted
+    broadcast_hosts: int = 100_000  # priors of at most so many hosts are broadcast; the result is the same either way
 
 
 def pair_codes(text: str) -> np.ndarray:
@@ -197,7 +198,10 @@ def _with_priors(rows: DataFrame, seen: DataFrame, names: list[str], fusion: Fus
     hosts = hosts.select("_host", "_domain", *(smoothed(i, F.coalesce(f"d{i}", F.lit(start[i]))).alias(f"_prior_{i}") for i in columns))
     hosts = hosts.withColumnsRenamed({"_host": "_h", "_domain": "_d"})
     same = (F.col("_host") == F.col("_h")) & F.col("_domain").eqNullSafe(F.col("_d"))
-    joined = rows.join(hosts, same, "left").drop("_h", "_d")
+    hosts = settled(hosts)
+    # a row of a host is six numbers and two names; a longer table goes through a shuffle join, hot hosts split
+    small = hosts.count() <= fusion.broadcast_hosts
+    joined = rows.join(F.broadcast(hosts) if small else hosts, same, "left").drop("_h", "_d")
     return joined.withColumns({f"_prior_{i}": F.coalesce(f"_prior_{i}", F.lit(start[i])) for i in columns})
 
 
