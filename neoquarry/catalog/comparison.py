@@ -316,9 +316,11 @@ def attach_gene_expression(fx):
 
 @query(f"""select order_key, line_number, case_id, genome_pos, input, fold_change, aff_cat_2 <> 'none' as binding from (select *, cast(order_key % 2 as int) as input,
  rank() over (partition by order_key % 2, case_id, genome_pos order by mhc_score_2 desc) + (count(*) over (partition by order_key % 2, case_id, genome_pos, mhc_score_2) - 1) / 2.0 as r from {{labelled}}) q
- where r = 1 and bool_nmd = 'False' and peptide_1 <> peptide_2""")
+ where r = 1 and bool_nmd = 'False' and peptide_1 <> peptide_2 and line_number % 4 <> 1""")
 def rank1_report(fx):
-    inputs = [fx.compare.where(F.col("order_key") % 2 == i) for i in (0, 1)]
+    change = F.when(F.col("line_number") % 4 == 1, "None/None").otherwise("A/V")
+    compare = fx.compare.withColumn("myVEP_aa_orig_alt", change)
+    inputs = [compare.where(F.col("order_key") % 2 == i) for i in (0, 1)]
     return reports.rank1_report(inputs).select("order_key", "line_number", "case_id", "genome_pos", "input", "fold_change", "binding")
 
 
@@ -467,6 +469,13 @@ def condition_ttest(fx):
     return rounded(cohort.condition_ttest(_ttest_rows(fx), "inframe", "frameshift", p_value=False), "t_statistic")
 
 
+@query(_TTEST.replace("in_frame <> 'inframe'", "true"))
+def condition_ttest_overlapping(fx):
+    """Sides whose labels overlap: every category text holds the second label, in another case."""
+    rows = _ttest_rows(fx).withColumn("category", F.concat(F.lit("Frame: "), "category"))
+    return rounded(cohort.condition_ttest(rows, "InFrame", "fRAME", p_value=False), "t_statistic")
+
+
 @query(None)
 def condition_ttest_p_value(fx):
     return rounded(cohort.condition_ttest(_ttest_rows(fx), "inframe", "frameshift"), "t_statistic", "p_value")

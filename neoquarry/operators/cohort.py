@@ -190,18 +190,16 @@ def condition_ttest(
     df: DataFrame, first: str, second: str, bin_column: str = "label", category: str = "category", value: str = "value",
     p_value: bool = True,
 ) -> DataFrame:
-    """Pooled-variance two-sample t test per bin between categories whose text contains the two labels."""
-    side = F.when(F.col(category).contains(first), "a").when(F.col(category).contains(second), "b")
-    stats = (
-        df.withColumn("side", side)
-        .where("side is not null")
-        .groupBy(bin_column)
-        .pivot("side", ["a", "b"])
-        .agg(
-            F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var")
-        )
-    )
-    na, nb = F.coalesce("a_n", F.lit(0)), F.coalesce("b_n", F.lit(0))
+    """Pooled-variance two-sample t test per bin between the rows whose category contains one label or the other.
+
+    Case does not count. Each side is matched on its own: a row whose category contains both labels is on both.
+    """
+    text, sides = F.lower(category), {}
+    for name, label in (("a", first), ("b", second)):
+        mine = F.when(text.contains(label.lower()), F.col(value))
+        sides |= {f"{name}_n": F.count(mine), f"{name}_mean": F.avg(mine), f"{name}_var": F.var_samp(mine)}
+    stats = df.groupBy(bin_column).agg(*(c.alias(n) for n, c in sides.items())).where("a_n + b_n > 0")
+    na, nb = F.col("a_n"), F.col("b_n")
     dof = na + nb - 2
     pooled = F.try_divide((na - 1) * F.col("a_var") + (nb - 1) * F.col("b_var"), dof)
     spread = F.sqrt(pooled * (F.try_divide(F.lit(1.0), na) + F.try_divide(F.lit(1.0), nb)))

@@ -504,13 +504,13 @@ def transcript_edges(assigned: DataFrame) -> DataFrame:
     ).where("from_exon is not null and to_exon is not null")
 
 
-def transcript_paths(edges: DataFrame, max_penalty: int = 1, max_hops: int = 500) -> DataFrame:
+def transcript_paths(edges: DataFrame, max_penalty: int = 1) -> DataFrame:
     """All junction chains per (sample, isoform) from the first exon until nothing continues them.
 
     Each hop joins the open chains with the steps that begin in the exon they reached. Chains with more than
     ``max_penalty`` non-canonical junctions end there and are not reported. The open chains are
-    checkpointed after every hop, so the plan stays short and a lost executor costs one hop. Raises when
-    chains are still open after ``max_hops``.
+    checkpointed after every hop, so the plan stays short and a lost executor costs one hop. No junction occurs
+    twice in a chain, so the loop ends by itself.
     """
     from ..session import ensure_checkpoints
 
@@ -521,7 +521,7 @@ def transcript_paths(edges: DataFrame, max_penalty: int = 1, max_hops: int = 500
         *keys, F.array("sj_id").alias("path"), F.col("to_exon").alias("reached"), F.col("penalty").alias("cost")
     ).where(F.col("cost") <= max_penalty)
     done = None
-    for _ in range(max_hops):
+    while True:
         nxt = steps.select(*keys, F.col("from_exon").alias("reached"), "sj_id", "to_exon", "penalty")
         tried = open_.join(nxt, [*keys, "reached"], "left").checkpoint()
         repeat = F.array_contains("path", F.col("sj_id"))
@@ -537,7 +537,6 @@ def transcript_paths(edges: DataFrame, max_penalty: int = 1, max_hops: int = 500
         )
         if open_.isEmpty():
             return done
-    raise ValueError(f"chains still open after {max_hops} hops")
 
 
 def longest_with_junction(paths: DataFrame, junction: str = "sj_id") -> DataFrame:

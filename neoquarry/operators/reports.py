@@ -84,9 +84,11 @@ def attach_gene_expression(df: DataFrame, expression: DataFrame | None) -> DataF
     )
 
 
-def rank1_report(frames: list[DataFrame], nmd: str = "bool_nmd", change: str = "my_change_type", buckets: int = BUCKETS) -> DataFrame:
+def rank1_report(frames: list[DataFrame], nmd: str = "bool_nmd", change: str = "myVEP_aa_orig_alt", buckets: int = BUCKETS) -> DataFrame:
     """Best peptide of every mutation outside NMD, original and altered peptides differing, with its fold change.
 
+    Rows without an amino-acid change (``None/None`` or null in ``change``) are left out.
+
     Several inputs are ranked on their own (column ``input``); ``binding`` marks rows that belong to the
     second report, which leaves out the category ``none``.
     """

@@ -40,10 +40,13 @@ def cumulative_counts(
 ) -> DataFrame:
     """One row per (keys, value): ``ties`` at the value, ``below`` it and ``total`` of the group.
 
-    ``weight`` sums a column instead of counting rows; null values are left out. ``buckets`` must be a power
+    ``weight`` sums a column instead of counting rows; null values and null keys are left out. ``buckets`` must be a power
     of two.
     """
     amount = F.sum(weight) if weight else F.count(F.lit(1))
+    # every caller joins the counts back on equal keys, so a group with a null key has no use
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
     grouped = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.cast("bigint").alias("ties"))
     if not keys:
         return _by_ranges(grouped, keys, value, buckets)
