@@ -274,17 +274,15 @@ def _across(placed: DataFrame, sets: DataFrame, members: DataFrame, percent: int
     rows = settled(placed.join(_largest_roots(placed), "key"))
     held = F.aggregate("planes", F.lit(0), lambda acc, p: acc + F.bit_count(p))
     cards = sets.join(members.select("node", F.col("n_shingles").alias("n")), "node").select("node", "n", (F.col("n") - held).alias("over"), "planes")
-    keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    rows = rows.join(cards, "node").join(keys, "node")
+    rows = rows.join(cards, "node")
     # a pair has a side outside the key's largest component, so that component is never paired with itself
-    names = ("node", "root", "n", "over", "keys", "planes")
+    names = ("node", "root", "n", "over", "planes")
     x = rows.where("root <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in names))
     y = rows.select("key", "main", *(F.col(c).alias(f"y_{c}") for c in names))
     most = "(least(x_over, y_over) + aggregate(zip_with(x_planes, y_planes, (p, q) -> bit_count(p & q)), 0, (n, b) -> n + b))"
     fits = f"{most} * {100 + percent} >= {percent} * (x_n + y_n)"
-    # a pair is taken under one of its common keys, and once if both sides are outside the largest component
-    once = "key = array_min(array_intersect(x_keys, y_keys)) and (y_root = main or x_node < y_node)"
-    pairs = x.join(y, "key").where(f"x_root <> y_root and {fits} and {once}")
+    # pairs with both sides outside the largest component are met from one side only
+    pairs = x.join(y, "key").where(f"x_root <> y_root and (y_root = main or x_node < y_node) and {fits}")
     return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
 
 
