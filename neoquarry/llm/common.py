@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoints, tune
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Words a worker remembers before its memory is emptied; it bounds memory, results do not depend on it.
 MEMORY_WORDS = 300_000
 
@@ -27,9 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written to the cluster's checkpoint folder, so lost executors recompute nothing before it."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, written to the cluster's checkpoint folder, so lost executors recompute nothing before it.
+
+    The shuffle files behind them are of no more use then and go at once, not when the driver next collects garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # the setting is read when a frame is made
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def with_nulls_as_empty(values: list) -> list:
