@@ -162,12 +162,31 @@ def condition_label(fx):
     return variants.condition_lookup(df, table)
 
 
-@query("""select concat(case_id, '_', row_number() over (partition by case_id order by k)) as row_id, case_id as sample, genome_pos, mhc_score_2 as mhc_altered
- from (select l_partkey, case_id, genome_pos, mhc_score_2, k from (select *, 0 as l_partkey, order_key as k, row_number() over (partition by order_key order by line_number, mhc_score_2, genome_pos, peptide_2, case_id) as n from {compare}) q where n = 1) r""")
+_REPORT_ORDER = [
+    "line_number", "mhc_score_2", "genome_pos", "peptide_2", "case_id", "gene_symbol", "ic50_score_1", "tap_score_1",
+    "tap_score_2", "my_change_type", "in_frame", "bool_nmd",
+]
+_REPORT_MORE = {
+    "proteasome_percentile_1": "cast(floor(proteasome_score_1 * 900) as int)",
+    "tap_percentile_1": "cast(floor(tap_score_1 * 700) as int)",
+    "aa_change": "concat(substring(peptide_1, 1, 1), '/', substring(peptide_2, 1, 1))",
+    "mut_neoep_rank_1": "cast(line_number as double)",
+}
+
+
+@query(f"""select concat(case_id, '_', row_number() over (partition by case_id order by order_key) - 1) as sample_row, case_id, gene_symbol, allele, genome_pos,
+ {_REPORT_MORE['aa_change']} as "myVEP_aa_orig_alt", my_change_type, in_frame, alt_readframe_type, peptide_1 as original_peptide, ic50_score_1 as ic50_score_orig,
+ case when ic50_score_1 <= 50 then 'HIGH' when ic50_score_1 <= 500 then 'MID' when ic50_score_1 <= 5000 then 'LOW' else 'none' end as aff_cat_orig,
+ proteasome_score_1 as proteasome_score_orig, tap_score_1 as tap_score_orig, {_REPORT_MORE['proteasome_percentile_1']} as proteasome_percentile_orig,
+ {_REPORT_MORE['tap_percentile_1']} as tap_percentile_orig, peptide_2 as altered_peptide, ic50_score_2 as ic50_score_alt, aff_cat_2 as aff_cat_alt,
+ proteasome_score_2 as proteasome_score_alt, tap_score_2 as tap_score_alt, proteasome_percentile_2 as proteasome_percentile_alt,
+ tap_percentile_2 as tap_percentile_alt, bool_nmd as "bool_NMD", fold_change as "Fold Change (orig/alt)", {_REPORT_MORE['mut_neoep_rank_1']} as mut_neoep_rank_1
+ from (select *, row_number() over (partition by order_key order by {', '.join(_REPORT_ORDER)}) as n from {{labelled}}) q where n = 1""")
 def report_projection(fx):
-    first = cohort.first_per_mutation(fx.compare, ["line_number", "mhc_score_2", "genome_pos", "peptide_2", "case_id"], ("order_key",))
-    columns = {"case_id": "sample", "genome_pos": "genome_pos", "mhc_score_2": "mhc_altered"}
-    return variants.report_projection(first, "case_id", "order_key", columns)
+    rows = labelled(fx).withColumn("aff_cat_1", scoring.affinity_category("ic50_score_1"))
+    rows = cohort.first_per_mutation(rows, _REPORT_ORDER, ("order_key",))
+    more = {("myVEP_aa_orig_alt" if c == "aa_change" else c): F.expr(e) for c, e in _REPORT_MORE.items()}
+    return variants.report_projection(rows.withColumns(more), "case_id", "order_key")
 
 
 # ---- peptide scores ---------------------------------------------------------------------------

@@ -165,28 +165,50 @@ def condition_lookup(df: DataFrame, table: DataFrame, sample: str = "case_id") -
     return df.join(table, sample, "left")
 
 
+# The published columns of the summary report, in their order, with the input column each is taken from.
 REPORT_COLUMNS = {
-    # input column -> report column, in report order
-    "case_id": "sample", "gene_symbol": "gene", "genome_pos": "genome_pos", "my_change_type": "change_type",
-    "in_frame": "in_frame", "allele": "HLA_allele", "peptide_1": "peptide_original", "peptide_2": "peptide_altered",
-    "ic50_score_1": "ic50_original", "ic50_score_2": "ic50_altered", "mhc_score_1": "mhc_original",
-    "mhc_score_2": "mhc_altered", "proteasome_score_1": "proteasome_original",
-    "proteasome_score_2": "proteasome_altered", "tap_score_1": "tap_original", "tap_score_2": "tap_altered",
-    "aff_cat_1": "affinity_original", "aff_cat_2": "affinity_altered", "express_count": "expression",
-    "express_percentile": "expression_percentile", "proteasome_percentile_2": "proteasome_percentile",
-    "tap_percentile_2": "tap_percentile", "isoform_id": "isoform", "my_HGVSc": "HGVSc", "my_HGVSp": "HGVSp",
-    "bool_nmd": "NMD",
+    "case_id": "case_id",
+    "gene_symbol": "gene_symbol",
+    "allele": "allele",
+    "genome_pos": "genome_pos",
+    "myVEP_aa_orig_alt": "myVEP_aa_orig_alt",
+    "my_change_type": "my_change_type",
+    "in_frame": "in_frame",
+    "alt_readframe_type": "alt_readframe_type",
+    "original_peptide": "peptide_1",
+    "ic50_score_orig": "ic50_score_1",
+    "aff_cat_orig": "aff_cat_1",
+    "proteasome_score_orig": "proteasome_score_1",
+    "tap_score_orig": "tap_score_1",
+    "proteasome_percentile_orig": "proteasome_percentile_1",
+    "tap_percentile_orig": "tap_percentile_1",
+    "altered_peptide": "peptide_2",
+    "ic50_score_alt": "ic50_score_2",
+    "aff_cat_alt": "aff_cat_2",
+    "proteasome_score_alt": "proteasome_score_2",
+    "tap_score_alt": "tap_score_2",
+    "proteasome_percentile_alt": "proteasome_percentile_2",
+    "tap_percentile_alt": "tap_percentile_2",
+    "bool_NMD": "bool_NMD",
+    "Fold Change (orig/alt)": "fold_change",
+    "mut_neoep_rank_1": "mut_neoep_rank_1",
 }
 
 
 def report_projection(
     df: DataFrame, file: str, order: str, columns: dict[str, str] | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Report columns in fixed order with a row id ``<file>_<i>``.
+    """Report columns in fixed order behind ``sample_row``, which is ``<file>_<i>`` with i from 0.
 
-    ``order`` is a numeric column without repeats within a file; it decides the running number.
+    ``columns`` names the input column of each report column; one that the input lacks is null, so the layout is
+    always the same. ``order`` is a numeric column without repeats within a file; it decides the running number.
+    Rows with a null file or order stay, without a number (null ``sample_row``).
     """
     place = cumulative_counts(df, [file], order, buckets=buckets).select(file, order, "below")
-    kept = [F.col(c).alias(n) for c, n in (columns or REPORT_COLUMNS).items() if c in df.columns]
-    row_id = F.concat(F.col(file), F.lit("_"), (F.col("below") + 1).cast("string")).alias("row_id")
-    return df.join(place, [file, order]).select(row_id, *kept)
+    known = {c.lower() for c in df.columns}
+    cells = [
+        (F.col(source) if source.lower() in known else F.lit(None).cast("string")).alias(name)
+        for name, source in (columns or REPORT_COLUMNS).items()
+    ]
+    number = F.concat(F.col(file).cast("string"), F.lit("_"), F.col("below").cast("string")).alias("sample_row")
+    return df.join(place, [file, order], "left").select(number, *cells)

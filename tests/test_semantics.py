@@ -148,3 +148,12 @@ def test_preferred_alleles(spark):
     assert (short["preferred_HLA"], short["preferred_HLA_copies"]) == ("HLA-A*01,HLA-B*02", "1,2")
     assert reports.preferred_hla(df, repeats=True).where("peptide_2 = 'P'").first()["preferred_HLA"] == "HLA-A*01,HLA-B*02,HLA-B*02"
     assert reports.preferred_hla_subgroup(df).where("peptide_2 = 'P'").first()["preferred_HLA_subgroup"] == "HLA-A,HLA-B"
+
+
+def test_report_keeps_every_row_and_its_layout(spark):
+    rows = [("a", 7, "p7"), ("a", 3, "p3"), ("b", 5, "p5"), ("a", None, "none"), (None, 4, "nowhere")]
+    df = spark.createDataFrame(rows, "case_id string, place long, peptide_2 string")
+    out = variants.report_projection(df, "case_id", "place")
+    assert out.columns == ["sample_row", *variants.REPORT_COLUMNS]
+    found = {r.altered_peptide: r.sample_row for r in out.collect()}
+    assert found == {"p3": "a_0", "p7": "a_1", "p5": "b_0", "none": None, "nowhere": None}
