@@ -324,6 +324,13 @@ def mutation_neoepitope_rank(fx):
     return reports.mutation_neoepitope_rank(df)
 
 
+@query(f"select order_key, line_number, case_id, genome_pos, mhc_score_2, {_MUT_RANK} as mut_neoep_rank_1 from {{compare}}")
+def mutation_neoepitope_rank_by_ranges(fx):
+    """The same ranks where every mutation of more than three rows is ranked by ranges."""
+    df = fx.compare.select("order_key", "line_number", "case_id", "genome_pos", "mhc_score_2")
+    return reports.mutation_neoepitope_rank(df, buckets=16, floor=3)
+
+
 _EXPR = "select concat('GENE', cast(p_partkey % 50 as string)) as gene_symbol, concat('S', cast(p_size % 12 as string)) as condition, max(p_retailprice) as express, cast(max(p_size) as double) as percentile from {part} where p_partkey % 50 < 30 group by 1, 2"
 
 
@@ -403,7 +410,7 @@ def mutation_summary_table(fx):
 # ---- cohort statistics ------------------------------------------------------------------------
 
 
-@query(f"select {ROW}, 'affinity=2;frame=0;class=2;nmd=checked;expression=20;proteasome=10;tap=10;endogenous=1' as filter_label from {{labelled}} where {FILTER_SQL}")
+@query(f"select {ROW}, 'MHC affinity >= MID | frame_stat = alteration only | neoep_stat = high-efficacy neoeps | Filter NMD = True | Gene Exp >= 20 | ProtCleav Thres >= 10 | TAP Thres >= 10 | Endogen Freq Thres <= 1' as filter_label from {{labelled}} where {FILTER_SQL}")
 def filter_neoepitopes(fx):
     return cohort.filter_neoepitopes(labelled(fx), FILTER).select(*ROWS, "filter_label")
 

@@ -392,17 +392,17 @@ def junction_neoepitope_windows(fx):
     return windows.select("sj_id", "isoform", "window_range", "window_start", "peptide_alt", "peptide_orig")
 
 
-_NOTES = "select distinct concat('I', cast(cast(floor(variant_id / 4.0) as bigint) as string)) as isoform, cds_start - 1 as position, concat(case change_type when 1 then 'insertion ' when 2 then 'deletion ' else 'mutation ' end, alt) as note from {sequences} where cds_start is not null"
+_NOTES = "select distinct concat('S', cast(variant_id % 2 as string)) as case_id, concat('I', cast(cast(floor(variant_id / 4.0) as bigint) as string)) as isoform, cds_start - 1 as position, concat(case change_type when 1 then 'insertion ' when 2 then 'deletion ' else 'mutation ' end, alt) as note from {sequences} where cds_start is not null"
 _NOTED = "select concat('I', cast(cast(floor(variant_id / 4.0) as bigint) as string)) as isoform, min(concat(cds, 'A')) as cds from {sequences} group by 1"
 
 
-@query(f"""with e as (select isoform, codon, string_agg(note, ',' order by note) as n from (select distinct isoform, cast(floor(position / 3.0) as bigint) as codon, note from ({_NOTES}) q) r group by 1, 2), s as ({_NOTED}),
- c as (select s.isoform, s.cds, i as codon, substr(s.cds, cast(i as bigint) * 3 + 1, 3) as t from s, unnest(range(0, cast(ceil(length(s.cds) / 3.0) as bigint))) u(i))
- select c.isoform, string_agg(concat(t, case when e.n is not null then concat('[', e.n, ']') else '' end), ' ' order by c.codon) as marked_sequence,
- string_agg(concat({sql_translate('t')}, case when e.n is not null then concat('[', e.n, ']') else '' end), '' order by c.codon) filter (length(t) = 3) as marked_protein from c left join e on e.isoform = c.isoform and e.codon = c.codon group by c.isoform""")
+@query(f"""with e as (select case_id, isoform, codon, string_agg(note, ',' order by note) as n from (select distinct case_id, isoform, cast(floor(position / 3.0) as bigint) as codon, note from ({_NOTES}) q) r group by 1, 2, 3), s as (select p.case_id, t.isoform, t.cds from ({_NOTED}) t left join (select distinct case_id, isoform from ({_NOTES}) m) p on p.isoform = t.isoform),
+ c as (select s.case_id, s.isoform, s.cds, i as codon, substr(s.cds, cast(i as bigint) * 3 + 1, 3) as t from s, unnest(range(0, cast(ceil(length(s.cds) / 3.0) as bigint))) u(i))
+ select c.case_id, c.isoform, string_agg(concat(t, case when e.n is not null then concat('[', e.n, ']') else '' end), ' ' order by c.codon) as marked_sequence,
+ string_agg(concat({sql_translate('t')}, case when e.n is not null then concat('[', e.n, ']') else '' end), '' order by c.codon) filter (length(t) = 3) as marked_protein from c left join e on e.case_id = c.case_id and e.isoform = c.isoform and e.codon = c.codon group by c.case_id, c.isoform""")
 def transcript_event_notes(fx):
     out = jp.transcript_event_notes(fx.sql(_NOTED), fx.sql(_NOTES))
-    return out.select("isoform", "marked_sequence", "marked_protein")
+    return out.select("case_id", "isoform", "marked_sequence", "marked_protein")
 
 
 @query("""with dens as (select r.isoform, r.num, r.gene, s.sample, sum(1) * 1e9 as n, r.end_pos - r.start_pos as len from {elements} r join {spans} s on s.chrom = r.chrom and r.start_pos < s.ref_end and s.ref_start < r.end_pos where r.feat_type = 'exon' group by r.isoform, r.num, r.gene, s.sample, r.end_pos - r.start_pos),

@@ -133,17 +133,17 @@ def apply_alteration(fx):
     return altered(fx).select("variant_id", "cds_alt")
 
 
-_EDITS = """select distinct concat('I', cast(cast(floor(variant_id / 4.0) as bigint) as string)) as isoform, cds_start as pos, case when change_type = 1 then 0 when change_type = 2 then cds_end - cds_start + 1 else 1 end as len, alt from {sequences} where cds_start is not null"""
+_EDITS = """select distinct concat('S', cast(variant_id % 2 as string)) as case_id, concat('I', cast(cast(floor(variant_id / 4.0) as bigint) as string)) as isoform, cds_start as pos, case when change_type = 1 then 0 when change_type = 2 then cds_end - cds_start + 1 else 1 end as len, alt from {sequences} where cds_start is not null"""
 _ISO_CDS = "select concat('I', cast(cast(floor(variant_id / 4.0) as bigint) as string)) as isoform, min(cds) as cds from {sequences} group by 1"
 
 
-@query(f"""with e as (select *, coalesce(max(pos + greatest(len, 1) - 1) over (partition by isoform order by pos, len, alt rows between unbounded preceding and 1 preceding) >= pos, false) as clash from ({_EDITS}) q),
- k as (select *, coalesce(lag(pos + len) over (partition by isoform order by pos, len, alt), 1) as prev from e where not clash), s as ({_ISO_CDS})
- select s.isoform, concat(string_agg(concat(substr(s.cds, k.prev, k.pos - k.prev), k.alt), '' order by k.pos), substr(s.cds, max(k.pos + k.len))) as cds_alt, count(*) as applied, (select count(*) from e where e.isoform = s.isoform and clash) as rejected
- from s join k on k.isoform = s.isoform group by s.isoform, s.cds""")
+@query(f"""with e as (select *, coalesce(max(pos + greatest(len, 1) - 1) over (partition by case_id, isoform order by pos, len, alt rows between unbounded preceding and 1 preceding) >= pos, false) as clash from ({_EDITS}) q),
+ k as (select *, coalesce(lag(pos + len) over (partition by case_id, isoform order by pos, len, alt), 1) as prev from e where not clash), s as ({_ISO_CDS})
+ select k.case_id, s.isoform, concat(string_agg(concat(substr(s.cds, k.prev, k.pos - k.prev), k.alt), '' order by k.pos), substr(s.cds, max(k.pos + k.len))) as cds_alt, count(*) as applied, (select count(*) from e where e.case_id = k.case_id and e.isoform = s.isoform and clash) as rejected
+ from s join k on k.isoform = s.isoform group by k.case_id, s.isoform, s.cds""")
 def apply_alterations_multi(fx):
     out = s.apply_alterations_multi(fx.sql(_EDITS), fx.sql(_ISO_CDS))
-    return out.select("isoform", "cds_alt", "applied", F.size("rejected").alias("rejected"))
+    return out.select("case_id", "isoform", "cds_alt", "applied", F.size("rejected").alias("rejected"))
 
 
 ORACLE_ONLY["codons"] = """select variant_id, case when ok then case when change_type = 1 then lower(substr(cds, lo + 1, hi - lo + 1)) else concat(lower(substr(cds, lo + 1, cds_start - 1 - lo)), upper(substr(cds, cds_start, cds_end - cds_start + 1)), lower(substr(cds, cds_end + 1, hi + 1 - cds_end))) end end as codon_orig_marked,
@@ -225,7 +225,7 @@ _SAME = "substr(cds, cast(i as bigint) + 1, least(n, i + 27) - i) = substr(cds_a
 
 
 @query(f"""select variant_id, lo as region_start, hi as region_end, case when lo is not null then {sql_cut('cds', 'lo', 'hi')} else '' end as region_orig, case when lo is not null then {sql_cut('cds_alt', 'lo', 'hi')} else '' end as region_alt
- from (select *, case when f >= 0 then f + 1 - (f + 1) % 3 end as lo, case when f >= 0 then coalesce(least(n, again + 27), -1) end as hi from (
+ from (select *, case when f >= 0 then f + 1 - (f + 1) % 3 end as lo, case when f >= 0 then case when again is not null then least(n, again + 27) else -1 end end as hi from (
  select *, list_min(list_filter(range(f, n), lambda i: {_SAME})) as again from (select *, coalesce(list_min(list_filter(range(0, n), lambda i: not ({_SAME}))), -1) as f from (select variant_id, cds, cds_alt, length(cds_alt) as n from {{proteins}}) a) b) c) d""")
 def nucleotide_region_diff(fx):
     out = s.altered_region(altered(fx).where("cds_alt <> ''"), method="nucleotide")

@@ -189,11 +189,11 @@ def resume_incremental(fx):
     return w.resume_incremental(c, c.where("line_number = 3"), ("case_id", "genome_pos")).select("order_key", "line_number", "case_id", "genome_pos")
 
 
-@query("""select concat('>', tag, i, '|', substr(sha256(cast(variant_id as varchar)), 1, 10), '|', i, ':', i + 9) as title, substr(p, cast(i as bigint) + 1, 9) as peptide from (select variant_id, i, 'm' as tag, aa_alt_stop as p from {neoep}, unnest(range(0, length(aa_alt_stop) - 8)) u(i)
+@query("""select concat('>neo|', substr(sha256(cast(variant_id as varchar)), 1, 10), '|', tag, i, '|variant|', i, ':', i + 9, '|', i, ' of 1') as title, substr(p, cast(i as bigint) + 1, 9) as peptide from (select variant_id, i, 'm' as tag, aa_alt_stop as p from {neoep}, unnest(range(0, length(aa_alt_stop) - 8)) u(i)
  union all select variant_id, i, 'o', aa_orig_stop from {neoep}, unnest(range(0, length(aa_alt_stop) - 8)) u(i)) q""")
 def export_peptide_fasta(fx):
     path = shared_dir(fx.spark, "peptides")
-    w.export_peptide_fasta(s.peptide_windows(compared(fx)), ["variant_id"], path)
+    w.export_peptide_fasta(s.peptide_windows(compared(fx)), ["variant_id"], path, "neo", "variant")
     back = fx.spark.read.option("lineSep", ">").text(path).where(F.length("value") > 0)
     lines = F.split("value", "\n")
     return back.select(F.concat(F.lit(">"), F.get(lines, F.lit(0))).alias("title"), F.get(lines, F.lit(1)).alias("peptide"))

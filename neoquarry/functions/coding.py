@@ -84,6 +84,11 @@ def match_length(original, altered) -> Column:
     return F.when(k >= F.length(col(altered)), least).otherwise(k)
 
 
+def first_hit(places, test) -> Column:
+    """First place that passes the test, -1 if none; places behind it are not tested."""
+    return F.aggregate(places, F.lit(-1), lambda hit, i: F.when(hit >= 0, hit).when(test(i), i).otherwise(-1))
+
+
 def reconvergence(original, altered, diverged, letters) -> Column:
     """First index at or after ``diverged`` from which the next letters occur anywhere in the original; -1 if none.
 
@@ -91,11 +96,8 @@ def reconvergence(original, altered, diverged, letters) -> Column:
     """
     o, v, d, k = col(original), col(altered), col(diverged), col(letters)
     last = F.length(v) - k
-    found = F.filter(
-        F.when((d >= 0) & (last >= d), F.sequence(d, last)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.contains(o, F.substring(v, i + 1, k)),
-    )
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(-1))
+    places = F.when((d >= 0) & (last >= d), F.sequence(d, last)).otherwise(F.array().cast("array<int>"))
+    return first_hit(places, lambda i: F.contains(o, F.substring(v, i + 1, k)))
 
 
 def altered_window(original_cds, altered_cds, start_aa, stop_aa, peptide: int = PEPTIDE) -> tuple[Column, Column]:
@@ -123,11 +125,11 @@ def next_equal_window(original, altered, start, peptide: int = PEPTIDE) -> Colum
     o, v, s = col(original), col(altered), col(start)
     n = F.length(v)
     stop = lambda i: F.least(n, i + 3 * peptide)
-    again = F.filter(
-        F.when((s >= 0) & (n > s), F.sequence(s, n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substring(o, i + 1, stop(i) - i) == F.substring(v, i + 1, stop(i) - i),
+    places = F.when((s >= 0) & (n > s), F.sequence(s, n - 1)).otherwise(F.array().cast("array<int>"))
+    again = first_hit(
+        places, lambda i: F.substring(o, i + 1, stop(i) - i) == F.substring(v, i + 1, stop(i) - i)
     )
-    return F.coalesce(stop(F.get(again, F.lit(0))), F.lit(-1))
+    return F.when(again >= 0, stop(again)).otherwise(-1)
 
 
 def codons_before(offset, n: int, frame: int = 0) -> Column:

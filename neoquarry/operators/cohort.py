@@ -17,6 +17,17 @@ CHANGES = ["mutation", "insertion", "deletion"]
 FRAMES = ["inframe", "frameshift", "Unknown"]
 TYPE_VALUES = {0: CHANGES, 1: FRAMES, 2: [f"{c}_{f}" for c in CHANGES for f in FRAMES]}
 AFFINITY_LEVELS = {1: ["HIGH", "MID", "LOW"], 2: ["HIGH", "MID"], 3: ["LOW"], 4: ["MID"], 5: ["HIGH"]}
+# The texts of the filter label.
+AFFINITY_TEXT = {
+    1: "MHC affinity >= LOW", 2: "MHC affinity >= MID", 3: "MHC affinity = LOW Only",
+    4: "MHC affinity = MID Only", 5: "MHC affinity = HIGH ONLY",
+}
+FRAME_TEXT = {
+    0: "frame_stat = alteration only", 1: "frame_stat = read-frame only", 2: "frame_stat = alteration + read-frame",
+}
+CLASS_TEXT = {
+    0: "neoep_stat = all neoeps", 1: "neoep_stat = high-affinity neoeps", 2: "neoep_stat = high-efficacy neoeps",
+}
 
 
 @dataclass(frozen=True)
@@ -61,12 +72,13 @@ class NeoepitopeFilter:
         return tests
 
     def label(self) -> str:
-        parts = [f"affinity={self.mhc_affinity}", f"frame={self.frame_stat}", f"class={self.neoep_stat}",
-                 f"nmd={'checked' if self.check_nmd else 'ignored'}"]
-        for name, limit in (("expression", self.min_expression), ("proteasome", self.min_proteasome),
-                            ("tap", self.min_tap), ("endogenous", self.max_endogenous)):
-            parts.append(f"{name}={'off' if limit <= -1 else f'{limit:g}'}")
-        return ";".join(parts)
+        parts = [
+            AFFINITY_TEXT.get(self.mhc_affinity), FRAME_TEXT.get(self.frame_stat), CLASS_TEXT.get(self.neoep_stat),
+            f"Filter NMD = {self.check_nmd}", f"Gene Exp >= {self.min_expression}",
+            f"ProtCleav Thres >= {self.min_proteasome}", f"TAP Thres >= {self.min_tap}",
+            f"Endogen Freq Thres <= {self.max_endogenous}",
+        ]
+        return " | ".join(p for p in parts if p)
 
 
 def filter_neoepitopes(df: DataFrame, settings: NeoepitopeFilter) -> DataFrame:

@@ -79,16 +79,20 @@ def junction_neoepitopes(
     ).drop("_first", "_oc", "_oa", "_oj", "_end", "_a", "_b", "_v", "_bd", "mrna", "mrna_alt")
 
 
-def transcript_event_notes(sequences: DataFrame, events: DataFrame, key: str = "isoform", seq: str = "cds") -> DataFrame:
-    """Sequence and protein text with the notes of each codon in brackets behind it.
+def transcript_event_notes(
+    sequences: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("case_id", "isoform"), seq: str = "cds"
+) -> DataFrame:
+    """Sequence and protein text of each sample with the notes of each codon in brackets behind it.
 
-    ``events`` has key, position (0-based offset) and note. Equal notes collapse map-side, so a transcript
-    gathers its distinct notes only.
+    ``events`` has the keys, position (0-based offset) and note; ``sequences`` has at least one of the keys.
+    A transcript without a sample gives one row for every sample with events, and one without a sample if
+    there is none. Equal notes collapse map-side, so a key gathers the distinct notes of one sample only.
     """
-    distinct = events.select(key, F.floor(F.col("position") / 3).cast("int").alias("codon"), "note").distinct()
-    notes = distinct.groupBy(key, "codon").agg(F.array_join(F.array_sort(F.collect_list("note")), ",").alias("n"))
-    packed = notes.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("codon", "n"))).alias("_m"))
-    rows = sequences.join(packed, key, "left").withColumn("_c", F.regexp_extract_all(seq, F.lit(".{1,3}"), F.lit(0)))
+    shared = [k for k in keys if k in sequences.columns]
+    distinct = events.select(*keys, F.floor(F.col("position") / 3).cast("int").alias("codon"), "note").distinct()
+    notes = distinct.groupBy(*keys, "codon").agg(F.array_join(F.array_sort(F.collect_list("note")), ",").alias("n"))
+    packed = notes.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("codon", "n"))).alias("_m"))
+    rows = sequences.join(packed, shared, "left").withColumn("_c", F.regexp_extract_all(seq, F.lit(".{1,3}"), F.lit(0)))
 
     def marked(show):
         def one(codon, i):

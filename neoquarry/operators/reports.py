@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import col
-from ..plans.ordered import BUCKETS, with_rank
+from ..plans.ordered import BUCKETS, HEAVY_FLOOR, with_rank
 from .scoring import affinity_category
 
 
@@ -65,9 +65,13 @@ def mutation_neoepitope_rank(
     score: str = "mhc_score_2",
     ties: str = "average",
     buckets: int = BUCKETS,
+    floor: int = HEAVY_FLOOR,
 ) -> DataFrame:
-    """Descending rank of the altered peptide within its mutation; with average ties a shared top rank is above 1."""
-    return with_rank(df, list(keys), score, "mut_neoep_rank_1", ties=ties, buckets=buckets)
+    """Descending rank of the altered peptide within its mutation; with average ties a shared top rank is above 1.
+
+    ``floor`` is the number of rows from which a mutation is ranked by ranges.
+    """
+    return with_rank(df, list(keys), score, "mut_neoep_rank_1", ties=ties, buckets=buckets, floor=floor)
 
 
 def attach_gene_expression(df: DataFrame, expression: DataFrame | None) -> DataFrame:

@@ -106,15 +106,19 @@ def apply_alteration(df: DataFrame, changed: Column | None = None) -> DataFrame:
     return df.withColumn("cds_alt", altered)
 
 
-def apply_alterations_multi(edits: DataFrame, sequences: DataFrame, key: str = "isoform") -> DataFrame:
-    """Several alterations of one transcript applied together.
+def apply_alterations_multi(
+    edits: DataFrame, sequences: DataFrame, keys: tuple[str, ...] = ("case_id", "isoform")
+) -> DataFrame:
+    """Several alterations of one transcript of one sample applied together.
 
-    ``edits`` has key, pos (1-based), len (bases removed, 0 for an insertion before ``pos``) and alt. An edit
+    ``edits`` has the keys, pos (1-based), len (bases removed, 0 for an insertion before ``pos``) and alt;
+    ``sequences`` has at least one of the keys, and a transcript without a sample serves them all. An edit
     that starts inside an earlier one is set aside (``rejected``). Repeated edits collapse map-side, so a
-    transcript gathers no more than its distinct edits.
+    key gathers no more than the distinct edits of one sample.
     """
+    shared = [k for k in keys if k in sequences.columns]
     last = F.col("_e")
-    gathered = edits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("pos", "len", "alt"))).alias("_e"))
+    gathered = edits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("pos", "len", "alt"))).alias("_e"))
     nothing = F.filter(last, lambda e: F.lit(False))
     state = F.struct(nothing.alias("kept"), nothing.alias("rejected"), F.lit(0).cast("bigint").alias("reach"))
 
@@ -134,8 +138,9 @@ def apply_alterations_multi(edits: DataFrame, sequences: DataFrame, key: str = "
         )
 
     sorted_out = gathered.withColumn("_s", F.aggregate(last, state, admit))
-    return sequences.join(sorted_out, key).select(
+    return sequences.join(sorted_out, shared).select(
         *sequences.columns,
+        *[k for k in keys if k not in shared],
         F.aggregate(F.reverse(F.col("_s.kept")), F.col("cds"), put).alias("cds_alt"),
         F.size("_s.kept").alias("applied"),
         F.col("_s.rejected").alias("rejected"),
@@ -164,14 +169,31 @@ def translate(df: DataFrame, seq: str = "cds", name: str = "protein", to_stop: b
 
 
 def longest_orf(df: DataFrame, seq: str = "cds") -> DataFrame:
-    """Every start codon translated to the first stop; the longest proteins of a sequence, one row each."""
+    """Every start codon translated to the first stop; the longest proteins of a sequence, one row each.
+
+    Each frame is translated once. Between two stops the first start codon gives the longest protein, so
+    only that one counts.
+    """
     q = F.col(seq)
-    places = F.when(F.length(q) >= 3, F.sequence(F.lit(1), F.length(q) - 2)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(places, lambda i: F.substring(q, i, F.lit(3)) == "ATG")
-    found = F.transform(
-        starts,
-        lambda i: F.struct(i.alias("orf_start"), translate_cds(F.substring(q, i, F.length(q)), True).alias("orf_protein")),
-    )
+    none = F.array().cast("array<struct<orf_start:int,orf_protein:string>>")
+    state = F.struct(F.lit(0).alias("at"), none.alias("orfs"))
+
+    def frame(f):
+        def take(acc, part):
+            m = F.instr(part, "M")
+            orf = F.struct(
+                (3 * (acc["at"] + m - 1) + f).cast("int").alias("orf_start"),
+                F.substring(part, m, F.length(part)).alias("orf_protein"),
+            )
+            return F.struct(
+                (acc["at"] + F.length(part) + 1).cast("int").alias("at"),
+                F.when(m > 0, F.array_append(acc["orfs"], orf)).otherwise(acc["orfs"]).alias("orfs"),
+            )
+
+        parts = F.split(translate_cds(F.substring(q, F.lit(f), F.length(q))), "[*]")
+        return F.aggregate(parts, state, take)["orfs"]
+
+    found = F.concat(*[frame(f) for f in (1, 2, 3)])
     best = F.array_max(F.transform("_orfs", lambda o: F.length(o["orf_protein"])))
     return (
         unroll(df.withColumn("_orfs", found), "_orf", F.filter("_orfs", lambda o: F.length(o["orf_protein"]) == best))

@@ -10,6 +10,8 @@ quantiles only steer the balance; the counts are exact.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,14 +99,48 @@ def with_ranks(
     ranks: dict[str, tuple[str, bool]],
     ties: str = "average",
     buckets: int = BUCKETS,
+    floor: int = HEAVY_FLOOR,
 ) -> DataFrame:
-    """Add ranks within ``keys``: result column -> (value column, ascending). A null value gets a null rank.
+    """Add ranks within ``keys``: result column -> (value column, ascending). A null value or key gets a null rank.
 
+    Rows of ordinary groups go through one window each, on one shuffle. Groups with more than ``floor`` rows
+    and more than a ten-thousandth of all rows are counted by ranges instead; both ways give the same ranks.
     Every count reads the input itself, not the frame that already carries other ranks.
     """
+    if not keys:
+        return _counted_ranks(df, keys, ranks, ties, buckets)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    sizes = df.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    share = sizes.select((F.sum("_n") / HEAVY_SHARE).cast("bigint")).scalar()
+    listed = sizes.where(F.col("_n") > F.greatest(F.coalesce(share, F.lit(0)), F.lit(floor)))
+    marked = df.join(F.broadcast(listed.select(*keys, F.lit(True).alias("_heavy"))), keys, "left")
+    light = _window_ranks(marked.where(F.col("_heavy").isNull()), keys, known, ranks, ties)
+    heavy = _counted_ranks(marked.where("_heavy").select(*df.columns), keys, ranks, ties, buckets)
+    columns = [*df.columns, *ranks]
+    return light.select(*columns).unionByName(heavy.select(*columns))
+
+
+def _window_ranks(df: DataFrame, keys: list[str], known: Column, ranks: dict, ties: str) -> DataFrame:
+    # rows without a key have no rank: they are dealt by their content instead of meeting under one null
+    content = [F.col(f"`{n}`") for n, t in df.dtypes if "map<" not in t and t != "variant"]
+    df = df.withColumn("_deal", F.when(~known, F.xxhash64(*content)).otherwise(F.lit(0)))
+    group = W.partitionBy(*keys, "_deal")
+    for name, (value, ascending) in ranks.items():
+        order = F.asc_nulls_last(value) if ascending else F.desc_nulls_last(value)
+        place = F.rank().over(group.orderBy(order)).cast("double")
+        if ties == "average":
+            place = place + (F.count(value).over(W.partitionBy(*keys, "_deal", value)) - 1) / 2
+        df = df.withColumn(name, F.when(known & F.col(value).isNotNull(), place))
+    return df
+
+
+def _counted_ranks(df: DataFrame, keys: list[str], ranks: dict, ties: str, buckets: int) -> DataFrame:
+    known = [F.col(k).isNotNull() for k in keys]
     out = df
     for name, (value, ascending) in ranks.items():
-        counts = cumulative_counts(df, keys, value, buckets=buckets)
+        rows = df.where(reduce(lambda a, b: a & b, [*known, F.col(value).isNotNull()]))
+        grouped = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
+        counts = _by_ranges(grouped, keys, value, buckets)
         lower = F.col("below") if ascending else F.col("total") - F.col("below") - F.col("ties")
         step = (F.col("ties") + 1) / 2 if ties == "average" else F.lit(1)
         out = out.join(counts.select(*keys, value, (lower + step).cast("double").alias(name)), [*keys, value], "left")
@@ -119,8 +155,9 @@ def with_rank(
     ascending: bool = False,
     ties: str = "average",
     buckets: int = BUCKETS,
+    floor: int = HEAVY_FLOOR,
 ) -> DataFrame:
-    return with_ranks(df, keys, {name: (value, ascending)}, ties, buckets)
+    return with_ranks(df, keys, {name: (value, ascending)}, ties, buckets, floor)
 
 
 def strict_percentiles(

@@ -47,16 +47,23 @@ def resume_incremental(variants: DataFrame, done: DataFrame, keys: tuple[str, ..
     return variants.join(done.select(*keys), list(keys), "left_anti")
 
 
-def peptide_fasta(windows: DataFrame, key: list[str], id_length: int = FASTA_ID) -> DataFrame:
-    """Two records per window: mutant ``m<i>`` and original ``o<i>``. The run id is a hash of the key, so it repeats."""
+def peptide_fasta(
+    windows: DataFrame, key: list[str], prefix: str = "", extra: str = "", id_length: int = FASTA_ID
+) -> DataFrame:
+    """Two records per window, mutant ``m<i>`` and original ``o<i>``: ``>prefix|id|m<i>|extra|frame|i of n``.
+
+    ``n`` is the number of peptides in the record, one for a single window. The run id is a hash of the key,
+    so it repeats.
+    """
+    place = F.col("window_start").cast("string")
     run = F.substring(F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in key]), 256), 1, id_length)
 
     def record(tag, peptide):
-        title = F.concat(F.lit(f">{tag}"), F.col("window_start").cast("string"))
-        return F.concat_ws("\n", F.concat_ws("|", title, run, "window_frame"), F.col(peptide))
+        title = [F.lit(f">{prefix}"), run, F.concat(F.lit(tag), place), F.lit(extra), F.col("window_frame")]
+        return F.concat_ws("\n", F.concat_ws("|", *title, F.concat(place, F.lit(" of 1"))), F.col(peptide))
 
     return windows.select(F.explode(F.array(record("m", "peptide_alt"), record("o", "peptide_orig"))).alias("value"))
 
 
-def export_peptide_fasta(windows: DataFrame, key: list[str], path: str) -> None:
-    peptide_fasta(windows, key).write.mode("overwrite").text(path)
+def export_peptide_fasta(windows: DataFrame, key: list[str], path: str, prefix: str = "", extra: str = "") -> None:
+    peptide_fasta(windows, key, prefix, extra).write.mode("overwrite").text(path)

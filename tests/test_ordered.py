@@ -43,6 +43,28 @@ def test_rank_ties(spark):
     assert out[("a", 3.0)] == 1.0
 
 
+@pytest.mark.parametrize("floor", [50, 10**6])
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("ties", ["average", "min"])
+def test_ranks_by_window_and_by_ranges(spark, floor, ascending, ties):
+    rows = [(i, k, v) for i, (k, v) in enumerate(_rows() + [(None, 1.0)] * 300 + [(None, None)])]
+    df = spark.createDataFrame(rows, "i int, k string, v double")
+    out = with_rank(df, ["k"], "v", "r", ascending=ascending, ties=ties, buckets=16, floor=floor)
+    assert out.columns == ["i", "k", "v", "r"]
+    got = {r["i"]: r["r"] for r in out.collect()}
+    assert len(got) == len(rows)
+    groups = {}
+    for _, k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    for i, k, v in rows:
+        if k is None or v is None:
+            assert got[i] is None
+            continue
+        before = sum(x < v if ascending else x > v for x in groups[k])
+        assert got[i] == before + ((groups[k].count(v) + 1) / 2 if ties == "average" else 1)
+
+
 def test_strict_percentile(spark):
     ref = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("x", 2.0), ("x", 4.0)], "k string, v double")
     probes = spark.createDataFrame([("x", 0.5), ("x", 2.0), ("x", 9.0), ("x", None), ("empty", 1.0)], "k string, v double")

@@ -157,3 +157,48 @@ def test_report_keeps_every_row_and_its_layout(spark):
     assert out.columns == ["sample_row", *variants.REPORT_COLUMNS]
     found = {r.altered_peptide: r.sample_row for r in out.collect()}
     assert found == {"p3": "a_0", "p7": "a_1", "p5": "b_0", "none": None, "nowhere": None}
+
+
+def test_first_hit_in_long_sequences(spark):
+    protein = "ACDEFGHIKLMNPQRSTVWY" * 1500
+    changed = protein[:15] + "WW" + protein[17:]
+    rows = [("p", protein, changed, 15), ("same", "ACDEFGHIKL", "ACDEFGHIKL", -1)]
+    df = spark.createDataFrame(rows, "k string, o string, v string, d int").withColumn("n", F.lit(6))
+    got = {r[0]: r[1] for r in df.select("k", c.reconvergence("o", "v", "d", "n")).collect()}
+    assert got == {"p": 17, "same": -1}
+
+
+def test_next_equal_window(spark):
+    rows = [("again", "A" * 60, "A" * 10 + "C" + "A" * 49, 0), ("never", "AC" * 30, "CA" * 30, 0), ("no start", "A", "A", -1)]
+    df = spark.createDataFrame(rows, "k string, o string, v string, s int")
+    got = {r[0]: r[1] for r in df.select("k", c.next_equal_window("o", "v", "s")).collect()}
+    assert got == {"again": 38, "never": -1, "no start": -1}
+
+
+def test_longest_orf(spark):
+    rows = [
+        (1, "ATGATGAAATAGATGCCCAAATAA"), (2, "CATGAAACCC"), (3, "CCC"), (4, ""), (5, "TAAATGTAA"), (6, None),
+        (7, "atgaaatag"),
+    ]
+    df = spark.createDataFrame(rows, "k int, cds string")
+    got = sorted((r["k"], r["orf_start"], r["orf_protein"]) for r in sequences.longest_orf(df).collect())
+    assert got == [(1, 1, "MMK"), (1, 13, "MPK"), (2, 2, "MKP"), (5, 4, "M"), (7, 1, "MK")]
+
+
+def test_alterations_of_two_samples_stay_apart(spark):
+    edits = spark.createDataFrame(
+        [("s1", "I", 1, 1, "C"), ("s1", "I", 1, 1, "C"), ("s2", "I", 3, 1, "T"), ("s2", "I", 3, 1, "G")],
+        "case_id string, isoform string, pos int, len int, alt string",
+    )
+    models = spark.createDataFrame([("I", "AAAA"), ("J", "CC")], "isoform string, cds string")
+    got = {r["case_id"]: (r["cds_alt"], r["applied"], len(r["rejected"])) for r in sequences.apply_alterations_multi(edits, models).collect()}
+    assert got == {"s1": ("CAAA", 1, 0), "s2": ("AAGA", 1, 1)}
+
+
+def test_filter_label():
+    label = cohort.NeoepitopeFilter(mhc_affinity=5, frame_stat=2).label()
+    assert label == (
+        "MHC affinity = HIGH ONLY | frame_stat = alteration + read-frame | neoep_stat = all neoeps | Filter NMD = False"
+        " | Gene Exp >= -1 | ProtCleav Thres >= -1 | TAP Thres >= -1 | Endogen Freq Thres <= -1"
+    )
+    assert cohort.NeoepitopeFilter().label().startswith("frame_stat = alteration only | ")
