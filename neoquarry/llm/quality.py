@@ -36,7 +36,7 @@ class Rules:
     core: float = 0.75  # share of a group's rows the estimate rests on
     steps: int = 5
     least_rows: int = 200  # smaller groups are pooled
-    cutoff: float = 1e-7  # probability, under the core's normal law, of a distance past the bound
+    cutoff: float = 1e-3  # probability, under the core's normal law, of a distance past the bound
     # least standard deviation of each feature; the core of a clean corpus may not vary at all in some
     floors: tuple[float, ...] = (0.05, 0.05, 0.05, 0.10, 0.10, 0.05)
 

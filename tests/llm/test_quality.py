@@ -1,6 +1,7 @@
 """Quality rules next to plain counting and to a plain estimate; importance resampling next to a plain one."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -80,6 +81,21 @@ def test_clean_stay_and_junk_goes(spark):
     assert np.mean(clean) > 0.99 and np.mean(junk) < 0.3
 
 
+def test_repeats_alone_can_fail():
+    rules = quality.Rules()
+    bound = quality.chi_square_bound(6, rules.cutoff) * quality.core_factor(rules.core, 6)
+    # the share of repeated words at the bound, from a centre of none: below the base rule's
+    assert bound * rules.floors[quality.FEATURES.index("repeats")] ** 2 * 100 < rules.most_repeats
+
+
+def test_held_out_junk_goes(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
+    held = {r.doc_id: r.quality for r in labels if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    got = [r for r in queries.op7_quality(spark, "/root/testdata/sf0.1").collect() if r.doc_id in held and not r.base_failed]
+    clean, junk = ([r.kept for r in got if held[r.doc_id] == q] for q in (1, 0))
+    assert np.mean(clean) > 0.99 and np.mean(junk) < 0.02
+
+
 def test_edges(spark):
     rows = [(1, None, None, None, 0), (1, None, None, None, 0), (None, "w " * 30 + "x y z " * 5000, "en", None, 0), (2, " ".join(f"w{i}" for i in range(60)), None, "s", 0)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as grp", "2 as n_words", "3 as centre")
