@@ -1,20 +1,22 @@
 """Main text of web pages by differencing pages with their nearest neighbours.
 
 Pages are sorted by host and URL path; a page's partner is, of the pages before and after it on its host that hold
-something else, the one whose path has more in common with its own. The lines of the two pages (texts of blocks) are
+something else, the one whose path has more in common with its own. Neighbouring pages with equal lines are one run with
+one partner, whatever tasks it lies in: the page before its first or the page after its last. The lines of the two pages (texts of blocks) are
 aligned by a longest common subsequence, and what both share is template: it is deleted. A line inside an element that
 declares the article is kept even if both pages have it: two articles may well hold the same sentence. Elements that
 declare themselves as something else (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments)
 are left out, since they often differ from page to page and no alignment finds them.
 
 The sort is a range shuffle of narrow rows (line hashes, no text), so a host with a third of all pages is spread over
-many tasks; neighbours across a border between two tasks come from the first and last row of each.
+many tasks; what a run meets across borders between tasks comes from the first and last run of each.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -272,46 +274,45 @@ def _partners(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = narrow.repartitionByRange(parts, "host", "path", "page_key").sortWithinPartitions("host", "path", "page_key")
     ordered = settled(ordered.withColumn("part", F.spark_partition_id()))
-    # the first and last row of every part: two rows per task
-    order = F.struct("host", "path", "page_key")
-    borders = ordered.groupBy("part").agg(F.min_by(F.struct("host", "path", "lines"), order).alias("first"), F.max_by(F.struct("host", "path", "lines"), order).alias("last"))
-    borders = sorted(borders.collect(), key=lambda r: r.part)
-    around = {
-        r.part: (tuple(borders[i - 1].last) if i else None, tuple(borders[i + 1].first) if i + 1 < len(borders) else None)
-        for i, r in enumerate(borders)
-    }
-    shared = rows.sparkSession.sparkContext.broadcast(around)
+    ends = sorted(ordered.mapInArrow(_ends, f"part int, first {_RUN}, last {_RUN}, second {_ROW}, back {_ROW}").collect(), key=lambda r: r.part)
+    before = _carried([(r.first, r.last, r.back) for r in ends])
+    turned = lambda run: (run[0], run[1], run[3], run[2])
+    after = _carried([(turned(r.last), turned(r.first), r.second) for r in reversed(ends)])[::-1]
+    shared = rows.sparkSession.sparkContext.broadcast({r.part: both for r, *both in zip(ends, before, after)})
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = after = held = None
         out: list[tuple[int, list[int]]] = []
 
-        def settle(following) -> None:
-            # the page in hand, now that the one behind it is known
-            nonlocal before
-            key, host, path, lines = held
-            both = [n for n in (before, following) if n is not None and n[0] == host and n[2] != lines]
-            if both:
-                out.append((key, max(both, key=lambda n: _common_prefix(n[1], path))[2]))
-            # of a run of equal pages the one before the run stays in mind
-            if before is None or before[0] != host or before[2] == lines or held_differs(following, host, lines):
-                before = (host, path, lines)
-
-        def held_differs(following, host, lines) -> bool:
-            return following is None or following[0] != host or following[2] != lines
-
+        def settle(start: str, front, end: str, behind) -> Iterator[pa.RecordBatch]:
+            # the run in hand, between the path and lines of the pages around it
+            around = [(_common_prefix(n[0], path), n[1]) for n, path in ((front, start), (behind, end)) if n is not None]
+            if around:
+                partner = max(around, key=lambda n: n[0])[1]
+                for key in keys:
+                    out.append((key, partner))
+                    if len(out) >= 4096:
+                        yield _paired(out)
+                        out.clear()
+
+        run = front = start = None
+        keys = array("q")
         for batch in batches:
             for key, host, path, lines, part in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if held is None:
-                    before, after = shared.value[part]
+                if run is None:
+                    start, front = shared.value[part][0]
+                elif run[:2] == (host, lines):
+                    run = (host, lines, path, part)
+                    keys.append(key)
+                    continue
                 else:
-                    settle((host, path, lines))
-                held = (key, host, path, lines)
-            if len(out) >= 4096:
-                yield _paired(out)
-                out.clear()
-        if held is not None:
-            settle(after)
+                    same = run[0] == host
+                    yield from settle(start, front, run[2], (path, lines) if same else None)
+                    start, front = path, (run[2], run[1]) if same else None
+                    keys = array("q")
+                run = (host, lines, path, part)
+                keys.append(key)
+        if run is not None:
+            yield from settle(start, front, *shared.value[run[3]][1])
         yield _paired(out)
 
     found = ordered.mapInArrow(pair, "page_key long, partner array<bigint>")
@@ -320,3 +321,46 @@ def _partners(rows: DataFrame) -> DataFrame:
 
 def _paired(out: list[tuple[int, list[int]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([p for _, p in out], pa.list_(pa.int64()))], names=["page_key", "partner"])
+
+
+_ROW = "struct<host: string, path: string, lines: array<bigint>>"
+_RUN = "struct<host: string, lines: array<bigint>, start: string, end: string>"
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part its first and last run, the page after the first one and the page before the last one."""
+    first = last = second = back = part = None
+    for batch in batches:
+        for host, path, lines, part in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+            if last is not None and (last["host"], last["lines"]) == (host, lines):
+                last["end"] = path
+                continue
+            if last is not None:
+                back = {"host": last["host"], "path": last["end"], "lines": last["lines"]}
+                second = second or {"host": host, "path": path, "lines": lines}
+            last = {"host": host, "lines": lines, "start": path, "end": path}
+            first = first or last
+    lines = ("lines", pa.list_(pa.int64()))
+    run = pa.struct([("host", pa.string()), lines, ("start", pa.string()), ("end", pa.string())])
+    row = pa.struct([("host", pa.string()), ("path", pa.string()), lines])
+    if last is not None:
+        columns = [pa.array([v], k) for v, k in ((part, pa.int32()), (first, run), (last, run), (second, row), (back, row))]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "first", "last", "second", "back"])
+
+
+def _carried(parts: list) -> list[tuple]:
+    """For the first run of each part where it starts, maybe parts before, and path and lines of the page before it.
+
+    A part is its first run, its last run and the page before the last one (null where both are one run).
+    """
+    out, held = [], None
+    for (host, lines, start, end), last, back in parts:
+        before = None
+        if held is not None and held[0] == host:
+            start, before = (held[3], held[4]) if held[1] == lines else (start, (held[2], held[1]))
+        out.append((start, before))
+        if back is None:
+            held = (host, lines, end, start, before)
+        else:
+            held = (last[0], last[1], last[3], last[2], (back[1], back[2]) if back[0] == last[0] else None)
+    return out

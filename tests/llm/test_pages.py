@@ -87,6 +87,22 @@ def test_one_host_over_many_parts(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_runs_of_equal_pages(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        # a run that opens a host, one in the middle, one that closes it, and a host of one run
+        texts = ["Gone"] * 40 + ["Story A"] + ["Busy"] * 60 + ["Story B", "Story C"] + ["Late"] * 40
+        rows = [(i, f"http://h.example/{i:04d}", page(t)) for i, t in enumerate(texts)]
+        rows += [(1000 + i, f"http://z.example/{i:04d}", page("Alone")) for i in range(20)]
+        got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, SCHEMA)).collect()}
+        whole = "Our site\n\nRead us daily.\n\nAlone\n\nAll rights."
+        assert got == {**dict(enumerate(texts)), **{1000 + i: whole for i in range(20)}}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_what_is_not_the_article():
     text = """<!DOCTYPE html><html><head><title>T</title></head><body class="page"><header>Top</header><nav>Menu</nav>
     <div id="cookie-notice">We use cookies</div><main><article><header><h1>Head &#8211; line</h1></header><p>One<br>two <b>three</p>
