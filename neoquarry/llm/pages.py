@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import settled
 
 # Names of HTML elements and of their roles.
-RAW = frozenset("script style noscript template title textarea iframe object svg math select button canvas".split())
+RAW = frozenset("script style noscript template title textarea iframe object select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer"
     " form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot"
@@ -44,6 +44,10 @@ MARKS = frozenset(
     " navbar navigation menu breadcrumb breadcrumbs footer popup modal overlay notice banner widget".split()
 )
 OUTSIDE_MARKS = MARKS | {"header", "masthead", "topbar", "toolbar", "login", "search"}
+# words that may stand beside a mark in a name: they say where the element is or that it holds something
+HOLDERS = frozenset("slot box bar block container wrapper wrap area section list links unit panel site main page top bottom".split())
+# elements whose class and id names say nothing about what they hold; the same goes for the outermost article
+PAGE = frozenset(("html", "body", "main"))
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -53,36 +57,36 @@ _WORDS = re.compile(r"[a-z0-9]+")
 class Block:
     """A line of a page: its text and where it stands."""
 
-    __slots__ = ("text", "article", "beside", "links")
+    __slots__ = ("text", "article", "beside")
 
-    def __init__(self, text: str, article: bool, beside: bool, links: bool):
-        self.text, self.article, self.beside, self.links = text, article, beside, links
+    def __init__(self, text: str, article: bool, beside: bool):
+        self.text, self.article, self.beside = text, article, beside
 
 
 def blocks_of(page: str) -> list[Block]:
     """The texts of a page's blocks, in order; broken markup is read as far as it goes."""
     out: list[Block] = []
-    # open elements that matter: name, inside an article, not the article
-    stack: list[tuple[str, bool, bool]] = []
+    # open elements that matter: name, depth of declared articles (1 main, 2 article), not the article, innermost mark
+    stack: list[tuple[str, int, bool, list | None]] = []
+    # class and id marks in the order of their elements: whether it holds, the mark around it, whether any of these holds
+    marks: list[list] = []
+    # marks around articles inside a main; those around the outermost declared elements are taken back at once
+    within: list[list] = []
+    marked: list[list | None] = []
     piece: list[str] = []
-    size = linked = anchors = at = 0
+    at = 0
 
     def close() -> None:
-        nonlocal size, linked
         text = " ".join(html.unescape("".join(piece)).split())
         if text:
-            _, article, beside = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, article, beside, linked * 10 >= size * 8))
+            _, article, beside, mark = stack[-1] if stack else ("", 0, False, None)
+            out.append(Block(text, article > 0, beside))
+            marked.append(mark)
         piece.clear()
-        size = linked = 0
 
     def add(text: str) -> None:
-        nonlocal size, linked
         if text:
             piece.append(text)
-            bare = len(text.strip())
-            size += bare
-            linked += bare if anchors else 0
 
     while match := _TOKEN.search(page, at):
         add(page[at : match.start()])
@@ -98,13 +102,10 @@ def blocks_of(page: str) -> list[Block]:
                 at = len(page)
             piece.append(" ")
             continue
-        if name == "a":
-            anchors = max(0, anchors + (-1 if match[1] else 1))
         if name == "br":
             piece.append(" ")
         if name in BLOCKS:
             close()
-            anchors = 0
         if name in VOID:
             continue
         if match[1]:
@@ -117,30 +118,67 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCKS and stack and stack[-1][0] == "p":
             stack.pop()
-        _, article, beside = stack[-1] if stack else ("", False, False)
-        inside = article or name in ARTICLE
-        apart = beside or name in BESIDE or (name == "header" and not inside) or _apart(match[3], inside)
-        if name in BLOCKS or apart != beside:
+        _, article, beside, mark = stack[-1] if stack else ("", 0, False, None)
+        inside = 2 if name == "article" else max(article, int(name == "main"))
+        role, named = _apart(match[3], inside > 0)
+        apart = beside or name in BESIDE or (name == "header" and not inside) or role
+        if name in ARTICLE and article < 2 and not apart:
+            if article and mark is not None:
+                within.append(mark)
+            elif mark is not None:
+                _take_back(mark)
+        own = mark
+        if named and name not in PAGE and (name != "article" or article == 2):
+            own = [True, mark, True]
+            marks.append(own)
+        if name in BLOCKS or apart != beside or own is not mark:
             if name not in BLOCKS:
                 close()
-            stack.append((name, inside, apart))
+            stack.append((name, inside, apart, own))
     rest = page[at:]
     add(rest[: rest.index("<")] if "<" in rest and re.match(r"</?[A-Za-z!]", rest[rest.index("<") :]) else rest)
     close()
+    held = _marked(marks, marked)
+    if within and not any(b.article and not b.beside and not m for b, m in zip(out, held)):
+        # the marks inside the main would leave nothing of it
+        for mark in within:
+            _take_back(mark)
+        held = _marked(marks, marked)
+    for block, mark in zip(out, held):
+        block.beside = block.beside or mark
     return out
 
 
-def _apart(attributes: str, inside: bool) -> bool:
-    """Whether an element's class, id or role says that it is not the article."""
+def _take_back(mark: list | None) -> None:
+    while mark is not None and mark[0]:
+        mark[0], mark = False, mark[1]
+
+
+def _marked(marks: list[list], innermost: list[list | None]) -> list[bool]:
+    """Whether a mark around it holds, for each block by its innermost one."""
+    for mark in marks:
+        mark[2] = mark[0] or (mark[1] is not None and mark[1][2])
+    return [mark is not None and mark[2] for mark in innermost]
+
+
+def _apart(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element's role, and whether a class or id name of it, says that it is not the article."""
     if not attributes.strip():
-        return False
+        return False, False
+    named = False
     for match in _NAMES.finditer(attributes):
         key, value = match[1].lower(), (match[2] or match[3] or match[4] or "").lower()
         if key == "role" and value.strip() in ROLES:
-            return True
-        if key in ("class", "id") and not (MARKS if inside else OUTSIDE_MARKS).isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+            return True, False
+        named = named or (key in ("class", "id") and any(_is_mark(name, inside) for name in value.split()))
+    return False, named
+
+
+def _is_mark(name: str, inside: bool) -> bool:
+    """Whether a whole name marks: every word of it is a mark or a holder's, one at least a mark."""
+    words = _WORDS.findall(name)
+    known = MARKS if inside else OUTSIDE_MARKS
+    return not known.isdisjoint(words) and all(w in known or w in HOLDERS for w in words)
 
 
 def hashes_of(blocks: list[Block]) -> list[int]:
@@ -227,7 +265,7 @@ def main_text(blocks: list[Block], partner: list[int] | None) -> str:
     declared = any(b.article and not b.beside for b in blocks)
     kept = [
         b.text for i, b in enumerate(blocks)
-        if not b.beside and (b.article if declared else not b.links and i not in shared)
+        if not b.beside and (b.article if declared else i not in shared)
     ]
     return "\n\n".join(kept)
 

@@ -113,6 +113,26 @@ def test_what_is_not_the_article():
     assert pages.main_text(blocks, None) == "Head – line\n\nOne two three\n\nFour five\n\na\n\nb\n\nc"
 
 
+@pytest.mark.parametrize("around", [
+    '<body class="single no-sidebar"><article>{}</article></body>',
+    '<body class="sidebar"><article>{}</article></body>',
+    '<div class="content-with-sidebar"><article>{}</article></div>',
+    '<article class="post social">{}</article>',
+    '<main class="widget" id="header-and-content">{}</main>',
+    '<div class="widget"><div id="promo"><span class="ad"><main><div class="social"><article>{}</article></div></main></span></div></div>',
+])
+def test_marks_do_not_hide_a_declared_article(around):
+    inner = '<p>One</p><div class="share-bar"><p>Share</p></div><section id="comments"><article class="comment"><p>First!</p></article></section><p>Two</p>'
+    blocks = pages.blocks_of("<div class='site-header'><p>Top</p></div>" + around.format(inner) + "<div class='ad'><p>Buy</p></div>")
+    assert pages.main_text(blocks, None) == "One\n\nTwo"
+
+
+def test_links_and_formulas_are_text():
+    text = '<p><a href="x">All of it linked</a></p><p>So <math><mi>x</mi></math> is <svg><text>y</text></svg>, <button>press</button> <canvas>it</canvas></p>'
+    assert pages.main_text(pages.blocks_of(text), None) == "All of it linked\n\nSo x is y, press it"
+    assert pages.main_text(pages.blocks_of(f"<article>{text}</article>"), None) == "All of it linked\n\nSo x is y, press it"
+
+
 def test_nulls_repeats_long_pages_extra_columns_and_nothing(spark):
     long = "<p>" + "word " * 50_000 + "</p>" + "<div>" * 3000 + "<p>end"
     rows = [(1, None, None), (1, None, None), (None, "http://x/", ""), (2, "no url", "plain text"), (3, "http://x/b", long), (4, "http://x/c", "<p>a</p")]
