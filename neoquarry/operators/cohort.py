@@ -16,6 +16,7 @@ TYPE_COLUMNS = {0: "my_change_type", 1: "in_frame", 2: "alt_readframe_type"}
 CHANGES = ["mutation", "insertion", "deletion"]
 FRAMES = ["inframe", "frameshift", "Unknown"]
 TYPE_VALUES = {0: CHANGES, 1: FRAMES, 2: [f"{c}_{f}" for c in CHANGES for f in FRAMES]}
+NO_TYPE = "null"
 AFFINITY_LEVELS = {1: ["HIGH", "MID", "LOW"], 2: ["HIGH", "MID"], 3: ["LOW"], 4: ["MID"], 5: ["HIGH"]}
 # The texts of the filter label.
 AFFINITY_TEXT = {
@@ -87,15 +88,28 @@ def filter_neoepitopes(df: DataFrame, settings: NeoepitopeFilter) -> DataFrame:
     return kept.withColumn("filter_label", F.lit(settings.label()))
 
 
-def _type_names(settings: NeoepitopeFilter) -> list[str]:
-    return TYPE_VALUES[settings.frame_stat]
+def _with_types(df: DataFrame, settings: NeoepitopeFilter, types: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """The rows with their type, and the types asked for or else the fixed ones and all others seen before filtering.
+
+    Rows without a type are of the type ``null``.
+    """
+    column = settings.type_column
+    typed = df.withColumn(column, F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(NO_TYPE)))
+    if types:
+        return typed, types
+    fixed = TYPE_VALUES[settings.frame_stat]
+    # a small aggregate: one row per type
+    seen = {r[0] for r in typed.select(column).distinct().collect()} - set(fixed)
+    return typed, [*fixed, *sorted(seen, key=lambda t: (t == NO_TYPE, t))]
 
 
 def _count_matrix(df, settings, agg, types, case):
-    column = settings.type_column
-    types = types or _type_names(settings)
-    counts = filter_neoepitopes(df, settings).groupBy(case).pivot(column, types).agg(agg)
-    return df.select(case).distinct().join(counts, case, "left").na.fill(0, subset=types)
+    df, types = _with_types(df, settings, types)
+    counts = filter_neoepitopes(df, settings).groupBy(case).pivot(settings.type_column, types).agg(agg)
+    # by place: a type may hold any character
+    places = [f"_{i}" for i in range(len(types))]
+    counts = df.select(case).distinct().join(counts.toDF(case, *places), case, "left")
+    return counts.na.fill(0, subset=places).toDF(case, *types)
 
 
 def mutation_counts(df: DataFrame, settings: NeoepitopeFilter, types: list[str] | None = None, case: str = "case_id") -> DataFrame:
@@ -131,12 +145,12 @@ def neoepitopes_per_alteration(
 def neoepitope_mean_std(df: DataFrame, settings: NeoepitopeFilter, types: list[str] | None = None, case: str = "case_id") -> DataFrame:
     """Mean and population deviation of the positive per-mutation counts, per sample and type."""
     column = settings.type_column
-    types = types or _type_names(settings)
+    df, types = _with_types(df, settings, types)
     counts = filter_neoepitopes(df, settings).groupBy(case, column, "genome_pos").agg(F.count_distinct("peptide_2").alias("n"))
     wide = counts.where("n > 0").groupBy(case).pivot(column, types).agg(
         F.avg("n").alias("avg"), F.stddev_pop("n").alias("std")
     )
-    renamed = wide.select(case, *[F.col(f"`{t}_{m}`").alias(f"{t}:{m}") for t in types for m in ("avg", "std")])
+    renamed = wide.toDF(case, *[f"{t}:{m}" for t in types for m in ("avg", "std")])
     return df.select(case).distinct().join(renamed, case, "left")
 
 

@@ -202,3 +202,18 @@ def test_filter_label():
         " | Gene Exp >= -1 | ProtCleav Thres >= -1 | TAP Thres >= -1 | Endogen Freq Thres <= -1"
     )
     assert cohort.NeoepitopeFilter().label().startswith("frame_stat = alteration only | ")
+
+
+def test_counts_keep_types_outside_the_fixed_lists(spark):
+    rows = [("a", "chr1:1-1", "P", "mutation", "inframe"), ("a", "chr1:2-2", "Q", None, "Unknown"), ("a", "chr1:3-3", "R", "fusion.5", "inframe"), ("b", "chr1:4-4", "S", None, None)]
+    df = variants.alt_readframe_type(spark.createDataFrame(rows, "case_id string, genome_pos string, peptide_2 string, my_change_type string, in_frame string"))
+    for frame_stat, column in cohort.TYPE_COLUMNS.items():
+        settings = cohort.NeoepitopeFilter(frame_stat=frame_stat)
+        got = {r.case_id: r.asDict() for r in cohort.mutation_counts(df, settings).collect()}
+        assert list(got["a"])[1 : 1 + len(cohort.TYPE_VALUES[frame_stat])] == cohort.TYPE_VALUES[frame_stat]
+        assert {c: sum(v for v in r.values() if v != c) for c, r in got.items()} == {"a": 3, "b": 1}
+        assert got["b"]["null"] == 1
+        peptides = {r.case_id: r.asDict() for r in cohort.neoepitope_counts(df, settings).collect()}
+        assert peptides == got
+        means = {r.case_id: r.asDict() for r in cohort.neoepitope_mean_std(df, settings).collect()}
+        assert means["b"]["null:avg"] == 1 and sum(v or 0 for k, v in means["a"].items() if k.endswith(":avg")) == len([v for k, v in got["a"].items() if k != "case_id" and v])
