@@ -6,7 +6,8 @@ finds the borders of what the anchor stands for and validates it.
 
 Kinds: ``email``, ``ip``, ``card``, ``phone`` (the base kinds), and ``url`` (with user data or a query),
 ``account`` (an international bank account number with a right check sum), ``secret`` (access keys, and values assigned
-to password, token, secret or key names), ``address`` (street number and name with a street word).
+to password, token, secret or key names), ``address`` (street number and name with a street word, in English, German,
+French and Spanish order).
 """
 
 from __future__ import annotations
@@ -34,6 +35,12 @@ PHONE = frozenset(" ().0123456789-")
 # Names whose assigned value is a secret, and words that close a street's name.
 SECRET_NAMES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key")
 STREET_WORDS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Straße", "Strasse", "Platz", "Gasse")
+# endings of one-word street names, words that open a street's name, small words inside such a name, and capitalised
+# words that are no street's name by themselves
+STREET_ENDINGS = ("straße", "strasse", "str.", "platz", "gasse", "allee", "weg")
+STREET_FIRST = ("rue", "avenue", "boulevard", "place", "calle", "avenida", "plaza", "paseo", "quai", "chemin")
+SMALL_WORDS = frozenset("de du des del la le les las los el y et au aux l d".split())
+NO_NAMES = frozenset("auf der die das den dem des im in am an von vom zu zum zur um bei the a".split())
 KEY_STARTS = ("AKIA", "ASIA", "ghp_", "sk-", "-----BEGIN")
 
 
@@ -49,8 +56,10 @@ def automaton() -> ahocorasick.Automaton:
             found.add_word(form, ("name", len(form)))
     for word in KEY_STARTS:
         found.add_word(word, ("key", len(word)))
-    for word in STREET_WORDS:
-        found.add_word(word, ("street", len(word)))
+    # one entry per form: a form may serve several orders
+    forms = {form for word in (*STREET_WORDS, *STREET_ENDINGS, *STREET_FIRST) for form in (word, word.lower(), word.capitalize(), word.upper(), word.upper().replace("SS", "ß") if "ß" in word else word)}
+    for form in forms:
+        found.add_word(form, ("street", len(form)))
     found.make_automaton()
     return found
 
@@ -181,11 +190,97 @@ def value_after(text: str, end: int) -> tuple[int, int] | None:
     return match.span(1) if match else None
 
 
+_NUMBER = re.compile(r"[0-9]{1,5}(?: ?[A-Za-z](?!\w))?(?:[-/][0-9]{1,5}[a-z]?)?(?![\w-]|[.,:/][0-9])")
+_NUMBER_SIGN = re.compile(r",? (?:[Nn](?:º|°|o\.|r\.|\.) ?)?")
+_FRONT = re.compile(r"[0-9]{1,5}(?:[a-z]| ?(?:bis|ter|quater)| [A-Z])?,? ")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_FIRST = frozenset(STREET_FIRST)
+_LAST = frozenset(w.lower() for w in STREET_WORDS)
+_ENDING = frozenset(STREET_ENDINGS)
+
+
+def words_before(text: str, end: int, most: int) -> list[int]:
+    """Starts of the words of letters before a place, nearest first, each followed by one blank or hyphen."""
+    out: list[int] = []
+    while len(out) < most and end > 1 and text[end - 1] in " -" and text[end - 2].isalpha():
+        end -= 1
+        while end > 0 and text[end - 1].isalpha():
+            end -= 1
+        out.append(end)
+    return out
+
+
+def front_number(text: str, end: int) -> int | None:
+    """The start of a house number, with the blank behind it, that ends here."""
+    start = max(0, end - 14)
+    for at in range(start, end):
+        if text[at] in DIGIT and (at == 0 or not (text[at - 1].isalnum() or text[at - 1] in "_.")):
+            match = _FRONT.match(text, at, end)
+            if match and match.end() == end:
+                return at
+    return None
+
+
+def number_behind(text: str, end: int) -> int | None:
+    """The end of a house number behind a street's name that ends here."""
+    sign = _NUMBER_SIGN.match(text, end)
+    match = _NUMBER.match(text, sign.end()) if sign else None
+    return match.end() if match else None
+
+
+def name_behind(text: str, end: int) -> list[int]:
+    """Where a street's name that follows here may end: after each capitalised word, small words between."""
+    out: list[int] = []
+    for _ in range(8):
+        match = _WORD.match(text, end + 1) if end < len(text) and text[end] == " " else None
+        if not match:
+            break
+        word, end = match.group(), match.end()
+        capital = word[0].isupper() or (len(word) > 2 and word[1] in "'’" and word[2].isupper())
+        if capital and word.lower() not in SMALL_WORDS:
+            out.append(end)
+        elif word.lower() not in SMALL_WORDS:
+            break
+    return out
+
+
 def street_at(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """``12 Some Name Street``: up to three words before the street word, a number before them."""
-    head = text[max(0, start - 60) : start]
-    match = re.search(r"(?<![\w.])[0-9]{1,5}[a-z]?,? (?:[^\W\d_]+[ -]){1,3}$", head)
-    return (start - len(head) + match.start(), end) if match else None
+    """An address around a street word.
+
+    ``12 Some Name Street``, ``Hauptstraße 12`` and ``Berliner Straße 12``, ``12 rue de la Paix``, ``Calle Mayor 5``.
+    """
+    word = text[start:end]
+    kind, alone = word.lower(), not start or not (text[start - 1].isalnum() or text[start - 1] == "_")
+    last = kind in _LAST or kind in _ENDING
+    if last and alone:
+        before = words_before(text, start, 3)
+        for place in before:
+            # a street word in small letters is one only behind a name in capital ones
+            if word[0].islower() and not text[place].isupper():
+                break
+            if (number := front_number(text, place)) is not None:
+                return number, end
+        named = []
+        for place in before:
+            if not text[place].isupper():
+                break
+            named.append(place)
+        whole = [text[place:stop - 1].lower() for place, stop in zip(named, [start, *named])]
+        if word[0].isupper() and any(w not in NO_NAMES for w in whole) and (stop := number_behind(text, end)):
+            return named[-1], stop
+    elif kind in _ENDING:
+        first = start
+        while first > 0 and (text[first - 1].isalpha() or (text[first - 1] == "-" and first > 1 and text[first - 2].isalpha())):
+            first -= 1
+        if start - first > 1 and text[first].isupper() and (stop := number_behind(text, end)):
+            return first, stop
+    if kind in _FIRST and alone and (ends := name_behind(text, end)):
+        if (number := front_number(text, start)) is not None:
+            return number, ends[-1]
+        for place in reversed(ends):
+            if stop := number_behind(text, place):
+                return start, stop
+    return None
 
 
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
@@ -223,7 +318,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
         elif kind == "name":
             if span := value_after(text, last + 1):
                 out.append((*span, "secret"))
-        elif kind == "street" and (last + 1 == length or text[last + 1] not in ALNUM) and (span := street_at(text, first, last + 1)):
+        elif kind == "street" and (last + 1 == length or not text[last + 1].isalnum()) and (span := street_at(text, first, last + 1)):
             out.append((*span, "address"))
     out = list(dict.fromkeys(out))
     out.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))

@@ -86,3 +86,18 @@ def test_nulls_repeats_extra_columns_and_nothing(spark):
     assert masked.columns == df.columns
     assert sorted((r.doc_id or 0, r.text or "", r.n_chars) for r in masked.collect()) == [(0, "", 5), (1, "", 5), (2, "mail [email] now", 16), (2, "mail [email] now", 16)]
     assert pii.detected(df.limit(0)).collect() == [] and pii.redacted(df.limit(0)).collect() == []
+
+
+def test_addresses_in_four_languages():
+    anchors = pii.automaton()
+    for address in (
+        "12 Long Oak Street", "7b, Main Road", "12 Main street", "1 " + "Llanfair" * 9 + " Lane", "Hauptstraße 12", "Marktplatz 3a", "HAUPTSTRASSE 12",
+        "Karl-Marx-Allee 5", "Berliner Straße 12", "Berliner Str. 12", "12 rue de la Paix", "12 bis, avenue Victor Hugo", "5 place de l'Hôtel-de-Ville",
+        "Calle Mayor 5", "Calle de Alcalá, 42", "Plaza Mayor nº 3", "Avenida de la Constitución 12",
+    ):
+        for text in (address, f"x y, {address}, z.", f"in {address}."):
+            at = text.index(address)
+            assert [s for s in pii.spans(text, anchors) if s[2] == "address"] == [(at, at + len(address), "address")], text
+            assert pii.masked(text, pii.spans(text, anchors)) == text.replace(address, "[address]")
+    for text in ("12 blocks down the street", "Auf Platz 3 der Liste", "la rue 12", "replace Main 5", "2 places de parking", "a calle sin 5", "Hauptstraße", "der weg 3"):
+        assert not pii.spans(text, anchors), text
