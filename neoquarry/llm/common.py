@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoints, tune
 
@@ -44,6 +46,19 @@ def settled(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows with ``place``, their number from 0 in the order given, counted range by range."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the lower 33 bits of the id number the rows of a partition
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = settled(ranges.select("*", F.spark_partition_id().alias("_part"), inside.alias("_inside")))
+    # one row per partition of the table
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before", "_n")
+
+
 def with_nulls_as_empty(values: list) -> list:
     return [b"" if v is None else v for v in values]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, importance, language_id, near_dup, pages, pii, quality, toxicity
+from . import bpe, chat, codes, decontamination, importance, language_id, mixture, near_dup, negatives, pages, pii, quality, toxicity
 from .common import table
 
 
@@ -67,10 +67,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.unionByName(added)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, page_language_id, op2_decontamination, op3_toxicity, op4_resampling, op5_bpe, op6_near_duplicates,
-        op7_quality, op8_pii, op9_html, op10_chat,
+        op7_quality, op8_pii, op9_html, op10_chat, op11_hard_negatives, op12_mixture,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
