@@ -10,6 +10,9 @@ in one pass over the word.
 The tokenizer file describes normalisation (canonical composition, white space to one space, lower case letter by
 letter), the split into words, byte symbols with a mark on a word's last one, and added tokens, whose strings in a
 text are one id each. The file is read on the driver and broadcast; its size does not depend on the data.
+
+The automaton over the vocabulary is the Aho-Corasick form: it names every match that ends at a place, longest first,
+which is what the suffix automaton of the vocabulary would be asked for.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words a worker remembers the ids of before its memory is emptied; longer words are not remembered.
-MEMORY_WORDS = 600_000
+from .common import Remembered, lean
+
+# Words a task remembers the ids of, and pairs of tokens their test; longer words are not remembered.
+MEMORY_WORDS = 200_000
 MEMORY_LENGTH = 64
-MEMORY_PAIRS = 500_000
+MEMORY_PAIRS = 100_000
 # stands behind a word's last symbol; no byte symbol is a control character
 CLOSE = "\n"
 
@@ -82,6 +87,10 @@ class Codec:
         self.matches.make_automaton()
         self.memory = Memory(self)
 
+    def forget(self) -> None:
+        """Empties the memory of words and pairs; the tables of the tokenizer stay."""
+        self.seen, self.memory = {}, Memory(self)
+
     def _made(self, token: int, length: int) -> bool:
         """Whether merging a token's own string gives the token; others are never part of an encoding."""
         if token not in self.parts:
@@ -161,22 +170,19 @@ class Codec:
         return " ".join([self.strings[i] for i in ids])
 
 
-class Memory(dict):
-    """Words met before."""
+class Memory(Remembered):
+    """Words met before: how many ids, their digits, their strings."""
 
     def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec, self.symbols = codec, {b: s for b, s in enumerate(codec.symbols)}
+        self.codec, self.symbols = codec, dict(enumerate(codec.symbols))
+        super().__init__(self.found, MEMORY_WORDS)
+
+    def found(self, word: str) -> tuple[int, str, str]:
+        ids = self.codec.word("".join([self.symbols[b] for b in word.encode()]))
+        return len(ids), " ".join(map(str, ids)), self.codec.decode(ids)
 
     def __missing__(self, word: str) -> tuple[int, str, str]:
-        codec = self.codec
-        ids = codec.word("".join([self.symbols[b] for b in word.encode()]))
-        found = len(ids), " ".join(map(str, ids)), codec.decode(ids)
-        if len(word) <= MEMORY_LENGTH:
-            if len(self) >= MEMORY_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+        return super().__missing__(word) if len(word) <= MEMORY_LENGTH else self.found(word)
 
 
 class Shared:
@@ -236,6 +242,7 @@ def _mapped(docs: DataFrame, path: str, doc_id: str, text: str, columns, schema:
                 part = batch.slice(start, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns(codec, texts)], names=names)
+        codec.forget()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {schema}")
+    return rows.mapInArrow(lean(run), f"doc_id long, {schema}")

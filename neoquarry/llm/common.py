@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,8 +18,8 @@ from ..session import ensure_checkpoints, tune
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-# Words a worker remembers before its memory is emptied; it bounds memory, results do not depend on it.
-MEMORY_WORDS = 300_000
+# Words a task remembers, in two halves; it bounds memory, results do not depend on it.
+MEMORY_WORDS = 120_000
 
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes(range(0x61, 0x7B))
@@ -59,6 +65,21 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before", "_n")
 
 
+def lean(run: Callable) -> Callable:
+    """A task function that gives its memory back to the system when the task is over, as workers live on."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def with_nulls_as_empty(values: list) -> list:
     return [b"" if v is None else v for v in values]
 
@@ -73,15 +94,33 @@ def letter_words(text: bytes) -> list[bytes]:
     return text.translate(_ALNUM).split()
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered while memory allows."""
+class Remembered(dict):
+    """Values by key, at most ``size`` of them, worked out by ``made`` where they are not known.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY_WORDS:
+    Once half of them are new the others go; what is asked for again meanwhile is carried over.
+    """
+
+    def __init__(self, made: Callable, size: int):
+        super().__init__()
+        self.made, self.half, self.older = made, size // 2, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        self[key] = value
         return value
 
+
+class WordHashes(Remembered):
+    """64-bit hash of a word."""
+
+    def __init__(self):
+        super().__init__(xxhash.xxh3_64_intdigest, MEMORY_WORDS)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import letter_words, settled, window_hashes, with_nulls_as_empty
+from .common import lean, letter_words, settled, window_hashes, with_nulls_as_empty
 
 WINDOW = 10
 MAX_WINDOWS = 500_000
@@ -40,7 +40,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "
                     windows.append(b" ".join(words[i : i + size]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(windows, pa.binary())], names=["item", "window"])
 
-    rows = benchmark.select(F.col(item_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "item long, window binary")
+    rows = benchmark.select(F.col(item_id).cast("long"), F.col(text).cast("string")).mapInArrow(lean(run), "item long, window binary")
     return rows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
@@ -150,7 +150,7 @@ def contamination(
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         schema = "doc_id long, n_words long, spans array<struct<start: bigint, end: bigint>>, items array<bigint>"
-        one = rows.mapInArrow(run, schema + (", row long" if parts > 1 else ""))
+        one = rows.mapInArrow(lean(run), schema + (", row long" if parts > 1 else ""))
         found = one if found is None else found.union(one)
     if parts > 1:
         found = found.groupBy("row", "doc_id", "n_words").agg(
@@ -202,7 +202,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "documents
                     batch = batch.set_column(chars, batch.schema.field(chars), pa.array(sizes, batch.schema.field(chars).type))
                 yield batch
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out
 
 

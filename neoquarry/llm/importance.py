@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, letter_words, settled, window_hashes, with_nulls_as_empty
+from .common import WordHashes, lean, letter_words, settled, window_hashes, with_nulls_as_empty
 
 BUCKETS = 1 << 16
 
@@ -59,7 +59,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *(pa.array(c[held], pa.int64()) for c in counts)], names=["bucket", "target", "raw"])
 
     rows = docs.select(F.col("text").cast("string").alias("text"), "is_target")
-    counts = rows.mapInArrow(run, "bucket int, target long, raw long")
+    counts = rows.mapInArrow(lean(run), "bucket int, target long, raw long")
     return counts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
 
 
@@ -93,7 +93,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray, how: Resampling) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "doc_id long, n_grams long, log_importance double")
+    rows = rows.mapInArrow(lean(run), "doc_id long, n_grams long, log_importance double")
     # uniform in (0, 1) from the id, the same on every run
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(how.seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     # in millionths, as whole numbers: order and ties are the same on every machine

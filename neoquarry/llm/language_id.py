@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settled
+from .common import lean, settled
 
 LANGUAGES = ("en", "de", "fr", "es")
 UNKNOWN = "und"
@@ -82,7 +82,7 @@ def pair_counts(docs: DataFrame, languages: tuple[str, ...], text: str, declared
         )
 
     rows = docs.where(F.col(declared).isin(*languages)).select(F.col(declared).alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class PairModel:
@@ -133,7 +133,7 @@ def text_evidence(docs: DataFrame, model: PairModel, fusion: Fusion, text: str =
             yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[i] for i in kept), "_text"])
 
     fields = [docs.schema.fields[i] for i in kept]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("_text", T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(lean(run), T.StructType([*fields, T.StructField("_text", T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass(frozen=True)

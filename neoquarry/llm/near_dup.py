@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, settled, space_words, window_hashes, with_nulls_as_empty
+from .common import WordHashes, lean, mixed, settled, space_words, window_hashes, with_nulls_as_empty
 
 CHUNK = 4
 BINS = 1024
@@ -104,7 +104,7 @@ def signed(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text: str
             )
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary")
+    return narrow.mapInArrow(lean(run), "doc_id long, n_shingles long, node long, sig binary")
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -122,12 +122,31 @@ def index_keys(classes: DataFrame) -> DataFrame:
                 key = np.full(len(sig), place + 1, dtype=np.uint64)
                 rest = [sig[:, j] for j in range(chunk * CHUNK, chunk * CHUNK + CHUNK) if j != place]
                 packed = sum(x << np.uint64(16 * i) for i, x in enumerate(rest))
-                key = mixed(packed + key * np.uint64(0x9E3779B97F4A7C15))
+                # the place is the key's first byte, so that a pair can tell under which key it meets first
+                key = (mixed(packed + key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)) | np.uint64(place << 56)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.astype(np.int64)), pa.array(nodes, pa.int64())], names=["key", "node"]
                 )
 
-    return classes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return classes.select("node", "sig").mapInArrow(lean(run), "key long, node long")
+
+
+def chunks(sig: Column, symbols: int) -> Column:
+    """A signature (hex string) as one whole number per chunk, four symbols of 16 bits each."""
+    digits = CHUNK * 4
+    return F.array(*(F.conv(F.substring(sig, 1 + digits * i, digits), 16, -10).cast("long") for i in range(symbols // CHUNK)))
+
+
+def first_place(a: str, b: str, symbols: int) -> Column:
+    """The first place that two rows of chunks have a common key at; null where they have none."""
+    lanes = [0xFFFF << 16 * (CHUNK - 1 - i) for i in range(CHUNK)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    tests = []
+    for place in range(symbols):
+        differs = F.get(a, F.lit(place // CHUNK)).bitwiseXOR(F.get(b, F.lit(place // CHUNK)))
+        rest = signed(~lanes[place % CHUNK] & ((1 << 64) - 1))
+        tests.append(F.when(differs.bitwiseAND(F.lit(rest)) == 0, F.lit(place).cast("long")))
+    return F.coalesce(*tests)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -183,7 +202,7 @@ def _sets(docs: DataFrame, members: DataFrame, like: Similarity, doc_id: str, te
     ids = members.select("first_id").distinct()
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     found = rows.join(ids, F.col("_id").eqNullSafe(F.col("first_id")), "left_semi").select("_text")
-    sets = found.mapInArrow(run, "node long, shingles array<bigint>, planes array<bigint>")
+    sets = found.mapInArrow(lean(run), "node long, shingles array<bigint>, planes array<bigint>")
     return sets.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -208,8 +227,11 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), doc_id: st
     least = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else classes.withColumn("root", F.col("node"))
     named = least.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_node = least.select("node", "root").join(named, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    narrow = rows.select("doc_id", "n_shingles", "node")
+    # rows without words have no class; they would all meet under one null key
+    alone = narrow.where("node is null").withColumn("component_id", F.col("doc_id"))
+    out = narrow.where("node is not null").join(by_node, "node", "left").unionByName(alone)
+    component = F.col("component_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -226,7 +248,7 @@ def _linked(docs, classes, groups, like, doc_id, text) -> DataFrame | None:
     for pairs_of in (_star, _second_star, _across):
         placed = groups if roots is None else groups.join(roots, "node", "left")
         placed = placed.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        pairs = pairs_of(placed, sets, members, percent)
+        pairs = pairs_of(placed, sets, members, like)
         for side in "ab":
             pairs = pairs.join(card.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
         # a link needs sizes this close, whatever the sets hold
@@ -269,21 +291,28 @@ def _second_star(placed: DataFrame, *_) -> DataFrame:
     return _with_hub(placed.join(_largest_roots(placed), "key").where("root <> main"))
 
 
-def _across(placed: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of a key that are in different components and could be linked."""
+def _across(placed: DataFrame, sets: DataFrame, members: DataFrame, like: Similarity) -> DataFrame:
+    """All pairs of classes of a key that are in different components and could be linked.
+
+    A pair that meets under several keys is made under the first of them only: classes in different components meet
+    across components under each of their common keys.
+    """
     rows = settled(placed.join(_largest_roots(placed), "key"))
     held = F.aggregate("planes", F.lit(0), lambda acc, p: acc + F.bit_count(p))
-    cards = sets.join(members.select("node", F.col("n_shingles").alias("n")), "node").select("node", "n", (F.col("n") - held).alias("over"), "planes")
+    sizes = members.select("node", F.col("n_shingles").alias("n"), chunks(F.hex("sig"), like.symbols).alias("chunks"))
+    cards = sets.join(sizes, "node").select("node", "n", (F.col("n") - held).alias("over"), "planes", "chunks")
     rows = rows.join(cards, "node")
     # a pair has a side outside the key's largest component, so that component is never paired with itself
-    names = ("node", "root", "n", "over", "planes")
+    names = ("node", "root", "n", "over", "planes", "chunks")
     x = rows.where("root <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in names))
     y = rows.select("key", "main", *(F.col(c).alias(f"y_{c}") for c in names))
     most = "(least(x_over, y_over) + aggregate(zip_with(x_planes, y_planes, (p, q) -> bit_count(p & q)), 0, (n, b) -> n + b))"
-    fits = f"{most} * {100 + percent} >= {percent} * (x_n + y_n)"
+    close = f"100 * least(x_n, y_n) >= {like.percent} * greatest(x_n, y_n)"
+    fits = f"{most} * {100 + like.percent} >= {like.percent} * (x_n + y_n)"
+    here = F.shiftrightunsigned("key", 56) == first_place("x_chunks", "y_chunks", like.symbols)
     # pairs with both sides outside the largest component are met from one side only
-    pairs = x.join(y, "key").where(f"x_root <> y_root and (y_root = main or x_node < y_node) and {fits}")
-    return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+    pairs = x.join(y, "key").where(f"x_root <> y_root and (y_root = main or x_node < y_node) and {close}").where(here).where(fits)
+    return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
 
 
 def representatives(docs: DataFrame, like: Similarity = Similarity(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

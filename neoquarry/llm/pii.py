@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret", "address")
 Span = tuple[int, int, str]
@@ -363,7 +365,7 @@ def detected(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = ", ".join(f"n_{k} long" for k in BASE)
-    return rows.mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string")
+    return rows.mapInArrow(lean(run), f"doc_id long, {counts}, base_sha256 string, spans string")
 
 
 def listed(found: list[Span]) -> str:
@@ -391,4 +393,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                 out = out.set_column(chars, field, pa.array(sizes, field.type))
             yield out
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
