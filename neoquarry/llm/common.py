@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 from collections.abc import Callable, Iterator
 
@@ -80,6 +81,18 @@ def lean(run: Callable) -> Callable:
     return whole
 
 
+class Run:
+    """Where the run of characters around a place ends; a run that was read once is not read again."""
+
+    def __init__(self, pattern: str):
+        self.match, self.first, self.last = re.compile(pattern).match, 0, -1
+
+    def end(self, text: str, at: int) -> int:
+        if not self.first <= at <= self.last:
+            self.first, self.last = at, self.match(text, at).end()
+        return self.last
+
+
 def with_nulls_as_empty(values: list) -> list:
     return [b"" if v is None else v for v in values]
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import Run, settled
 
 # Names of HTML elements and of their roles.
 RAW = frozenset("script style noscript template title textarea iframe object select".split())
@@ -41,19 +42,75 @@ ARTICLE = frozenset(("article", "main"))
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr"
     " comment comments disqus sidebar newsletter subscribe subscription share sharing social related recommended nav"
-    " navbar navigation menu breadcrumb breadcrumbs footer popup modal overlay notice banner widget".split()
+    " navbar navigation menu breadcrumb breadcrumbs footer popup modal overlay notice banner widget reply replies respond"
+    " responses".split()
 )
 OUTSIDE_MARKS = MARKS | {"header", "masthead", "topbar", "toolbar", "login", "search"}
 # words that may stand beside a mark in a name: they say where the element is or that it holds something
-HOLDERS = frozenset("slot box bar block container wrapper wrap area section list links unit panel site main page top bottom".split())
+HOLDERS = frozenset("slot box bar block container wrapper wrap area section list links unit panel site main page top bottom thread".split())
 # elements whose class and id names say nothing about what they hold; the same goes for the outermost article
 PAGE = frozenset(("html", "body", "main"))
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_OPENER = re.compile(r"<(?:!--|[!?]|(/?)[A-Za-z])")
+_PLAIN = r"""[^>"']*+"""
+_NAME = r"[^\s/>]*+"
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+class Tags:
+    """The tags and comments of a page, in order. A tag ends at the first ``>`` outside quotes; one that never does is text.
+
+    What has been read in vain is not read again: quotes that lead to no end, and the way to the next quote.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">") + 1
+        self.final = {c: page.rfind(c) for c in "\"'"}
+        self.vain: set[int] = set()
+        self.plain, self.name = Run(_PLAIN), Run(_NAME)
+
+    def _end(self, at: int) -> int:
+        """Where the attributes that begin here end, or -1."""
+        tried = []
+        while True:
+            at = self.plain.end(self.page, at)
+            if at >= self.last or at in self.vain:
+                break
+            quote = self.page[at]
+            if quote == ">":
+                return at
+            tried.append(at)
+            if at >= self.final[quote]:
+                break
+            at = self.page.find(quote, at + 1) + 1
+        self.vain.update(tried)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The next one from here: its start, its end, ``/`` of a closing tag, its name (none of a comment), its attributes."""
+        page = self.page
+        while match := _OPENER.search(page, at):
+            start, at = match.start(), match.end()
+            if match[0] == "<!--":
+                end = page.find("-->", at)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            if at > self.last:
+                # no tag ends behind here, but a comment may begin
+                at = page.find("<!--", at)
+                if at < 0:
+                    return None
+            elif match[1] is None:
+                return start, page.find(">", at) + 1, "", "", ""
+            else:
+                name = self.name.end(page, at)
+                end = self._end(name)
+                if end >= 0:
+                    return start, end + 1, match[1], page[at - 1 : name].lower(), page[name:end]
+                at = start + 1
+        return None
+
+
 class Block:
     """A line of a page: its text and where it stands."""
 
@@ -74,7 +131,8 @@ def blocks_of(page: str) -> list[Block]:
     within: list[list] = []
     marked: list[list | None] = []
     piece: list[str] = []
-    at = 0
+    opened: Counter[str] = Counter()
+    tags, at = Tags(page), 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(piece)).split())
@@ -88,17 +146,17 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             piece.append(text)
 
-    while match := _TOKEN.search(page, at):
-        add(page[at : match.start()])
-        at = match.end()
-        name = (match[2] or "").lower()
+    while tag := tags.after(at):
+        start, stop, closing, name, attributes = tag
+        add(page[at:start])
+        at = stop
         if not name:
             continue
-        if not match[1] and name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at) if not match[3].endswith("/") else None
+        if not closing and name in RAW:
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at) if not attributes.endswith("/") else None
             if end:
                 at = end.end()
-            elif not match[3].endswith("/"):
+            elif not attributes.endswith("/"):
                 at = len(page)
             piece.append(" ")
             continue
@@ -108,19 +166,19 @@ def blocks_of(page: str) -> list[Block]:
             close()
         if name in VOID:
             continue
-        if match[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    if piece and name not in BLOCKS:
-                        close()
-                    del stack[depth:]
-                    break
+        if closing:
+            if opened[name]:
+                if piece and name not in BLOCKS:
+                    close()
+                while stack[-1][0] != name:
+                    opened[stack.pop()[0]] -= 1
+                opened[stack.pop()[0]] -= 1
             continue
         if name in BLOCKS and stack and stack[-1][0] == "p":
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         _, article, beside, mark = stack[-1] if stack else ("", 0, False, None)
         inside = 2 if name == "article" else max(article, int(name == "main"))
-        role, named = _apart(match[3], inside > 0)
+        role, named = _apart(attributes, inside > 0)
         apart = beside or name in BESIDE or (name == "header" and not inside) or role
         if name in ARTICLE and article < 2 and not apart:
             if article and mark is not None:
@@ -135,6 +193,7 @@ def blocks_of(page: str) -> list[Block]:
             if name not in BLOCKS:
                 close()
             stack.append((name, inside, apart, own))
+            opened[name] += 1
     rest = page[at:]
     add(rest[: rest.index("<")] if "<" in rest and re.match(r"</?[A-Za-z!]", rest[rest.index("<") :]) else rest)
     close()

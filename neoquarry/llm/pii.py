@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import Run, lean
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret", "address")
@@ -145,21 +145,62 @@ def phone_at(text: str, plus: int) -> tuple[bool, int] | None:
 
 URL_END = frozenset(" \t\r\n\v\f\"'<>()[]{}|\\^`")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
-_VALUE = re.compile(r"(?:[A-Za-z0-9_]*)[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"',;]{6,})")
 
 
-def url_at(text: str, at: int) -> tuple[int, int] | None:
-    """The address around ``://`` if it names a user or carries a query."""
-    start = at
-    while start > 0 and text[start - 1] in ALNUM:
-        start -= 1
-    end = at + 3
-    while end < len(text) and text[end] not in URL_END:
-        end += 1
-    while end > at + 3 and text[end - 1] in ".,;:!?":
-        end -= 1
-    rest = text[at + 3 : end]
-    return (start, end) if start < at and rest and ("@" in rest.split("/")[0] or "?" in rest) else None
+class Reader:
+    """What has been read of a text by parsers whose anchors may lie in one long run."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.address, self.name, self.value = Run(f"[^{re.escape(''.join(URL_END))}]*+"), Run("[A-Za-z0-9_]*+"), Run(r"[^\s\"',;]*+")
+        self.query = self.address_end = -1
+        # the start of the last hyphenated word, and how far it was known
+        self.word, self.word_read = 0, -1
+
+    def url_at(self, at: int) -> tuple[int, int] | None:
+        """The address around ``://`` if it names a user or carries a query."""
+        text, start = self.text, at
+        while start > 0 and text[start - 1] in ALNUM:
+            start -= 1
+        before, end = self.address.last, self.address.end(self.text, at + 3)
+        if end != before:
+            self.query = text.rfind("?", at + 3, end)
+            while end > at + 3 and text[end - 1] in ".,;:!?":
+                end -= 1
+            self.address_end = end
+        end = self.address_end
+        if start == at or end <= at + 3:
+            return None
+        slash = text.find("/", at + 3, end)
+        user = text.find("@", at + 3, end if slash < 0 else slash) >= 0
+        # the last question mark may have been trimmed, an earlier one has then to be looked for
+        asked = self.query >= at + 3 and (self.query < end or text.find("?", at + 3, end) >= 0)
+        return (start, end) if user or asked else None
+
+    def value_after(self, end: int) -> tuple[int, int] | None:
+        """The value assigned to a name that goes on here."""
+        match = _ASSIGNED.match(self.text, self.name.end(self.text, end))
+        if not match:
+            return None
+        start, last = match.end(), self.value.end(self.text, match.end())
+        if last - start >= 6:
+            return start, last
+        # the quote may be the value's own first character, which no value begins with
+        return None
+
+    def word_start(self, start: int) -> int:
+        """The first letter of the hyphenated word that goes on here."""
+        text, first = self.text, start
+        while first > 0 and (text[first - 1].isalpha() or (text[first - 1] == "-" and first > 1 and text[first - 2].isalpha())):
+            first -= 1
+            if first == self.word_read:
+                first = self.word
+                break
+        self.word, self.word_read = first, start
+        return first
+
+
+_ASSIGNED = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?")
 
 
 def account_at(text: str, digit: int) -> tuple[int, int] | None:
@@ -186,12 +227,6 @@ def key_at(text: str, start: int, size: int) -> tuple[int, int] | None:
     return (start, end) if end - start - size >= 12 else None
 
 
-def value_after(text: str, end: int) -> tuple[int, int] | None:
-    """The value assigned to a name that ends here."""
-    match = _VALUE.match(text, end)
-    return match.span(1) if match else None
-
-
 _NUMBER = re.compile(r"[0-9]{1,5}(?: ?[A-Za-z](?!\w))?(?:[-/][0-9]{1,5}[a-z]?)?(?![\w-]|[.,:/][0-9])")
 _NUMBER_SIGN = re.compile(r",? (?:[Nn](?:º|°|o\.|r\.|\.) ?)?")
 _FRONT = re.compile(r"[0-9]{1,5}(?:[a-z]| ?(?:bis|ter|quater)| [A-Z])?,? ")
@@ -201,6 +236,9 @@ _LAST = frozenset(w.lower() for w in STREET_WORDS)
 _ENDING = frozenset(STREET_ENDINGS)
 
 
+NAME_WORDS = 8
+
+
 def words_before(text: str, end: int, most: int) -> list[int]:
     """Starts of the words of letters before a place, nearest first, each followed by one blank or hyphen."""
     out: list[int] = []
@@ -246,7 +284,7 @@ def name_behind(text: str, end: int) -> list[int]:
     return out
 
 
-def street_at(text: str, start: int, end: int) -> tuple[int, int] | None:
+def street_at(text: str, start: int, end: int, reader: Reader) -> tuple[int, int] | None:
     """An address around a street word.
 
     ``12 Some Name Street``, ``Hauptstraße 12`` and ``Berliner Straße 12``, ``12 rue de la Paix``, ``Calle Mayor 5``.
@@ -255,10 +293,10 @@ def street_at(text: str, start: int, end: int) -> tuple[int, int] | None:
     kind, alone = word.lower(), not start or not (text[start - 1].isalnum() or text[start - 1] == "_")
     last = kind in _LAST or kind in _ENDING
     if last and alone:
-        before = words_before(text, start, 3)
-        for place in before:
-            # a street word in small letters is one only behind a name in capital ones
-            if word[0].islower() and not text[place].isupper():
+        before = words_before(text, start, NAME_WORDS)
+        for i, place in enumerate(before):
+            # a street word in small letters is one only behind a name in capital ones, and so is one behind many words
+            if (word[0].islower() or i >= 3) and not text[place].isupper():
                 break
             if (number := front_number(text, place)) is not None:
                 return number, end
@@ -271,9 +309,7 @@ def street_at(text: str, start: int, end: int) -> tuple[int, int] | None:
         if word[0].isupper() and any(w not in NO_NAMES for w in whole) and (stop := number_behind(text, end)):
             return named[-1], stop
     elif kind in _ENDING:
-        first = start
-        while first > 0 and (text[first - 1].isalpha() or (text[first - 1] == "-" and first > 1 and text[first - 2].isalpha())):
-            first -= 1
+        first = reader.word_start(start)
         if start - first > 1 and text[first].isupper() and (stop := number_behind(text, end)):
             return first, stop
     if kind in _FIRST and alone and (ends := name_behind(text, end)):
@@ -289,7 +325,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
     """All spans of a text, by start, then kind in the order listed."""
     out: list[Span] = []
     mail_floor = phone_floor = ip_floor = card_floor = 0
-    length = len(text)
+    length, reader = len(text), Reader(text)
     for last, (kind, size) in anchors.iter(text):
         first = last + 1 - size
         if kind == "digit":
@@ -312,15 +348,15 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
                 if fits:
                     out.append((first, phone_floor, "phone"))
         elif kind == "url":
-            if span := url_at(text, first):
+            if span := reader.url_at(first):
                 out.append((*span, "url"))
         elif kind == "key":
             if span := key_at(text, first, size):
                 out.append((*span, "secret"))
         elif kind == "name":
-            if span := value_after(text, last + 1):
+            if span := reader.value_after(last + 1):
                 out.append((*span, "secret"))
-        elif kind == "street" and (last + 1 == length or not text[last + 1].isalnum()) and (span := street_at(text, first, last + 1)):
+        elif kind == "street" and (last + 1 == length or not text[last + 1].isalnum()) and (span := street_at(text, first, last + 1, reader)):
             out.append((*span, "address"))
     out = list(dict.fromkeys(out))
     out.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))

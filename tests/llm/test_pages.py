@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -140,3 +141,22 @@ def test_nulls_repeats_long_pages_extra_columns_and_nothing(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in pages.extracted(df).collect())
     assert got == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "plain text", 10), (3, "word " * 49_999 + "word\n\nend", 250_004), (4, "a", 1)]
     assert pages.extracted(df.limit(0)).collect() == []
+
+
+def test_time_grows_with_broken_markup():
+    """Tags that never end, quotes that never close, closing tags without an opening one: read once."""
+    for piece, tail in (("<a ", ""), ('<a "', ""), ("<a ", '">'), ("<a '\"", ">"), ('<a b="c" ', '">'), ("<!", ""), ("<div>", "</p>"), ("<a<", " x"), ("<!--", "")):
+        times = []
+        for n in (50_000, 200_000):
+            start = time.process_time()
+            pages.blocks_of(piece * n + tail * n)
+            times.append(time.process_time() - start)
+        assert times[1] < 30 and times[1] < 10 * times[0] + 1, (piece, tail, times)
+
+
+def test_tags_with_quotes():
+    texts = lambda page: [b.text for b in pages.blocks_of(page)]
+    assert texts('<p title="a > b">one</p><p>two') == ["one", "two"]
+    assert texts('<p>x <a href="y>z</p>') == ['x <a href="y>z']
+    assert texts("<p>a<!-- <p>b</p> -->c</p> d <!-- never closed <p>e") == ["ac", "d"]
+    assert texts("1 < 2 and <b>3</b> > 2") == ["1 < 2 and 3 > 2"]

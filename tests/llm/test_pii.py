@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from neoquarry.llm import pii, queries
 
@@ -101,3 +102,27 @@ def test_addresses_in_four_languages():
             assert pii.masked(text, pii.spans(text, anchors)) == text.replace(address, "[address]")
     for text in ("12 blocks down the street", "Auf Platz 3 der Liste", "la rue 12", "replace Main 5", "2 places de parking", "a calle sin 5", "Hauptstraße", "der weg 3"):
         assert not pii.spans(text, anchors), text
+
+
+def test_time_grows_with_the_text():
+    """Anchors in one long run: twice the text takes about twice the time, and a megabyte is done in seconds."""
+    anchors = pii.automaton()
+    for piece in ("a://", "token", "Aweg-", "token=x", "a://?", "password: ", "Street ", "a@b.c"):
+        times = []
+        for size in (250_000, 1_000_000):
+            text = piece * (size // len(piece))
+            start = time.process_time()
+            pii.spans(text, anchors)
+            times.append(time.process_time() - start)
+        assert times[1] < 30 and times[1] < 10 * times[0] + 1, (piece, times)
+
+
+def test_runs_are_read_once_with_the_same_spans():
+    anchors = pii.automaton()
+    found = lambda text: pii.spans(text, anchors)
+    assert found("http://x://u@h/?") == [(7, 15, "url")]
+    assert found("a://b?c://d") == [(0, 11, "url")]
+    assert found("passwordtoken = abcdef1 token=short") == [(16, 23, "secret")]
+    assert found("at 12 Martin Luther King Memorial Street") == [(3, 40, "address")]
+    assert found("12 people went on and on to the next Street") == []
+    assert found("Kanalufer-Straße 7. Kanaluferstraße 8") == [(0, 18, "address"), (20, 37, "address")]
