@@ -101,19 +101,33 @@ def ligated_elements(fx):
     return j.ligated_elements(pairs(fx)).select("sj_id", "isoform", "ligated")
 
 
-@query("""with m as (select x.*, case when a_num is not null then a_num when ga_num is not null then case when strand > 0 then ga_num else ga_num + 1 end end as na, case when b_num is not null then b_num when gb_num is not null then case when strand > 0 then gb_num + 1 else gb_num end end as nb from {jx} x)
- select m.sj_id, m.isoform, na as exon_left, nb as exon_right, concat(case when na is null then 'None' else concat(m.chrom, ':', l.start_pos, '-', m.start_pos) end, '*', case when nb is null then 'None' else concat(m.chrom, ':', m.end_pos, '-', r.end_pos) end) as exon_positions,
- coalesce(l.end_pos = m.start_pos, false) as left_canonical, coalesce(r.start_pos = m.end_pos, false) as right_canonical from m left join {feat} l on l.isoform = m.isoform and l.num = na left join {feat} r on r.isoform = m.isoform and r.num = nb""")
+# numbers of the exons both ends belong to; an end in an intron belongs to the exon it makes longer
+ORACLE_ONLY["mod"] = """select x.*, case when a_num is not null then a_num when ga_num is not null then case when strand > 0 then ga_num else ga_num + 1 end end as na, case when b_num is not null then b_num when gb_num is not null then case when strand > 0 then gb_num + 1 else gb_num end end as nb from {jx} x"""
+
+
+@query("""select m.sj_id, m.isoform, na as exon_left, nb as exon_right, concat(case when na is null then 'None' else concat(m.chrom, ':', l.start_pos, '-', m.start_pos) end, '*', case when nb is null then 'None' else concat(m.chrom, ':', m.end_pos, '-', r.end_pos) end) as exon_positions,
+ coalesce(l.end_pos = m.start_pos, false) as left_canonical, coalesce(r.start_pos = m.end_pos, false) as right_canonical from {mod} m left join {feat} l on l.isoform = m.isoform and l.num = na left join {feat} r on r.isoform = m.isoform and r.num = nb""")
 def modified_exons(fx):
     out = j.modified_exons(pairs(fx))
     return out.select("sj_id", "isoform", "exon_left", "exon_right", "exon_positions", "left_canonical", "right_canonical")
 
 
-@query("select x.sj_id, x.isoform, f.num as asked, coalesce(x.a_num = f.num, false) or coalesce(x.b_num = f.num, false) as has_exon from {jx} x join {feat} f on f.isoform = x.isoform and f.num = 2")
+def _asked(fx):
+    """Every junction x isoform with each exon of the isoform asked for."""
+    df = unroll(pairs(fx), "_x", "exons")
+    return df.withColumns({"asked": F.col("_x.num"), "asked_start": F.col("_x.start"), "asked_end": F.col("_x.end")}).drop("_x")
+
+
+@query("select x.sj_id, x.isoform, f.num as asked, coalesce(x.a_num = f.num, false) or coalesce(x.b_num = f.num, false) as has_exon from {jx} x join {feat} f on f.isoform = x.isoform")
 def junction_has_exon(fx):
-    df = pairs(fx).withColumn("_x", F.get(F.filter("exons", lambda e: e["num"] == 2), F.lit(0))).where("_x is not null")
-    df = df.withColumns({"asked": F.col("_x.num"), "asked_start": F.col("_x.start"), "asked_end": F.col("_x.end")})
-    return j.junction_has_exon(df).select("sj_id", "isoform", "asked", "has_exon")
+    return j.junction_has_exon(_asked(fx)).select("sj_id", "isoform", "asked", "has_exon")
+
+
+@query("select x.sj_id, x.isoform, f.num as asked, coalesce(x.na = f.num, false) or coalesce(x.nb = f.num, false) as has_exon, coalesce(x.na = f.num, false) as has_start, coalesce(x.nb = f.num, false) as has_end from {mod} x join {feat} f on f.isoform = x.isoform")
+def junction_has_exon_modified(fx):
+    # the exons of a row are known before it is unrolled
+    df = unroll(j.modified_exons(pairs(fx)), "_x", "exons").withColumn("asked", F.col("_x.num"))
+    return j.junction_has_exon_modified(df).select("sj_id", "isoform", "asked", "has_exon", "has_start", "has_end")
 
 
 @query("""select x.sj_id, x.isoform, 'skipped' as missing_kind, f.num as missing_num, f.start_pos as missing_start, f.end_pos as missing_end from {jx} x join {feat} f on f.isoform = x.isoform and f.num > least(x.a_num, x.b_num) and f.num < greatest(x.a_num, x.b_num) where x.a_num is not null and x.b_num is not null
@@ -344,6 +358,95 @@ def transcript_validity(fx):
     return out.select("sample", "isoform", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "valid")
 
 
+# steps around one aberrant junction: it, and every intron of the isoform
+ORACLE_ONLY["around"] = """select sj_id, isoform, n_exons, case when strand > 0 then na else nb end as a, case when strand > 0 then nb else na end as b, start_pos as s, end_pos as e, true as own from {mod} where not canonical
+ union all select m.sj_id, m.isoform, m.n_exons, i.num, i.num + 1, i.start_pos, i.end_pos, false from {mod} m join {introns} i on i.isoform = m.isoform where not m.canonical"""
+
+
+@query("""with recursive p as (select sj_id, isoform, n_exons, [{s: s, e: e}] as path, b as reached, own as hit from {around} where a = 1 union all
+ select p.sj_id, p.isoform, p.n_exons, list_append(p.path, {s: x.s, e: x.e}), x.b, p.hit or x.own from p join {around} x on x.sj_id = p.sj_id and x.isoform = p.isoform and x.a = p.reached where not list_contains(p.path, {s: x.s, e: x.e})),
+ o as (select *, row_number() over (partition by sj_id, isoform order by len(path) desc) as k from p where hit)
+ select sj_id, isoform, array_to_string(list_transform(list_sort(path), lambda g: concat(g.s, '-', g.e)), ' >> ') as chain, reached, len(path)::int as junctions from o where k = 1""")
+def junction_transcript(fx):
+    out = j.junction_transcript(j.canonical_junction(pairs(fx)).where("not canonical"))
+    return out.select("sj_id", "isoform", _spans("chain").alias("chain"), "reached", F.size("chain").alias("junctions"))
+
+
+def _spans(chain):
+    return F.array_join(F.transform(chain, lambda g: F.concat(g["start"].cast("string"), F.lit("-"), g["end"].cast("string"))), " >> ")
+
+
+ORACLE_ONLY["assigned_all"] = """select * from (select *, min(score) over (partition by sj_id) as best from (select * replace (case when canonical then -1 else score end as score) from {aberr}) a) q where score = best"""
+ORACLE_ONLY["long_edges"] = """select sample, gene, isoform, n_exons, start_pos, end_pos, min(sj_id) as sj_id, any_value(case when strand > 0 then na else nb end) as from_exon, any_value(case when strand > 0 then nb else na end) as to_exon, any_value(case when canonical then 0 else 1 end) as penalty
+ from (select a.*, m.na, m.nb from {assigned_all} a join {mod} m on m.sj_id = a.sj_id and m.isoform = a.isoform where m.na is not null and m.nb is not null) q group by 1, 2, 3, 4, 5, 6"""
+_STEP = "{s: x.start_pos, e: x.end_pos, id: x.sj_id}"
+ORACLE_ONLY["long_grown"] = f"""
+with recursive p as (select sample, gene, isoform, n_exons, [{_STEP}] as path, to_exon as reached, penalty as cost from {{long_edges}} x where from_exon = 1 and penalty <= 1 union all
+ select p.sample, p.gene, p.isoform, p.n_exons, list_append(p.path, {_STEP}), x.to_exon, p.cost + x.penalty from p join {{long_edges}} x on x.sample = p.sample and x.isoform = p.isoform and x.from_exon = p.reached where not list_contains(p.path, {_STEP}) and p.cost + x.penalty <= 1)
+ select p.* from p where not exists (select 1 from {{long_edges}} x where x.sample = p.sample and x.isoform = p.isoform and x.from_exon = p.reached and not list_contains(p.path, {_STEP})) or exists (select 1 from {{long_edges}} x where x.sample = p.sample and x.isoform = p.isoform and x.from_exon = p.reached and list_contains(p.path, {_STEP}))"""
+
+
+def long_paths(fx):
+    """Chains over stretched exons, of junctions with and without intronic ends; steps as (start, end, sj_id)."""
+    steps = j.transcript_edges(j.collapsed(j.assign_isoforms(pairs(fx), intronic=True)), stretched=True)
+    step = F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.col("sj_id").alias("id"))
+    return j.transcript_paths(steps.withColumn("sj_id", step), 1)
+
+
+def _ids(path):
+    return F.array_join(F.transform(path, lambda x: x["id"].cast("string")), ">")
+
+
+_PATH = "array_to_string(list_transform(path, lambda g: g.id), '>')"
+
+
+@query(f"select sample, isoform, {_PATH} as path, reached, cost from {{long_grown}}")
+def transcript_paths_stretched(fx):
+    return long_paths(fx).select("sample", "isoform", _ids("path").alias("path"), "reached", "cost")
+
+
+@query(f"""select sample, isoform, sj_id, {_PATH} as path from (select p.*, x.sj_id, max(len(p.path)) over (partition by p.sample, p.isoform, x.sj_id) as longest from {{long_grown}} p join {{long_edges}} x on x.sample = p.sample and x.isoform = p.isoform and x.penalty = 1 and list_contains(p.path, {_STEP})) q where len(path) = longest""")
+def longest_path_with_junction(fx):
+    paths = long_paths(fx)
+    # only chains that hold an aberrant junction have a cost; each is asked for by its own steps
+    asked = unroll(paths.where("cost > 0"), "junction", "path").join(
+        j.collapsed(j.assign_isoforms(pairs(fx), intronic=True)).where("not canonical").select(
+            "sample", "isoform", F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.col("sj_id").alias("id")).alias("junction")
+        ), ["sample", "isoform", "junction"],
+    )
+    out = j.longest_with_junction(asked, "junction")
+    return out.select("sample", "isoform", F.col("junction.id").alias("sj_id"), _ids("path").alias("path"))
+
+
+_OF_CHAIN = "select gene, isoform, string_agg(concat(start_pos, '-', end_pos), ' >> ' order by start_pos) as canon from {introns} group by 1, 2"
+
+
+@query(f"""with c as ({_OF_CHAIN}), p as (select sample, gene, isoform, {_PATH} as path, array_to_string(list_transform(list_sort(path), lambda g: concat(g.s, '-', g.e)), ' >> ') as chain from {{long_grown}})
+ select p.sample, p.isoform, p.path, string_agg(c.isoform, ',' order by c.isoform) as matches, coalesce(bool_or(c.isoform = p.isoform), false) as own_match from p left join c on c.gene = p.gene and c.canon = p.chain group by p.sample, p.isoform, p.path""")
+def canonical_transcript_matches(fx):
+    models = transcripts(fx)
+    chain = F.array_sort(F.transform("path", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    chains = long_paths(fx).join(models.select("isoform", "gene"), "isoform").withColumn("chain", chain)
+    out = j.canonical_matches(chains, models)
+    return out.select("sample", "isoform", _ids("path").alias("path"), F.array_join("matches", ",").alias("matches"), "own_match")
+
+
+@query("""with u as (select *, min(case when not present then num end) over (partition by sample, isoform) as unseen from {presence})
+ select sample, isoform, string_agg(concat(start_pos, '-', end_pos), ' >> ' order by start_pos) as chain, any_value(unseen) is null as complete from u where unseen is null or num < unseen group by 1, 2""")
+def canonical_transcript_seen(fx):
+    out = j.canonical_chain_seen(presence(fx), transcripts(fx))
+    return out.select("sample", "isoform", _spans("chain").alias("chain"), "complete")
+
+
+@query("""with s as (select sample, isoform, bool_or(coalesce(a_num = 1, false) or coalesce(b_num = 1, false)) as f, bool_or(coalesce(a_num = n_exons, false) or coalesce(b_num = n_exons, false)) as l from {jx} group by 1, 2),
+ p as (select p.sample, p.isoform, floor((t.n_exons + 1) * 0.5) > count(*) filter (not p.present) as enough from {presence} p join {tx} t on t.isoform = p.isoform group by p.sample, p.isoform, t.n_exons)
+ select p.sample, p.isoform, enough as present_0, enough and coalesce(f, false) as present_1, enough and coalesce(l, false) as present_2, enough and (coalesce(f, false) or coalesce(l, false)) as present_3, enough and coalesce(f, false) and coalesce(l, false) as present_4
+ from p left join s on s.sample = p.sample and s.isoform = p.isoform""")
+def isoform_present_by_ends(fx):
+    out = j.isoform_present_by_ends(presence(fx), transcripts(fx), j.end_support(pairs(fx)), 0.5)
+    return out.select("sample", "isoform", *(f"present_{i}" for i in range(5)))
+
+
 # ---- products of aberrant junctions -----------------------------------------------------------
 
 ORACLE_ONLY["aex"] = """with c as (select *, row_number() over (partition by sj_id, isoform order by start_pos) as k, count(*) over (partition by sj_id, isoform) as n, lead(start_pos) over (partition by sj_id, isoform order by start_pos) as nxt from {rebuilt})

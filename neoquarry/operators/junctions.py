@@ -223,6 +223,19 @@ def junction_has_exon(df: DataFrame, start: str = "asked_start", end: str = "ask
     return out.withColumn("has_exon", tests[side])
 
 
+def junction_has_exon_modified(df: DataFrame, num: str = "asked") -> DataFrame:
+    """As ``junction_has_exon``, for exons that the junction may stretch into an intron or cut.
+
+    ``has_start``: the asked exon (by number) is the one the junction's start belongs to, ``has_end``: its end,
+    ``has_exon``: either. An end in an intron belongs to the exon it makes longer; one outside the gene to none.
+    """
+    out = df if "exon_left" in df.columns else modified_exons(df)
+    same = lambda c: F.coalesce(F.col(c) == F.col(num), F.lit(False))
+    return out.withColumns(
+        {"has_exon": same("exon_left") | same("exon_right"), "has_start": same("exon_left"), "has_end": same("exon_right")}
+    )
+
+
 def missing_exons(df: DataFrame) -> DataFrame:
     """Skipped exons, and the parts cut off when an end lies inside an exon. One row per missing stretch."""
     s, e = F.col(START), F.col(END)
@@ -464,6 +477,27 @@ def isoform_present(presence: DataFrame, transcripts: DataFrame, threshold: floa
     return out.withColumn("isoform_present", enough & ends).withColumnRenamed("n", "exon_count")
 
 
+def end_support(df: DataFrame) -> DataFrame:
+    """Per sample and isoform: does any junction of the sample join its first, its last exon?
+
+    Every recorded junction counts, canonical or not, on whichever side it meets the exon.
+    """
+    a, b = exon_at(START, -1)["num"], exon_at(END, 1)["num"]
+    meets = lambda n: F.coalesce(a == n, F.lit(False)) | F.coalesce(b == n, F.lit(False))
+    return df.groupBy("sample", "gene", "isoform").agg(
+        F.bool_or(meets(F.lit(1))).alias("first_met"), F.bool_or(meets(F.size("exons"))).alias("last_met")
+    )
+
+
+def isoform_present_by_ends(presence: DataFrame, transcripts: DataFrame, support: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """``isoform_present`` with the ends supported by any junction: one column for each of the modes 0 to 4."""
+    counted = isoform_present(presence, transcripts, threshold, 0)
+    joined = counted.join(support, ["sample", "gene", "isoform"], "left")
+    first, last = (F.coalesce(c, F.lit(False)) for c in ("first_met", "last_met"))
+    ends = (F.lit(True), first, last, first | last, first & last)
+    return joined.withColumns({f"present_{i}": F.col("isoform_present") & e for i, e in enumerate(ends)})
+
+
 # ---- transcripts as junction chains -----------------------------------------------------------
 
 
@@ -492,9 +526,48 @@ def transcript_with_junction(df: DataFrame, competing: bool = True) -> DataFrame
     return out.withColumn("chain", chain).drop("_own", "_gaps", "_bounds")
 
 
-def transcript_edges(assigned: DataFrame) -> DataFrame:
-    """Junctions as steps from the exon at the 5' end to the exon at the 3' end, in reading order."""
-    a, b = exon_at(START, -1)["num"], exon_at(END, 1)["num"]
+def junction_transcript(df: DataFrame) -> DataFrame:
+    """The longest transcript around one junction: ``chain``, ``reached`` (its last exon), from junction x isoform rows.
+
+    All canonical introns of the isoform count as present. They form a line, one step from each exon to the next, so
+    the longest chain from the first exon through the junction is found inside the row: the introns up to the exon the
+    junction leaves, the junction, the introns from the exon it enters. Exons may be stretched or cut by the junction. One
+    that ends outside the gene ends the chain (``reached`` is null); one that begins outside has none and gives no row.
+    """
+    out = modified_exons(df)
+    left, entered = (
+        F.when(_plus(), F.col(a)).otherwise(F.col(b)) for a, b in (("exon_left", "exon_right"), ("exon_right", "exon_left"))
+    )
+    own = F.struct(F.col(START).alias("start"), F.col(END).alias("end"))
+    kept = F.filter(_gaps(), lambda g: (g["num"] < left) | F.coalesce(g["num"] >= entered, F.lit(False)))
+    return out.withColumns(
+        {
+            "chain": F.array_sort(F.concat(chain_of(kept), F.array(own))),
+            "reached": F.when(entered.isNotNull(), F.greatest(entered, F.size("exons"))),
+        }
+    ).where(left.isNotNull())
+
+
+def collapsed(assigned: DataFrame) -> DataFrame:
+    """One record for each position in a sample and isoform: the least ``sj_id``, the reads of all."""
+    rest = [c for c in assigned.columns if c not in ("sample", "isoform", START, END, "sj_id", "read_count")]
+    kept = F.min_by(F.struct(*rest), "sj_id").alias("_rest")
+    rows = assigned.groupBy("sample", "isoform", START, END).agg(
+        F.min("sj_id").alias("sj_id"), F.sum("read_count").alias("read_count"), kept
+    )
+    return rows.select("sample", "isoform", START, END, "sj_id", "read_count", "_rest.*")
+
+
+def transcript_edges(assigned: DataFrame, stretched: bool = False) -> DataFrame:
+    """Junctions as steps from the exon at the 5' end to the exon at the 3' end, in reading order.
+
+    ``stretched`` also takes junctions that end in an intron: they make the neighbouring exon longer.
+    """
+    if stretched:
+        assigned = modified_exons(assigned)
+        a, b = F.col("exon_left"), F.col("exon_right")
+    else:
+        a, b = exon_at(START, -1)["num"], exon_at(END, 1)["num"]
     return pinned(
         assigned,
         {
@@ -546,6 +619,36 @@ def longest_with_junction(paths: DataFrame, junction: str = "sj_id") -> DataFram
     return hits.join(best, ["sample", "isoform", junction]).where(F.size("path") == F.col("_n")).drop("_n")
 
 
+def canonical_matches(chains: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Chains (``gene``, ``isoform``, ``chain`` in genome order) with ``matches``, the isoforms of their gene that have just
+    this chain as canonical one, and ``own_match``, whether their own isoform is among them.
+
+    A hash of the ordered chain is the join key; the arrays themselves decide.
+    """
+    canon = canonical_transcript(transcripts)
+    # isoforms with one chain become one row, so a chain meets one row at most
+    known = canon.groupBy("gene", "chain").agg(F.array_sort(F.collect_set("isoform")).alias("matches")).select(
+        F.col("gene").alias("_gene"), F.xxhash64("chain").alias("_print"), F.col("chain").alias("_chain"), "matches"
+    )
+    same = (F.col("gene") == F.col("_gene")) & (F.xxhash64("chain") == F.col("_print")) & (F.col("chain") == F.col("_chain"))
+    out = chains.join(known, same, "left").drop("_gene", "_print", "_chain")
+    return out.withColumn("own_match", F.coalesce(F.array_contains("matches", F.col("isoform")), F.lit(False)))
+
+
+def canonical_chain_seen(presence: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The canonical chain as a sample's junctions support it: the introns from the first exon up to the first one unseen.
+
+    ``complete`` where none is missing. Samples that lack the first intron of an isoform have no chain of it.
+    """
+    shape = transcripts.select("gene", "isoform", STRAND, "exons")
+    own = F.filter(_gaps(), lambda g: (g["start"] == F.col(START)) & (g["end"] == F.col(END)))
+    numbered = presence.join(shape, ["gene", "isoform"]).withColumn("num", F.get(own, F.lit(0))["num"])
+    ends = numbered.groupBy("sample", "gene", "isoform").agg(F.min(F.when(~F.col("present"), F.col("num"))).alias("unseen"))
+    rows = ends.join(shape, ["gene", "isoform"])
+    seen = F.filter(_gaps(), lambda g: F.col("unseen").isNull() | (g["num"] < F.col("unseen")))
+    return rows.withColumns({"chain": chain_of(seen), "complete": F.col("unseen").isNull()}).where(F.size("chain") > 0)
+
+
 def transcript_validity(paths: DataFrame, exon_counts: DataFrame) -> DataFrame:
     """Chains start in exon 1 by construction; valid ones also reach the last exon."""
     return paths.join(exon_counts, "isoform").withColumn("valid", F.col("reached") == F.col("exon_count"))
