@@ -251,14 +251,16 @@ def delta_labels(fx):
     return df.select("order_key", "line_number", "delta_mhc_score", "delta_proteasome_score", "delta_TAP_score", "delta_ic50_score")
 
 
-_ALLELES = ["HLA-A*01:01", "HLA-B*02:01", "HLA-C*03:01"]
+# every allele of the comparison, one per line number
+_ALLELES = [f"HLA-{'ABC'[n % 3]}*0{1 + n % 5}:01" for n in range(1, 8)]
+_CELLS = ", ".join(f"""max(case when allele = '{a}' then v end) as "{a}\"""" for a in _ALLELES)
 
 
-@query("""select peptide, max(case when allele = 'HLA-A*04:01' then v end) as "HLA-A*04:01", max(case when allele = 'HLA-B*02:01' then v end) as "HLA-B*02:01", max(case when allele = 'HLA-C*03:01' then v end) as "HLA-C*03:01"
- from (select peptide_2 as peptide, allele, arg_max(ic50_score_2, struct_pack(a := order_key, b := line_number, c := ic50_score_2)) as v from {compare} group by 1, 2) q group by peptide""")
+@query(f"""select peptide, {_CELLS}
+ from (select peptide_2 as peptide, allele, arg_max(ic50_score_2, struct_pack(a := order_key, b := line_number, c := ic50_score_2)) as v from {{compare}} group by 1, 2) q group by peptide""")
 def peptide_allele_matrix(fx):
     df = fx.compare.withColumn("peptide", F.col("peptide_2"))
-    return scoring.peptide_allele_matrix(df, ["HLA-A*04:01", "HLA-B*02:01", "HLA-C*03:01"], ["order_key", "line_number", "ic50_score_2"], "ic50_score_2")
+    return scoring.peptide_allele_matrix(df, _ALLELES, ["order_key", "line_number", "ic50_score_2"], "ic50_score_2")
 
 
 _KMERS = "(select protein_id, accession, substr(protein, cast(i as bigint), 9) as peptide, i as start from {proteome}, unnest(range(1, length(protein) - 7)) t(i))"

@@ -188,11 +188,10 @@ def closest_element(fx):
   min(e.start_pos) filter (feat_type = 'intron') as gs, min(e.end_pos) filter (feat_type = 'intron') as ge, max(strand) as strand from {points} p join {elements} e on e.isoform = p.isoform and p.pos between e.start_pos and e.end_pos group by 1, 2, 3),
  s as (select h.point_id, h.strand, case when xs is not null then l.start_pos else gs end as ls, case when xs is not null then l.end_pos else ge end as le, case when xs is not null then r.start_pos else gs end as rs, case when xs is not null then r.end_pos else ge end as re
   from hit h left join {introns} l on l.isoform = h.isoform and l.end_pos = h.xs left join {introns} r on r.isoform = h.isoform and r.start_pos = h.xe)
- select point_id, case when strand > 0 then le else rs end as acceptor, case when strand > 0 then rs else le end as donor from s""")
+ select p.point_id, case when strand > 0 then le else rs end as acceptor, case when strand > 0 then rs else le end as donor from {points} p left join s on s.point_id = p.point_id""")
 def adjacent_splice_sites(fx):
     out = g.adjacent_splice_sites(pointed(fx))
-    inside = (F.size(m.holding("exons", "pos")) > 0) | (F.size(m.holding(m.introns("exons", "strand"), "pos")) > 0)
-    return out.where(inside).select("point_id", "acceptor", "donor")
+    return out.select("point_id", "acceptor", "donor")
 
 
 @query("select gene, isoform, chrom, strand, db, num as feat_num, start_pos, end_pos, case when strand > 0 then start_pos else end_pos end as donor, case when strand > 0 then end_pos else start_pos end as acceptor from {introns}")

@@ -184,10 +184,10 @@ def junctions_in_range(fx):
 _PREV = "select chrom, start_pos, end_pos, gene, count(distinct sample) as sample_count, count(distinct case when sample in ('S0', 'S1') then sample end) as control_count from {junctions} where read_count >= 50 group by 1, 2, 3, 4"
 
 
-@query(f"""select x.sj_id, x.region_id, coalesce(p.sample_count, 0) as sample_count, coalesce(p.control_count, 0) as control_count from (select v.sj_id, v.chrom, v.start_pos, v.end_pos, v.gene, r.pk as region_id from {{junctions}} v join {{features}} r on r.chrom = v.chrom and v.start_pos < r.end_pos and r.start_pos < v.end_pos where v.read_count >= 100 and r.pk % 4 = 1) x
+@query(f"""select x.sj_id, x.region_id, coalesce(p.sample_count, 0) as sample_count, coalesce(p.control_count, 0) as control_count from (select v.sj_id, v.chrom, v.start_pos, v.end_pos, v.gene, r.pk as region_id from {{junctions}} v join {{features}} r on r.chrom = v.chrom and v.start_pos < r.end_pos and r.start_pos < v.end_pos where v.read_count >= 100) x
  left join ({_PREV}) p on p.chrom = x.chrom and p.start_pos = x.start_pos and p.end_pos = x.end_pos""")
 def sample_junctions(fx):
-    regions = fx.features.where("pk % 4 = 1").select(F.col("pk").alias("region_id"), "chrom", F.col("start_pos").alias("region_start"), F.col("end_pos").alias("region_end"))
+    regions = fx.features.select(F.col("pk").alias("region_id"), "chrom", F.col("start_pos").alias("region_start"), F.col("end_pos").alias("region_end"))
     prevalence = j.junction_sample_prevalence(fx.junctions, CONTROLS, 50)
     return j.sample_junctions(fx.junctions, regions, prevalence, 100).select("sj_id", "region_id", "sample_count", "control_count")
 

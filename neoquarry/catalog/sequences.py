@@ -35,7 +35,7 @@ _USABLE = "coalesce(cds_start >= 1 and cds_end >= cds_start and cds_end <= lengt
 ORACLE_ONLY["altered"] = f"""
 select *, case when not {_USABLE} then '' when change_type = 1 then concat(substr(cds, 1, cds_start), alt, substr(cds, cds_start + 1))
  else concat(substr(cds, 1, cds_start - 1), alt, substr(cds, cds_end + 1)) end as cds_alt from {{sequences}}"""
-ORACLE_ONLY["proteins"] = f"select variant_id, cds, cds_alt, {sql_translate('cds')} as po, {sql_translate('cds_alt')} as pa from {{altered}} where cds_alt <> ''"
+ORACLE_ONLY["proteins"] = f"select variant_id, cds, cds_alt, {sql_translate('cds')} as po, {sql_translate('cds_alt')} as pa from {{altered}}"
 ORACLE_ONLY["diverged"] = """select *, coalesce(list_min(list_filter(range(0, least(length(po), length(pa))), lambda i: substr(po, cast(i as bigint) + 1, 1) <> substr(pa, cast(i as bigint) + 1, 1))), -1) as d,
  case when greatest(6, cast(ceil(ln(greatest(length(po), length(pa))) / ln(20)) as int)) >= length(pa) then cast(ceil(ln(greatest(length(po), length(pa))) / ln(20)) as int) else greatest(6, cast(ceil(ln(greatest(length(po), length(pa))) / ln(20)) as int)) end as k from {proteins}"""
 ORACLE_ONLY["diffregion"] = """
@@ -68,7 +68,7 @@ def altered(fx):
 
 
 def regions(fx):
-    return s.altered_region(altered(fx).where("cds_alt <> ''"))
+    return s.altered_region(altered(fx))
 
 
 def compared(fx):
@@ -118,13 +118,13 @@ def codon_window(fx):
     return s.codon_window(fx.sequences).select("variant_id", "rf_start", "rf_end", "codons_before", "codons_after")
 
 
-_ALLELE = "concat(case when change_type = 1 then '-' else substring(cds, cds_start, cds_end - cds_start + 1) end, '/', case when change_type = 2 then '-' else alt end)"
+_ALLELE = "case when change_type = 1 then '-' else substring(cds, cds_start, cds_end - cds_start + 1) end || '/' || case when change_type = 2 then '-' else alt end"
 
 
 @query(f"""select variant_id, case when gene_strand = 1 then a else reverse(translate(a, 'ACGT', 'TGCA')) end as nuc_orig, case when gene_strand = 1 then b else reverse(translate(b, 'ACGT', 'TGCA')) end as nuc_alt
- from (select variant_id, gene_strand, split_part(t, '/', 1) as a, split_part(t, '/', 2) as b from (select *, replace({_ALLELE}, '-', '') as t from {{sequences}} where cds_start is not null) q) r""")
+ from (select variant_id, gene_strand, split_part(t, '/', 1) as a, split_part(t, '/', 2) as b from (select *, coalesce(replace({_ALLELE}, '-', ''), '') as t from {{sequences}}) q) r""")
 def allele_on_gene_strand(fx):
-    df = fx.sql("select *, 1 as variant_strand, " + _ALLELE + " as allele_string from {sequences} where cds_start is not null")
+    df = fx.sql("select *, 1 as variant_strand, " + _ALLELE + " as allele_string from {sequences}")
     return s.allele_on_gene_strand(df).select("variant_id", "nuc_orig", "nuc_alt")
 
 
@@ -228,7 +228,7 @@ _SAME = "substr(cds, cast(i as bigint) + 1, least(n, i + 27) - i) = substr(cds_a
  from (select *, case when f >= 0 then f + 1 - (f + 1) % 3 end as lo, case when f >= 0 then case when again is not null then least(n, again + 27) else -1 end end as hi from (
  select *, list_min(list_filter(range(f, n), lambda i: {_SAME})) as again from (select *, coalesce(list_min(list_filter(range(0, n), lambda i: not ({_SAME}))), -1) as f from (select variant_id, cds, cds_alt, length(cds_alt) as n from {{proteins}}) a) b) c) d""")
 def nucleotide_region_diff(fx):
-    out = s.altered_region(altered(fx).where("cds_alt <> ''"), method="nucleotide")
+    out = s.altered_region(altered(fx), method="nucleotide")
     return out.select("variant_id", "region_start", "region_end", "region_orig", "region_alt")
 
 
@@ -271,11 +271,11 @@ def truncation_boundary(fx):
 _RF = "greatest(0, case when cds_start - 9 <= 0 then cds_start - 9 else cds_start - 9 - (cds_start - 9) % 3 end)"
 ORACLE_ONLY["decay"] = f"""select *, position('*' in {sql_translate('x')}) > 0 as nmd, position('*' in {sql_translate('y')}) > 0 as any_stop from (
  select *, case when cds_start >= 0 and boundary <> 0 then {sql_cut('cds_alt', _RF, 'case when boundary - boundary % 3 + 2 > length(cds_alt) then -1 else boundary - boundary % 3 + 2 end')} end as x,
- {sql_cut('cds_alt', _RF, '-1')} as y from {{altered}} where cds_alt <> '' or cds_start is null) q"""
+ {sql_cut('cds_alt', _RF, '-1')} as y from {{altered}}) q"""
 
 
 def _decaying(fx):
-    return altered(fx).where("cds_alt <> '' or cds_start is null")
+    return altered(fx)
 
 
 @query("select variant_id, nmd as bool_NMD from {decay}")
@@ -318,7 +318,7 @@ def flanking_sequence(fx):
 
 
 @query(f"""select variant_id, fs as frameshift, a as nuc_region_orig, b as nuc_region_alt, {sql_translate('a')} as aa_region_orig, {sql_translate('b')} as aa_region_alt from (select variant_id, fs, {sql_cut('cds', 'lo', "case when fs then length(cds) else hi + 1 end")} as a,
- {sql_cut('cds_alt', 'lo', "case when fs then length(cds_alt) else hi + 1 + length(cds_alt) - length(cds) end")} as b from (select *, (length(cds_alt) - length(cds)) % 3 <> 0 as fs, cds_start - 1 - (cds_start - 1) % 3 as lo, cds_end - 1 - (cds_end - 1) % 3 + 11 as hi from {{altered}} where cds_alt <> '') q) r""")
+ {sql_cut('cds_alt', 'lo', "case when fs then length(cds_alt) else hi + 1 + length(cds_alt) - length(cds) end")} as b from (select *, case when cds_alt <> '' then (length(cds_alt) - length(cds)) % 3 <> 0 end as fs, cds_start - 1 - (cds_start - 1) % 3 as lo, cds_end - 1 - (cds_end - 1) % 3 + 11 as hi from {{altered}}) q) r""")
 def inframe_frameshift_sequences(fx):
-    out = s.inframe_frameshift_sequences(altered(fx).where("cds_alt <> ''"))
+    out = s.inframe_frameshift_sequences(altered(fx))
     return out.select("variant_id", "frameshift", "nuc_region_orig", "nuc_region_alt", "aa_region_orig", "aa_region_alt")
