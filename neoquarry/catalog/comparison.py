@@ -476,6 +476,13 @@ def processing_bins(fx):
     return cohort.processing_bins(labelled(fx), _ORDER, 25)
 
 
+@query("""select case_id, my_change_type, w as "window", count(*) as n from (select *, concat(cast(lo as bigint), '-', cast(lo as bigint) + 50) as w, row_number() over (partition by genome_pos, lo order by %s) as rn
+ from (select *, floor(proteasome_percentile_2 / 50.0) * 50 as lo from {labelled} where floor(proteasome_percentile_2 / 50.0) = floor(tap_percentile_2 / 50.0) and proteasome_percentile_2 < 100) p) q where rn = 1 group by 1, 2, 3""" % _ORDER_SQL)
+def processing_bins_by_group(fx):
+    """A mutation counts once in a window, for the sample and group of its first row."""
+    return cohort.processing_bins(labelled(fx), _ORDER, 50, category="my_change_type", key=("genome_pos",))
+
+
 @query("""select case_id, aff_cat_2, label, cast(v as double) as value from (select case_id, aff_cat_2, 'rows' as label, count(*) as v from {labelled} group by 1, 2 union all select case_id, aff_cat_2, 'mutations', count(distinct genome_pos) from {labelled} group by 1, 2) q""")
 def labelled_counts(fx):
     base = labelled(fx).groupBy("case_id", "aff_cat_2")

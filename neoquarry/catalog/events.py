@@ -73,6 +73,14 @@ def read_density(fx):
     return out.select("isoform", "sample", "reads", "length", F.round("density", 6).alias("density"))
 
 
+@query(f"""with k as (select gene, min(isoform) as isoform from (select gene, isoform, rank() over (partition by gene order by n_exons desc) as k from {{tx}}) q where k = 1 group by 1)
+ select k.gene, q.isoform, q.sample, q.reads, l.length, round(1e9 * q.reads / (b.library * l.length), 6) as density from k join (select r.isoform, s.sample, count(*) filter (nh = 1) as reads {_REGION_HITS} group by 1, 2) q on q.isoform = k.isoform
+ join (select isoform, cast(sum(end_pos - start_pos) as bigint) as length from {{features}} group by 1) l on l.isoform = q.isoform join (select sample, count(*) as library from {{reads}} group by 1) b on b.sample = q.sample""")
+def gene_density(fx):
+    out = ev.gene_density(exon_regions(fx), fx.reads, transcripts(fx))
+    return out.select("gene", "isoform", "sample", "reads", "length", F.round("density", 6).alias("density"))
+
+
 @query("select fusion_id, read_span, read_mate, read_break from {fusions} where least(read_span, read_mate, read_break) >= 3 and greatest(read_span, read_mate, read_break) >= 15")
 def fusion_read_filter(fx):
     return fu.fusion_read_filter(fx.fusions).select("fusion_id", "read_span", "read_mate", "read_break")

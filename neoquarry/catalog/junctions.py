@@ -202,6 +202,11 @@ def junction_sample_prevalence(fx):
     return j.junction_sample_prevalence(fx.junctions, CONTROLS, 50)
 
 
+@query(_PREV.replace(" group by", " and gene in (select gene from {features} where cds_start is not null) group by"))
+def junction_sample_prevalence_coding(fx):
+    return j.junction_sample_prevalence(fx.junctions, CONTROLS, 50, transcripts(fx))
+
+
 _LISTS = "select o_orderkey as sj_id, concat('S', cast(o_custkey % 12 as string), ',S', cast(o_custkey % 5 as string), ',S', cast(o_orderkey % 7 as string)) as samples, concat(cast(o_custkey % 40 as string), ',', cast(o_orderkey % 40 as string), ',', cast((o_custkey + o_orderkey) % 40 as string)) as counts from {orders}"
 
 
@@ -240,6 +245,15 @@ def junction_dominance(fx):
     return out.select("sj_id", "isoform", F.round("ratio", 6).alias("ratio"), "max_sj_info")
 
 
+@query(f"""with {_bracketed(False)}, a as (select sj_id, string_agg(distinct isoform, ' | ' order by isoform) as iso from {{assigned}} group by 1), top as (select *, row_number() over (partition by sample, isoform, bracket_start, bracket_end order by read_count desc, sj_id) as n from br)
+ select br.sj_id, br.isoform, round(br.read_count / greatest(coalesce(t.read_count, 1), 1), 6) as ratio, case when t.sj_id is null then 'nothing' else concat(t.read_count, ' - ', t.sj_id, ' - ', coalesce(a.iso, '')) end as max_sj_info
+ from br left join top t on t.n = 1 and t.sample = br.sample and t.isoform = br.isoform and t.bracket_start = br.bracket_start and t.bracket_end = br.bracket_end left join a on a.sj_id = t.sj_id""")
+def junction_dominance_assigned(fx):
+    rows = j.canonical_junction(pairs(fx)).join(j.assigned_lists(assigned(fx)), "sj_id", "left")
+    out = j.junction_dominance(rows, assigned="assigned_isoforms")
+    return out.select("sj_id", "isoform", F.round("ratio", 6).alias("ratio"), "max_sj_info")
+
+
 ORACLE_ONLY["gene_introns"] = "select i.gene, i.start_pos as intron_start, i.end_pos as intron_end, count(distinct isoform) >= n.n as constitutive from {introns} i join (select gene, count(distinct isoform) as n from {introns} group by 1) n on n.gene = i.gene group by 1, 2, 3, n.n"
 ORACLE_ONLY["gap_support"] = "select sample, gene, gap_start as intron_start, gap_end as intron_end, count(*) filter (nh = 1) as reads from {spans} group by 1, 2, 3, 4"
 

@@ -186,10 +186,14 @@ def efficacy_funnel(df: DataFrame, by: tuple[str, ...] = ("case_id",), min_perce
     )
 
 
-def processing_bins(df: DataFrame, order: list[str], step: int = 50, case: str = "case_id") -> DataFrame:
-    """Mutations per sample, category and window ``[t, t+step)`` that holds both percentiles.
+def processing_bins(
+    df: DataFrame, order: list[str], step: int = 50, case: str = "case_id", category: str = "aff_cat_2",
+    key: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Mutations per sample, category (a response group, say) and window ``[t, t+step)`` that holds both percentiles.
 
-    One row per mutation and window is kept; a percentile of 100 lies outside every window.
+    One row per window and ``key`` (sample and mutation unless given) is kept, the first by ``order``; a percentile of 100
+    lies outside every window.
     """
     low = (F.floor(F.col("proteasome_percentile_2") / step) * step).cast("bigint")
     both = (
@@ -198,8 +202,8 @@ def processing_bins(df: DataFrame, order: list[str], step: int = 50, case: str =
         & (F.col("proteasome_percentile_2") >= 0)
     )
     inside = df.where(both).withColumn("window", F.concat_ws("-", low.cast("string"), (low + step).cast("string")))
-    kept = first_per_mutation(inside, order, (case, "genome_pos", "window"))
-    return kept.groupBy(case, "aff_cat_2", "window").agg(F.count(F.lit(1)).alias("n"))
+    kept = first_per_mutation(inside, order, (*(key or (case, "genome_pos")), "window"))
+    return kept.groupBy(case, category, "window").agg(F.count(F.lit(1)).alias("n"))
 
 
 def labelled_counts(frames: list[tuple[str, DataFrame]], value: str, keys: list[str], subgroup: str | None = None) -> DataFrame:

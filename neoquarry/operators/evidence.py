@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.intervals import EXON_BIN, overlap_join
 from ..plans.rows import unroll
+from .genemodels import longest_isoform
 
 UNIQUE_MAPQ = 50  # fixed value: mapping quality of a unique hit
 
@@ -116,3 +117,14 @@ def read_density(regions: DataFrame, reads: DataFrame, by: list[str], key: str =
         .join(library_size(reads), "sample")
         .withColumn("density", density(F.col("reads"), F.col("library"), F.col("length")))
     )
+
+
+def gene_density(regions: DataFrame, reads: DataFrame, transcripts: DataFrame, counted: str = "unique_reads") -> DataFrame:
+    """Density of a gene: that of its longest isoform, the one with the most exons (of equals the first by name).
+
+    ``regions``: region_id, isoform, chrom, region_start, region_end of the isoforms' exons. Regions of other isoforms
+    are left out before any read is joined.
+    """
+    first = longest_isoform(transcripts).groupBy("gene").agg(F.min("isoform").alias("isoform"))
+    chosen = regions.drop("gene").join(first, "isoform")
+    return read_density(chosen, reads, ["gene", "isoform"], counted=counted)

@@ -27,6 +27,11 @@ def _plus() -> Column:
     return F.col(STRAND) > 0
 
 
+def assigned_lists(assigned: DataFrame, key: str = "sj_id") -> DataFrame:
+    """Per junction ``assigned_isoforms``, sorted; no more than the isoforms of its gene."""
+    return assigned.groupBy(key).agg(F.array_sort(F.collect_set("isoform")).alias("assigned_isoforms"))
+
+
 def junction_models(junctions: DataFrame, transcripts: DataFrame, on: tuple[str, ...] = ("gene",)) -> DataFrame:
     """Junction x isoform rows: every isoform of the junction's gene with its exon array."""
     extra = [c for c in transcripts.columns if c not in junctions.columns or c in on]
@@ -328,8 +333,13 @@ def aberrant_junctions(assigned: DataFrame) -> DataFrame:
     return assigned.where(~F.col("canonical"))
 
 
-def junction_sample_prevalence(junctions: DataFrame, controls: list[str], min_reads: int = 1) -> DataFrame:
-    """Samples and control samples that carry each junction."""
+def junction_sample_prevalence(
+    junctions: DataFrame, controls: list[str], min_reads: int = 1, transcripts: DataFrame | None = None
+) -> DataFrame:
+    """Samples and control samples that carry each junction; with ``transcripts`` only of genes that have a coding isoform."""
+    if transcripts is not None:
+        coding = transcripts.where(F.size(m.coding("exons")) > 0).select("gene").distinct()
+        junctions = junctions.join(coding, "gene", "left_semi")
     control = F.when(F.col("sample").isin(controls), F.col("sample"))
     return junctions.where(F.col("read_count") >= min_reads).groupBy("chrom", START, END, "gene").agg(
         F.count_distinct("sample").alias("sample_count"), F.count_distinct(control).alias("control_count")
@@ -389,19 +399,24 @@ def acceptor_brackets(df: DataFrame, closed_left: bool = False) -> DataFrame:
     return out.withColumns({"bracket_start": F.col("_b.lo"), "bracket_end": F.col("_b.hi")}).drop("_b", "_bounds")
 
 
-def junction_dominance(df: DataFrame, canonical_only: bool = False, key: str = "sj_id") -> DataFrame:
+def junction_dominance(df: DataFrame, canonical_only: bool = False, key: str = "sj_id", assigned: str | None = None) -> DataFrame:
     """Reads of a junction over the most reads in its bracket (1 when the bracket has none), and the winner.
 
-    The bracket maximum is a plain aggregate, so a crowded bracket is reduced before it is shuffled.
+    The bracket maximum is a plain aggregate, so a crowded bracket is reduced before it is shuffled. ``assigned`` names a
+    column with the isoforms (array) a junction was assigned to; the winner's are then part of its text.
     """
     placed = acceptor_brackets(df)
     group = ["sample", "isoform", "bracket_start", "bracket_end"]
     rivals = placed.where("canonical") if canonical_only else placed
     top = rivals.groupBy(*group).agg(
-        F.max("read_count").alias("max_reads"), F.max_by(key, F.struct(F.col("read_count"), -F.col(key))).alias("max_sj")
+        F.max("read_count").alias("max_reads"), F.max_by(key, F.struct(F.col("read_count"), -F.col(key))).alias("max_sj"),
+        *([F.max_by(assigned, F.struct(F.col("read_count"), -F.col(key))).alias("max_isoforms")] if assigned else []),
     )
     joined = placed.join(top, group, "left")
-    info = F.coalesce(F.concat(F.col("max_reads").cast("string"), F.lit(" - "), F.col("max_sj").cast("string")), F.lit("nothing"))
+    told = [F.col("max_reads").cast("string"), F.lit(" - "), F.col("max_sj").cast("string")]
+    if assigned:
+        told += [F.lit(" - "), F.coalesce(F.array_join("max_isoforms", " | "), F.lit(""))]
+    info = F.coalesce(F.concat(*told), F.lit("nothing"))
     return joined.withColumns(
         {"ratio": F.col("read_count") / F.greatest(F.coalesce("max_reads", F.lit(1)), F.lit(1)), "max_sj_info": info}
     )

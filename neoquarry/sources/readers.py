@@ -38,17 +38,30 @@ def read_tsv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def read_maf(spark: SparkSession, path: str, ddl: str = schemas.MAF) -> DataFrame:
-    """Mutation table: the first physical line is not data, the second is the header."""
-    head = [r[0] for r in spark.read.text(path).head(2)]
-    if head and head[0].startswith("#"):
-        return _typed(_tab(spark).option("comment", "#").csv(path), ddl)
-    names = head[1].split("\t")
-    fields = StructType()
-    for n in names:
-        fields = fields.add(n, "string")
-    lines = spark.read.text(path).where(~F.col("value").isin(*head))
-    rows = lines.select(F.from_csv("value", fields.simpleString()[7:-1].replace(":", " "), {"sep": "\t", "quote": ""}).alias("r"))
-    return _typed(rows.select("r.*"), ddl)
+    """Mutation tables of one or more files, each read by its own header.
+
+    The first physical line of a file is not data and the second is the header; where the first is a comment (``#``), the
+    first line that is none is the header. Files may differ in their first lines and in the order of their columns;
+    columns a file lacks are null.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    comment = lambda c: F.startswith(F.col(c), F.lit("#"))
+    # lines of a file's first block come in order, so its least ids are its first lines
+    tops = lines.where("_block = 0")
+    first = tops.groupBy("_file").agg(
+        F.min_by("value", "_id").alias("_first"), F.min("_id").alias("_top"), F.min(F.when(~comment("value"), F.col("_id"))).alias("_named"),
+    )
+    place = F.when(comment("_first"), F.col("_named")).otherwise(F.col("_top") + 1)
+    heads = tops.join(first, "_file").where(F.col("_id") == place).select("_file", "_first", F.col("value").alias("_header"))
+    told = F.when(comment("_first"), comment("value")).otherwise(F.col("value") == F.col("_first"))
+    rows = lines.join(heads, "_file").where(~told & (F.col("value") != F.col("_header")))
+    rows = rows.select(F.split("_header", "\t").alias("_names"), F.split("value", "\t").alias("_cells"))
+    cell = lambda name: F.get("_cells", (F.array_position("_names", name) - 1).cast("int"))
+    present = [f.name for f in StructType.fromDDL(ddl)]
+    return _typed(rows.select(*[F.nullif(cell(n), F.lit("")).alias(n) for n in present]), ddl)
 
 
 def _numbers(text: str) -> Column:
