@@ -52,6 +52,7 @@ HOLDERS = frozenset("slot box bar block container wrapper wrap area section list
 PAGE = frozenset(("html", "body", "main"))
 
 _OPENER = re.compile(r"<(?:!--|[!?]|(/?)[A-Za-z])")
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _PLAIN = r"""[^>"']*+"""
 _NAME = r"[^\s/>]*+"
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -68,6 +69,7 @@ class Tags:
         self.page, self.last = page, page.rfind(">") + 1
         self.final = {c: page.rfind(c) for c in "\"'"}
         self.vain: set[int] = set()
+        self.broken = False  # from the first tag that never ends, what was read is remembered
         self.plain, self.name = Run(_PLAIN), Run(_NAME)
 
     def _end(self, at: int) -> int:
@@ -102,7 +104,10 @@ class Tags:
                     return None
             elif match[1] is None:
                 return start, page.find(">", at) + 1, "", "", ""
+            elif not self.broken and (tag := _TAG.match(page, start)):
+                return start, tag.end(), tag[1], tag[2].lower(), tag[3]
             else:
+                self.broken = True
                 name = self.name.end(page, at)
                 end = self._end(name)
                 if end >= 0:
