@@ -1,7 +1,9 @@
 """Language ID, toxicity on held-out labels, decontamination's ways, the pipeline's stages."""
 
 import math
+import random
 import re
+import time
 import zlib
 
 import corpus_pipeline
@@ -86,10 +88,70 @@ def test_scores_do_not_depend_on_held_out_labels(spark):
 
 
 def test_clauses():
-    grammar = toxicity.Grammar({"idiot": 7.0, "lowei*": 5.0})
+    grammar = toxicity.Grammar({"idiot": 7.0, "lowei*": 5.0}, dict.fromkeys(toxicity.THREAT_FORMS.values(), 1.0))
     read = dict(zip(toxicity.WAYS, grammar.read("An Idiot. You idiot! He said idiot\nnot a loweisch here; idiotic. kill you")))
-    assert read == {"insult": 7.0, "insult_target": 7.0, "insult_negated": 5.0, "insult_reported": 7.0, "threat": 0.0, "threat_target": 1.0}
-    assert grammar.read("a clean text, lowe") == [0.0] * 7
+    assert {way: w for way, w in read.items() if w} == {
+        "insult": 7.0, "insult_target": 7.0, "insult_negated": 5.0, "insult_reported_target": 7.0, "threat_target": 1.0,
+    }
+    assert grammar.read("a clean text, lowe") == [0.0] * 13
+
+
+@pytest.mark.parametrize("clause, ways", [
+    ("he said he would kill you", {"threat_reported_target"}),
+    ("I do not want to kill you", {"threat_negated_target"}),
+    ("not every day I think you are an idiot", {"insult_target"}),  # too far behind the negation
+    ("you are an idiot and I am killing you", {"insult_target", "threat_target"}),
+    ("you aren’t an idiot, but I will beat them", {"insult_negated_target", "threat_target"}),
+    ("er sagte, er schlägt dich", {"threat_reported_target"}),
+    ("the idiot walked all the way to the old house before you", {"insult"}),  # the target is too far behind
+    ("a skilled mate beats nobody", {"threat"}),
+])
+def test_ways_of_a_clause(clause, ways):
+    grammar = toxicity.Grammar({"idiot": 7.0}, dict.fromkeys(toxicity.THREAT_FORMS.values(), 1.0))
+    (words,) = grammar.clauses(clause)
+    assert set(grammar.matched(words)) == ways
+
+
+def plain_ways(letters):
+    """The ways and their best weights, looked up for each insult or threat in the whole clause."""
+    T, best = toxicity, {}
+    for i, (letter, insult, threat) in enumerate(letters):
+        def near(mark, places, stops):
+            return any(letters[j][0] & mark and not any(letters[k][0] & stops for k in range(min(i, j) + 1, max(i, j))) for j in places)
+
+        n = len(letters)
+        reported = near(T.REPORT, range(i), T.TURN)
+        negated = near(T.NEGATION, range(max(0, i - T.SCOPE), i), T.TURN | T.PAUSE)
+        around = [*range(max(0, i - T.REACH), i), *range(i + 1, min(n, i + T.REACH + 1))]
+        aimed = letter & T.TARGET or near(T.TARGET, around, T.TURN)
+        end = ("_reported" if reported else "_negated" if negated else "") + ("_target" if aimed else "")
+        for kind, mark, weight in (("insult", T.INSULT, insult), ("threat", T.THREAT, threat)):
+            if letter & mark:
+                best[kind + end] = max(best.get(kind + end, 0.0), weight)
+    return best
+
+
+def test_composed_machine_against_plain_search():
+    rng = random.Random(3)
+    grammar = toxicity.Grammar({}, {})
+    for _ in range(3000):
+        letters = []
+        for _ in range(rng.randrange(25)):
+            letter = 0 if rng.random() < 0.6 else rng.choice(toxicity.LETTERS)
+            letters.append((letter, rng.choice((1.0, 2.5, 7.0)), rng.choice((0.5, 4.0))))
+        following = iter(letters)
+        grammar.letter = lambda word: next(following)  # noqa: B023
+        assert grammar.matched([""] * len(letters)) == plain_ways(letters)
+
+
+def test_long_clauses_take_linear_time():
+    grammar = toxicity.Grammar({"idiot": 7.0}, {})
+    seconds = []
+    for n in (20_000, 40_000):
+        start = time.process_time()
+        grammar.read("you idiot not " * n)
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 3.5 * seconds[0]
 
 
 def test_toxicity_edges(spark):
