@@ -4,16 +4,21 @@ Fixed rules come first (too few words, too much repetition). For the rest a vect
 document is held against its language and source: the minimum-covariance-determinant estimate of centre and spread is
 found by concentration steps, and a document whose Mahalanobis distance exceeds a chi-square bound is rejected.
 
+Each group has three starts, none of them drawn at random: medians with quartile spreads, the products of values bent
+by tanh, and those of spatial signs. All take ``first_steps`` concentration steps; the start whose core then has the
+least determinant goes on until the determinant falls no more. A step that does not lower the determinant is not taken.
+
 Every step is a grouped aggregate with partial sums: a concentration step takes the share ``core`` of a group's rows
 nearest to the present centre (the bound comes from a histogram of distances, so ties fall on one side), and sums
 their values and products. Groups too small for an estimate are pooled by language, and what is still small over all.
-Centres and inverse spreads are rows, one per group, joined back to the documents.
+Centres and inverse spreads are rows, a few per group, broadcast to the documents up to ``most_sent`` groups and joined
+by a shuffle beyond.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +39,9 @@ class Rules:
     least_words: int = 50
     most_repeats: int = 50  # percent of words in repeated windows
     core: float = 0.75  # share of a group's rows the estimate rests on
-    steps: int = 5
+    first_steps: int = 2  # concentration steps of every start
+    steps: int = 20  # of the best start at most
+    most_sent: int = 10_000  # groups up to which estimates are broadcast
     least_rows: int = 200  # smaller groups are pooled
     cutoff: float = 1e-3  # probability, under the core's normal law, of a distance past the bound
     # least standard deviation of each feature; the core of a clean corpus may not vary at all in some
@@ -125,9 +132,7 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     groups = _groups(rows.where("not base_failed"), rules)
     rows = rows.join(groups, [F.col("lang").eqNullSafe(F.col("_lang")), F.col("source").eqNullSafe(F.col("_source"))], "left")
     fit = settled(rows.where("not base_failed").select("grp", *FEATURES))
-    estimate = settled(_first_estimate(fit, rules))
-    for _ in range(rules.steps):
-        estimate = settled(_concentrated(fit, estimate, rules))
+    estimate = least_determinant(fit, rules)
     placed = rows.join(estimate.withColumnRenamed("grp", "_grp"), F.col("grp") == F.col("_grp"), "left")
     distance = F.when(~F.col("base_failed"), _distance())
     bound = chi_square_bound(len(FEATURES), rules.cutoff)
@@ -137,6 +142,23 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
 
+def least_determinant(fit: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Per group ``grp`` the estimate ``centre``, ``inverse`` of least determinant, its logarithm in ``log_det``."""
+    first = settled(_first_estimate(fit, rules))
+    # proven: what is broadcast has a row per group and start
+    sent = F.broadcast if first.count() <= rules.most_sent else lambda df: df
+    estimate = settled(_starts(fit, first, rules, sent))
+    for _ in range(rules.first_steps):
+        estimate = settled(_concentrated(fit, estimate, rules, sent))
+    best = F.min(F.struct(F.round("log_det", 6).alias("rounded"), "start", "centre", "inverse", "log_det", "fell")).alias("b")
+    estimate = settled(estimate.groupBy("grp").agg(best).select("grp", "b.start", "b.centre", "b.inverse", "b.log_det", "b.fell"))
+    for _ in range(rules.steps):
+        if estimate.where("fell").isEmpty():
+            break
+        estimate = settled(_concentrated(fit, estimate, rules, sent))
+    return sent(estimate.select("grp", "centre", "inverse", "log_det"))
+
+
 def _groups(rows: DataFrame, rules: Rules) -> DataFrame:
     """``_lang``, ``_source`` to the group whose estimate they take."""
     n = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -180,35 +202,83 @@ def _distance() -> Column:
     return sum((off[i] * off[j] * F.col("inverse")[i * p + j] * (1 if i == j else 2) for i in range(p) for j in range(i, p)), F.lit(0.0))
 
 
-def _concentrated(fit: DataFrame, estimate: DataFrame, rules: Rules) -> DataFrame:
-    """The estimate from the rows nearest to the last one."""
+def _products(of: list[Column]) -> list[Column]:
+    """Sums of the values and of their products in pairs."""
+    p = len(of)
+    return [F.sum(v).alias(f"s{i}") for i, v in enumerate(of)] + [F.sum(of[i] * of[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
+
+
+def _means(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The means of values and of products."""
+    p = len(FEATURES)
+    square = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            square[i, j] = square[j, i] = row[f"q{i}_{j}"] / row["n"]
+    return np.array([row[f"s{i}"] for i in range(p)]) / row["n"], square
+
+
+_ESTIMATE = pa.schema([
+    ("grp", pa.string()), ("start", pa.int32()), ("centre", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())),
+    ("log_det", pa.float64()), ("fell", pa.bool_()),
+])
+_ESTIMATE_DDL = "grp string, start int, centre array<double>, inverse array<double>, log_det double, fell boolean"
+
+
+def _starts(fit: DataFrame, first: DataFrame, rules: Rules, sent: Callable) -> DataFrame:
+    """Three estimates per group, from one pass; they have no core yet, so no determinant."""
+    p = len(FEATURES)
+    z = [(F.col(f) - F.col("centre")[i]) * F.sqrt(F.col("inverse")[i * p + i]) for i, f in enumerate(FEATURES)]
+    rows = fit.join(sent(first), "grp").select("grp", *(v.alias(f"z{i}") for i, v in enumerate(z)))
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)), F.lit(0.0)))
+    bent = [F.tanh(f"z{i}") for i in range(p)]
+    signs = [F.when(length > 0, F.col(f"z{i}") / length).otherwise(0.0) for i in range(p)]
+    kinds = [F.lit(k).alias("start") for k in (1, 2)]
+    each = [rows.select("grp", kind, *(v.alias(f"v{i}") for i, v in enumerate(of))) for kind, of in zip(kinds, (bent, signs))]
+    sums = each[0].union(each[1]).groupBy("grp", "start").agg(F.count("*").alias("n"), *_products([F.col(f"v{i}") for i in range(p)]))
+    floors = np.array(rules.floors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                centre, square = _means(row)
+                # back from units of the quartile spreads; the products' common factor does not matter to the order
+                unit = 1 / np.sqrt(np.array(row["inverse"]).reshape(p, p).diagonal())
+                scale = p / max(1e-12, np.trace(square))
+                spread = floored(square * scale * np.outer(unit, unit), floors)
+                out.append({"grp": row["grp"], "start": row["start"], "centre": row["centre"], "inverse": np.linalg.inv(spread).ravel().tolist()})
+            yield pa.RecordBatch.from_pylist(out, schema=_ESTIMATE)
+
+    made = sums.join(first, "grp").mapInArrow(run, _ESTIMATE_DDL)
+    plain = first.select("grp", F.lit(0).alias("start"), "centre", "inverse", F.lit(None).cast("double").alias("log_det"), F.lit(None).cast("boolean").alias("fell"))
+    return plain.union(made)
+
+
+def _concentrated(fit: DataFrame, estimate: DataFrame, rules: Rules, sent: Callable) -> DataFrame:
+    """Each estimate from the rows nearest to it, where that lowers the determinant (``fell``); else as it was."""
     # distances in steps of about a hundredth of their size
     step = F.round(F.log1p(F.greatest(_distance(), F.lit(0.0))) * 100).cast("int")
-    near = fit.join(estimate, "grp").withColumn("step", step).drop("centre", "inverse")
-    bound = _quantile(near.groupBy("grp", "step").agg(F.count("*").alias("c")), ["grp"], "step", rules.core)
-    core = near.join(bound.withColumnRenamed("step", "most"), "grp").where("step <= most")
-    p = len(FEATURES)
-    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
-    sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
-    moments = core.groupBy("grp").agg(F.count("*").alias("n"), *sums)
+    near = fit.join(sent(estimate.select("grp", "start", "centre", "inverse")), "grp").withColumn("step", step).drop("centre", "inverse")
+    bound = _quantile(near.groupBy("grp", "start", "step").agg(F.count("*").alias("c")), ["grp", "start"], "step", rules.core)
+    core = near.join(sent(bound.withColumnRenamed("step", "most")), ["grp", "start"]).where("step <= most")
+    moments = core.groupBy("grp", "start").agg(F.count("*").alias("n"), *_products([F.col(f) for f in FEATURES]))
     floors = np.array(rules.floors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            centres, inverses = [], []
+            out = []
             for row in batch.to_pylist():
-                centre = np.array([row[f"s{i}"] for i in range(p)]) / row["n"]
-                square = np.zeros((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        square[i, j] = square[j, i] = row[f"q{i}_{j}"] / row["n"]
-                spread = square - np.outer(centre, centre)
-                centres.append(centre.tolist())
-                inverses.append(np.linalg.inv(floored(spread, floors)).ravel().tolist())
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centres, kind), pa.array(inverses, kind)], names=["grp", "centre", "inverse"])
-
-    return moments.mapInArrow(run, "grp string, centre array<double>, inverse array<double>")
+                centre, square = _means(row)
+                spread = floored(square - np.outer(centre, centre), floors)
+                log_det = float(np.linalg.slogdet(spread)[1])
+                new = {"grp": row["grp"], "start": row["start"], "centre": row["centre"], "inverse": row["inverse"], "log_det": row["log_det"], "fell": False}
+                if row["log_det"] is None or log_det < row["log_det"] - 1e-6:
+                    new |= {"centre": centre.tolist(), "inverse": np.linalg.inv(spread).ravel().tolist(), "log_det": log_det, "fell": True}
+                out.append(new)
+            yield pa.RecordBatch.from_pylist(out, schema=_ESTIMATE)
+
+    return moments.join(estimate.drop("fell"), ["grp", "start"]).mapInArrow(run, _ESTIMATE_DDL)
 
 
 def floored(spread: np.ndarray, floors: np.ndarray) -> np.ndarray:

@@ -63,17 +63,66 @@ def estimated_plainly(rows, rules=quality.Rules()):
         x = np.array([stats[d][5:] for d in ids])
         centre = np.array([cut(v, 0.5) for v in x.T])
         spread = np.array([max(f, (cut(v, 0.75) - cut(v, 0.25)) / 1.349) for v, f in zip(x.T, rules.floors)])
-        inverse = np.diag(1 / spread**2)
-        for _ in range(rules.steps):
-            step = np.round(np.log1p(np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)) * 100)
-            core = x[step <= cut(step, rules.core)]
-            centre = core.mean(axis=0)
-            inverse = np.linalg.inv(quality.floored(core.T @ core / len(core) - np.outer(centre, centre), np.array(rules.floors)))
+        log_det, centre, inverse = least_plainly(x, centre, spread, rules)
         far = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
         kept.update({d: bool(f <= bound) for d, f in zip(ids, far)})
     return kept
 
 
+def least_plainly(x, centre, spread, rules):
+    """Three starts, two steps each, the least determinant on until it falls no more."""
+    floors = np.array(rules.floors)
+    cut = lambda v, share: np.sort(v)[int(np.ceil(len(v) * share)) - 1]
+
+    def stepped(log_det, centre, inverse):
+        step = np.round(np.log1p(np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)) * 100)
+        core = x[step <= cut(step, rules.core)]
+        mean = core.mean(axis=0)
+        new = quality.floored(core.T @ core / len(core) - np.outer(mean, mean), floors)
+        value = np.linalg.slogdet(new)[1]
+        return (value, mean, np.linalg.inv(new)) if value < log_det - 1e-6 else (log_det, centre, inverse)
+
+    z = (x - centre) / spread
+    length = np.linalg.norm(z, axis=1, keepdims=True)
+    starts = [(np.inf, centre, np.diag(1 / spread**2))]
+    for v in (np.tanh(z), np.divide(z, length, out=np.zeros_like(z), where=length > 0)):
+        square = v.T @ v / len(v)
+        square *= len(centre) / max(1e-12, np.trace(square))
+        starts.append((np.inf, centre, np.linalg.inv(quality.floored(square * np.outer(spread, spread), floors))))
+    for _ in range(rules.first_steps):
+        starts = [stepped(*e) for e in starts]
+    best = min(starts, key=lambda e: round(e[0], 6))
+    for _ in range(rules.steps):
+        after = stepped(*best)
+        if after[0] == best[0]:
+            break
+        best = after
+    return best
+
+
+def test_least_determinant_leaves_a_crowd_of_outliers_out(spark):
+    rng = np.random.default_rng(5)
+    mix = rng.normal(size=(6, 6))
+    good, bad = rng.normal(size=(900, 6)) @ mix, rng.normal(size=(200, 6)) * 0.3 + 9
+    x = np.round(np.vstack((good, bad)), 4)
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], ["grp", *quality.FEATURES])
+    # a group of equal rows has the floors' spread
+    df = df.union(spark.createDataFrame([("same", *[1.0] * 6)] * 30, df.columns))
+    rules = quality.Rules()
+    found = {r.grp: r for r in quality.least_determinant(df, rules).collect()}
+    cut = lambda v, share: np.sort(v)[int(np.ceil(len(v) * share)) - 1]
+    centre = np.array([cut(v, 0.5) for v in x.T])
+    spread = np.array([max(f, (cut(v, 0.75) - cut(v, 0.25)) / 1.349) for v, f in zip(x.T, rules.floors)])
+    log_det, mean, inverse = least_plainly(x, centre, spread, rules)
+    assert np.allclose(found["g"].centre, mean) and np.isclose(found["g"].log_det, log_det)
+    assert np.isclose(found["same"].log_det, 2 * np.log(rules.floors).sum()) and np.allclose(found["same"].centre, 1.0)
+    far = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean) > quality.chi_square_bound(6, 1e-3) * quality.core_factor(rules.core, 6)
+    assert far[900:].all() and far[:900].mean() < 0.02
+    # shuffled joins give the same
+    apart = {r.grp: r for r in quality.least_determinant(df, quality.Rules(most_sent=0)).collect()}
+    assert np.allclose(apart["g"].centre, mean) and apart.keys() == found.keys()
+
+
 def test_clean_stay_and_junk_goes(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     got = [r for r in queries.op7_quality(spark, "/root/testdata/sf0.1").collect() if r.doc_id in labels and not r.base_failed]
