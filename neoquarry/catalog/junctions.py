@@ -47,7 +47,7 @@ def pairs(fx):
 
 
 def assigned(fx):
-    return j.assign_isoforms(pairs(fx))
+    return j.assigned_junctions(fx.junctions, transcripts(fx))
 
 
 @query("select sj_id, isoform, canonical from {jx}")
@@ -241,7 +241,7 @@ def acceptor_brackets_closed(fx):
 @query(f"""with {_bracketed(False)}, top as (select sample, isoform, bracket_start, bracket_end, read_count, sj_id, row_number() over (partition by sample, isoform, bracket_start, bracket_end order by read_count desc, sj_id) as n from br where canonical)
  select br.sj_id, br.isoform, round(br.read_count / greatest(coalesce(t.read_count, 1), 1), 6) as ratio, coalesce(concat(t.read_count, ' - ', t.sj_id), 'nothing') as max_sj_info from br left join top t on t.n = 1 and t.sample = br.sample and t.isoform = br.isoform and t.bracket_start = br.bracket_start and t.bracket_end = br.bracket_end""".replace("coalesce(concat(t.read_count, ' - ', t.sj_id), 'nothing')", "case when t.sj_id is null then 'nothing' else concat(t.read_count, ' - ', t.sj_id) end"))
 def junction_dominance(fx):
-    out = j.junction_dominance(j.canonical_junction(pairs(fx)), canonical_only=True)
+    out = j.junction_dominance(j.dominance_rows(fx.junctions, transcripts(fx)), canonical_only=True)
     return out.select("sj_id", "isoform", F.round("ratio", 6).alias("ratio"), "max_sj_info")
 
 
@@ -249,7 +249,7 @@ def junction_dominance(fx):
  select br.sj_id, br.isoform, round(br.read_count / greatest(coalesce(t.read_count, 1), 1), 6) as ratio, case when t.sj_id is null then 'nothing' else concat(t.read_count, ' - ', t.sj_id, ' - ', coalesce(a.iso, '')) end as max_sj_info
  from br left join top t on t.n = 1 and t.sample = br.sample and t.isoform = br.isoform and t.bracket_start = br.bracket_start and t.bracket_end = br.bracket_end left join a on a.sj_id = t.sj_id""")
 def junction_dominance_assigned(fx):
-    rows = j.canonical_junction(pairs(fx)).join(j.assigned_lists(assigned(fx)), "sj_id", "left")
+    rows = j.dominance_rows(fx.junctions, transcripts(fx)).join(j.assigned_lists(assigned(fx)), "sj_id", "left")
     out = j.junction_dominance(rows, assigned="assigned_isoforms")
     return out.select("sj_id", "isoform", F.round("ratio", 6).alias("ratio"), "max_sj_info")
 
@@ -319,6 +319,17 @@ def transcript_with_junction(fx):
     return j.transcript_text(rebuilt(fx)).select("sj_id", "isoform", F.col("text_positions").alias("chain"))
 
 
+# from the exon at either end of the junction, intron by intron to the end of the isoform
+@query("""with recursive walk(sj_id, isoform, down, s, e, edge) as (select sj_id, isoform, true, start_pos, end_pos, a_start from {jx} where a_num is not null union all select sj_id, isoform, false, start_pos, end_pos, b_end from {jx} where b_num is not null
+ union all select w.sj_id, w.isoform, w.down, i.start_pos, i.end_pos, case when w.down then f.start_pos else f.end_pos end from walk w join {introns} i on i.isoform = w.isoform and case when w.down then i.end_pos else i.start_pos end = w.edge
+  join {feat} f on f.isoform = w.isoform and case when w.down then f.end_pos = i.start_pos else f.start_pos = i.end_pos end),
+ steps as (select sj_id, isoform, s, e from walk union select sj_id, isoform, start_pos, end_pos from {jx})
+ select sj_id, isoform, string_agg(concat(s, '-', e), ' >> ' order by s, e) as chain from steps group by 1, 2""")
+def walked_transcript(fx):
+    steps = F.transform("chain", lambda c: F.concat_ws("-", c["start"].cast("string"), c["end"].cast("string")))
+    return j.walked_transcript(pairs(fx)).select("sj_id", "isoform", F.array_join(steps, " >> ").alias("chain"))
+
+
 def _exon_of(p):
     return f"coalesce((select concat('exon_', min(f.num)) from {{feat}} f where f.isoform = i.isoform and {p} between f.start_pos and f.end_pos having min(f.num) is not null), 'None')"
 
@@ -356,7 +367,7 @@ with recursive p as (select sample, isoform, n_exons, [sj_id] as path, to_exon a
 
 
 def paths(fx):
-    return j.transcript_paths(j.transcript_edges(assigned(fx)), 1)
+    return j.transcript_paths(j.transcript_edges(j.assign_isoforms(pairs(fx))), 1)
 
 
 @query("select sample, isoform, array_to_string(path, '>') as path, reached, cost from {grown}")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.student import two_sided_p
+from ..session import ensure_checkpoints
 from .scoring import affinity_category
 
 TYPE_COLUMNS = {0: "my_change_type", 1: "in_frame", 2: "alt_readframe_type"}
@@ -88,41 +89,52 @@ def filter_neoepitopes(df: DataFrame, settings: NeoepitopeFilter) -> DataFrame:
     return kept.withColumn("filter_label", F.lit(settings.label()))
 
 
-def _with_types(df: DataFrame, settings: NeoepitopeFilter, types: list[str] | None) -> tuple[DataFrame, list[str]]:
-    """The rows with their type, and the types asked for or else the fixed ones and all others seen before filtering.
+def _typed(df: DataFrame, settings: NeoepitopeFilter) -> DataFrame:
+    """Rows without a type are of the type ``null``."""
+    column = settings.type_column
+    return df.withColumn(column, F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(NO_TYPE)))
+
+
+def _passing(settings: NeoepitopeFilter, column: str) -> Column:
+    """The column where the row passes every test, else null."""
+    tests = settings.predicates()
+    return F.when(reduce(lambda a, b: a & b, tests), F.col(column)) if tests else F.col(column)
+
+
+def _across(small: DataFrame, settings: NeoepitopeFilter, types: list[str] | None, case: str) -> tuple[DataFrame, list[str]]:
+    """One row per sample, and the types asked for or else the fixed ones and all others seen before filtering.
 
-    Rows without a type are of the type ``null``.
+    ``small`` has one row per (sample, type). It is stored before its types are read, so the input is scanned once.
     """
     column = settings.type_column
-    typed = df.withColumn(column, F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(NO_TYPE)))
-    if types:
-        return typed, types
-    fixed = TYPE_VALUES[settings.frame_stat]
-    # a small aggregate: one row per type
-    seen = {r[0] for r in typed.select(column).distinct().collect()} - set(fixed)
-    return typed, [*fixed, *sorted(seen, key=lambda t: (t == NO_TYPE, t))]
-
-
-def _count_matrix(df, settings, agg, types, case):
-    df, types = _with_types(df, settings, types)
-    counts = filter_neoepitopes(df, settings).groupBy(case).pivot(settings.type_column, types).agg(agg)
+    if not types:
+        ensure_checkpoints(small.sparkSession)
+        small = small.checkpoint()
+        fixed = TYPE_VALUES[settings.frame_stat]
+        seen = {r[0] for r in small.select(column).distinct().collect()} - set(fixed)
+        types = [*fixed, *sorted(seen, key=lambda t: (t == NO_TYPE, t))]
+    values = [F.first(c).alias(c) for c in small.columns if c not in (case, column)]
+    return small.groupBy(case).pivot(column, types).agg(*values), types
+
+
+def _count_matrix(df, settings, count, value, types, case):
+    small = _typed(df, settings).groupBy(case, settings.type_column).agg(count(_passing(settings, value)).alias("n"))
+    wide, types = _across(small, settings, types, case)
     # by place: a type may hold any character
     places = [f"_{i}" for i in range(len(types))]
-    counts = df.select(case).distinct().join(counts.toDF(case, *places), case, "left")
-    return counts.na.fill(0, subset=places).toDF(case, *types)
+    return wide.toDF(case, *places).na.fill(0, subset=places).toDF(case, *types)
 
 
 def mutation_counts(df: DataFrame, settings: NeoepitopeFilter, types: list[str] | None = None, case: str = "case_id") -> DataFrame:
     """Samples x alteration types: distinct mutations that pass; zero for every sample seen before filtering."""
-    return _count_matrix(df, settings, F.count_distinct("genome_pos"), types, case)
+    return _count_matrix(df, settings, F.count_distinct, "genome_pos", types, case)
 
 
 def neoepitope_counts(
     df: DataFrame, settings: NeoepitopeFilter, distinct: bool = True, types: list[str] | None = None, case: str = "case_id"
 ) -> DataFrame:
     """Samples x alteration types: distinct or all altered peptides that pass."""
-    agg = F.count_distinct("peptide_2") if distinct else F.count("peptide_2")
-    return _count_matrix(df, settings, agg, types, case)
+    return _count_matrix(df, settings, F.count_distinct if distinct else F.count, "peptide_2", types, case)
 
 
 def list_mutations(df: DataFrame, settings: NeoepitopeFilter, case: str = "case_id") -> DataFrame:
@@ -145,13 +157,12 @@ def neoepitopes_per_alteration(
 def neoepitope_mean_std(df: DataFrame, settings: NeoepitopeFilter, types: list[str] | None = None, case: str = "case_id") -> DataFrame:
     """Mean and population deviation of the positive per-mutation counts, per sample and type."""
     column = settings.type_column
-    df, types = _with_types(df, settings, types)
-    counts = filter_neoepitopes(df, settings).groupBy(case, column, "genome_pos").agg(F.count_distinct("peptide_2").alias("n"))
-    wide = counts.where("n > 0").groupBy(case).pivot(column, types).agg(
-        F.avg("n").alias("avg"), F.stddev_pop("n").alias("std")
+    counts = _typed(df, settings).groupBy(case, column, "genome_pos").agg(
+        F.nullif(F.count_distinct(_passing(settings, "peptide_2")), F.lit(0)).alias("n")
     )
-    renamed = wide.toDF(case, *[f"{t}:{m}" for t in types for m in ("avg", "std")])
-    return df.select(case).distinct().join(renamed, case, "left")
+    small = counts.groupBy(case, column).agg(F.avg("n").alias("avg"), F.stddev_pop("n").alias("std"))
+    wide, types = _across(small, settings, types, case)
+    return wide.toDF(case, *[f"{t}:{m}" for t in types for m in ("avg", "std")])
 
 
 def first_per_mutation(df: DataFrame, order: list[str], keys: tuple[str, ...] = ("genome_pos",)) -> DataFrame:

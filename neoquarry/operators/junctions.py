@@ -6,6 +6,8 @@ inside the row; only assignment, prevalence and dominance look across rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +43,19 @@ def junction_models(junctions: DataFrame, transcripts: DataFrame, on: tuple[str,
     return junctions.join(transcripts.select(*extra), list(on))
 
 
+def by_position(
+    junctions: DataFrame, transcripts: DataFrame, classify: Callable[[DataFrame], DataFrame], columns: list[str]
+) -> DataFrame:
+    """Gene-model work once per (gene, start, end) instead of once per sample record.
+
+    ``classify`` gets position x isoform rows with the exon arrays; of its result only ``columns`` are joined back to the
+    records, so no exon array is in an exchange after it. Records without a gene or a position give no row.
+    """
+    where = ["gene", START, END]
+    found = classify(junction_models(junctions.select(*where).distinct(), transcripts)).select(*where, *columns)
+    return junctions.drop(*columns).join(found, where)
+
+
 def is_canonical(start=START, end=END) -> Column:
     s, e = F.col(start), F.col(end)
     return F.exists(_gaps(), lambda g: (g["start"] == s) & (g["end"] == e))
@@ -135,14 +150,37 @@ def assign_isoforms(df: DataFrame, key: str = "sj_id", intronic: bool = False) -
 
     A junction meets only the isoforms of its gene, so the groups stay small.
     """
+    return _lowest(_assignable(df, intronic), [key])
+
+
+def _assignable(df: DataFrame, intronic: bool) -> DataFrame:
     scored = aberration_class(pinned(df, {"canonical": is_canonical()}), intronic=True)
     if not intronic:
         scored = scored.where("canonical or (exon_start is not null and exon_end is not null)")
-    scored = scored.withColumn("score", F.when(F.col("canonical"), -1).otherwise(F.col("score")))
-    best = F.min("score").over(W.partitionBy(key))
+    return scored.withColumn("score", F.when(F.col("canonical"), -1).otherwise(F.col("score")))
+
+
+def _lowest(scored: DataFrame, keys: list[str]) -> DataFrame:
+    best = F.min("score").over(W.partitionBy(*keys))
     return scored.withColumn("_best", best).where("score = _best").drop("_best")
 
 
+# what an assignment says of a junction in one isoform
+ASSIGNMENT = [
+    "isoform", "canonical", "score", "exon_start", "exon_end", "exon_skip", "rf_start", "rf_end", "frame_preserved", "effects",
+]
+
+
+def assigned_junctions(junctions: DataFrame, transcripts: DataFrame, intronic: bool = False) -> DataFrame:
+    """``assign_isoforms`` with each position of a gene classified once: the records with the ``ASSIGNMENT`` columns."""
+
+    def classify(models):
+        scored = _assignable(models, intronic).select("gene", START, END, *ASSIGNMENT)
+        return _lowest(scored, ["gene", START, END])
+
+    return by_position(junctions, transcripts, classify, ASSIGNMENT)
+
+
 def aberration_text(assigned: DataFrame, key: str = "sj_id") -> DataFrame:
     """One text per junction over its assigned aberrant isoforms."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
@@ -399,13 +437,20 @@ def acceptor_brackets(df: DataFrame, closed_left: bool = False) -> DataFrame:
     return out.withColumns({"bracket_start": F.col("_b.lo"), "bracket_end": F.col("_b.hi")}).drop("_b", "_bounds")
 
 
+def dominance_rows(junctions: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Records x isoforms with ``canonical`` and their bracket, worked out once per position."""
+    place = lambda models: acceptor_brackets(canonical_junction(models))
+    return by_position(junctions, transcripts, place, ["isoform", "canonical", "bracket_start", "bracket_end"])
+
+
 def junction_dominance(df: DataFrame, canonical_only: bool = False, key: str = "sj_id", assigned: str | None = None) -> DataFrame:
     """Reads of a junction over the most reads in its bracket (1 when the bracket has none), and the winner.
 
     The bracket maximum is a plain aggregate, so a crowded bracket is reduced before it is shuffled. ``assigned`` names a
-    column with the isoforms (array) a junction was assigned to; the winner's are then part of its text.
+    column with the isoforms (array) a junction was assigned to; the winner's are then part of its text. Rows that carry
+    their bracket already (``dominance_rows``) keep it.
     """
-    placed = acceptor_brackets(df)
+    placed = df if "bracket_start" in df.columns else acceptor_brackets(df)
     group = ["sample", "isoform", "bracket_start", "bracket_end"]
     rivals = placed.where("canonical") if canonical_only else placed
     top = rivals.groupBy(*group).agg(
@@ -541,6 +586,24 @@ def transcript_with_junction(df: DataFrame, competing: bool = True) -> DataFrame
     return out.withColumn("chain", chain).drop("_own", "_gaps", "_bounds")
 
 
+def walked_transcript(df: DataFrame) -> DataFrame:
+    """``chain`` walked from the junction both ways over the canonical introns, from junction x isoform rows.
+
+    Downwards the walk begins at the exon that holds the junction's start, upwards at the one that holds its end, and each
+    intron leads to the next exon until none is left. The introns of an isoform form a line, so the arms are the introns
+    below the one exon and above the other: no loop. An end in no exon has no arm; the introns the junction spans are left
+    out. A junction without a start or an end has a null chain.
+    """
+    s, e = F.col(START), F.col(END)
+    lower, upper = m.choose(m.holding("exons", s, None), -1), m.choose(m.holding("exons", e, None), 1)
+    out = df.withColumns({"_gaps": _gaps(), "_floor": lower["start"], "_roof": upper["end"]})
+    arms = F.filter(
+        "_gaps", lambda g: F.coalesce(g["end"] <= F.col("_floor"), F.lit(False)) | F.coalesce(g["start"] >= F.col("_roof"), F.lit(False))
+    )
+    chain = F.array_sort(F.concat(chain_of(arms), F.array(F.struct(s.alias("start"), e.alias("end")))))
+    return out.withColumn("chain", F.when(s.isNotNull() & e.isNotNull(), chain)).drop("_gaps", "_floor", "_roof")
+
+
 def junction_transcript(df: DataFrame) -> DataFrame:
     """The longest transcript around one junction: ``chain``, ``reached`` (its last exon), from junction x isoform rows.
 

@@ -24,10 +24,18 @@ def same_peptide_flag(df: DataFrame) -> DataFrame:
 
 
 def _best_alleles(df: DataFrame, peptide: str, score: str) -> DataFrame:
-    """(peptide, allele, copies) of the alleles that reach the peptide's best score."""
+    """(peptide, ``best``): sorted (allele, copies) of the alleles that reach the peptide's best score.
+
+    Three aggregates without a join: rows per score, the top score of each (peptide, allele), and the list of a peptide's
+    alleles, which is as short as the allele list.
+    """
     pairs = df.where(F.col(score).isNotNull()).groupBy(peptide, "allele", score).agg(F.count(F.lit(1)).alias("copies"))
-    best = pairs.groupBy(peptide).agg(F.max(score).alias("_best"))
-    return pairs.join(best, peptide).where(F.col(score) == F.col("_best")).select(peptide, "allele", "copies")
+    tops = pairs.groupBy(peptide, "allele").agg(F.max(F.struct(F.col(score).alias("score"), "copies")).alias("_top"))
+    lists = tops.groupBy(peptide).agg(F.collect_list(F.struct("allele", "_top.score", "_top.copies")).alias("_all"))
+    highest = F.array_max(F.transform("_all", lambda a: a["score"]))
+    reach = F.filter("_all", lambda a: a["score"] == F.col("_highest"))
+    kept = F.transform(reach, lambda a: F.struct(a["allele"].alias("allele"), a["copies"].alias("copies")))
+    return lists.withColumn("_highest", highest).select(peptide, F.array_sort(kept).alias("best"))
 
 
 def preferred_hla(
@@ -39,23 +47,20 @@ def preferred_hla(
     so both cells stay as short as the allele list however common the peptide is. ``repeats`` writes every
     copy out instead; such a cell grows with the rows of its peptide.
     """
-    pairs = F.array_sort(F.collect_list(F.struct("allele", "copies")))
-    once = F.transform(pairs, lambda p: p["allele"])
-    every = F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["allele"], p["copies"].cast("int"))))
+    once = F.transform("best", lambda p: p["allele"])
+    every = F.flatten(F.transform("best", lambda p: F.array_repeat(p["allele"], p["copies"].cast("int"))))
     texts = [F.array_join(every if repeats else once, ",").alias("preferred_HLA")]
     if not repeats:
-        copies = F.transform(pairs, lambda p: p["copies"].cast("string"))
+        copies = F.transform("best", lambda p: p["copies"].cast("string"))
         texts.append(F.array_join(copies, ",").alias("preferred_HLA_copies"))
-    labels = _best_alleles(df, peptide, score).groupBy(peptide).agg(*texts)
+    labels = _best_alleles(df, peptide, score).select(peptide, *texts)
     return df.join(labels, peptide, "left")
 
 
 def preferred_hla_subgroup(df: DataFrame, peptide: str = "peptide_2", score: str = "mhc_score_2") -> DataFrame:
     """Distinct part before ``*`` of the preferred alleles."""
-    groups = F.array_sort(F.collect_set(F.substring_index("allele", "*", 1)))
-    labels = (
-        _best_alleles(df, peptide, score).groupBy(peptide).agg(F.array_join(groups, ",").alias("preferred_HLA_subgroup"))
-    )
+    groups = F.array_sort(F.array_distinct(F.transform("best", lambda p: F.substring_index(p["allele"], "*", 1))))
+    labels = _best_alleles(df, peptide, score).select(peptide, F.array_join(groups, ",").alias("preferred_HLA_subgroup"))
     return df.join(labels, peptide, "left")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import col
-from ..plans.ordered import BUCKETS, strict_percentiles, with_ranks
+from ..plans.ordered import BUCKETS, strict_percentiles, with_shared_ranks
 from ..plans.rows import unroll
 
 # Upper ic50 limits of the affinity categories.
@@ -151,9 +151,12 @@ RANKED_SCORES = {
 def rank_processing_scores(
     df: DataFrame, scores: dict[str, bool] | None = None, buckets: int = BUCKETS, sort: bool = True
 ) -> DataFrame:
-    """File-wide average-tie ranks (value True = ascending) and the summed rank of mhc, proteasome and TAP."""
+    """File-wide average-tie ranks (value True = ascending) and the summed rank of mhc, proteasome and TAP.
+
+    All scores share one count and one range index.
+    """
     scores = scores or RANKED_SCORES
-    df = with_ranks(df, [], {f"rank_{name}": (name, ascending) for name, ascending in scores.items()}, buckets=buckets)
+    df = with_shared_ranks(df, {f"rank_{name}": (name, ascending) for name, ascending in scores.items()}, buckets=buckets)
     summed = [F.coalesce(F.col(f"rank_{c}"), F.lit(0.0)) for c in ("mhc_score", "proteasome_score", "tap_score")]
     df = df.withColumn("rank_sum", reduce(lambda a, b: a + b, summed))
     return df.orderBy("rank_sum", *[f"rank_{c}" for c in scores]) if sort else df

@@ -147,6 +147,44 @@ def _counted_ranks(df: DataFrame, keys: list[str], ranks: dict, ties: str, bucke
     return out
 
 
+def with_shared_ranks(df: DataFrame, ranks: dict[str, tuple[str, bool]], ties: str = "average", buckets: int = BUCKETS) -> DataFrame:
+    """Ranks over the whole table for several value columns at once: result column -> (value column, ascending).
+
+    Rows with the same values have the same ranks, so each combination of values is taken once, unpivoted to (column,
+    value) and counted. All columns of one type are then cut into ranges together, and each combination gets its numbers
+    back in one exchange. A null value gets a null rank.
+    """
+    values = list(dict.fromkeys(v for v, _ in ranks.values()))
+    types = dict(df.select(*values).dtypes)
+    alias = {v: f"_v{i}" for i, v in enumerate(values)}
+    combined = df.groupBy(*[F.col(v).alias(alias[v]) for v in values]).agg(F.count(F.lit(1)).alias("_n"))
+    out = combined.drop("_n") if len(set(types.values())) > 1 else None
+    for kind in dict.fromkeys(types.values()):
+        own = [v for v in values if types[v] == kind]
+        cells = F.array(*[F.struct(F.lit(values.index(v)).alias("_score"), F.col(alias[v]).alias("_value")) for v in own])
+        long = combined.select(*alias.values(), "_n", F.explode(cells).alias("_cell")).select(*alias.values(), "_n", "_cell.*")
+        long = long.where(F.col("_value").isNotNull())
+        counts = _by_ranges(
+            long.groupBy("_score", "_value").agg(F.sum("_n").cast("bigint").alias("ties")), ["_score"], "_value", buckets
+        )
+        numbers = []
+        for name, (value, ascending) in ranks.items():
+            if value in own:
+                lower = F.col("below") if ascending else F.col("total") - F.col("below") - F.col("ties")
+                place = lower + ((F.col("ties") + 1) / 2 if ties == "average" else F.lit(1))
+                numbers.append(F.max(F.when(F.col("_score") == values.index(value), place.cast("double"))).alias(name))
+        found = long.drop("_n").join(counts, ["_score", "_value"]).groupBy(*alias.values()).agg(*numbers)
+        out = found if out is None else _meet(out, found, {a: a for a in alias.values()})
+    return _meet(df, out, alias).select(*df.columns, *ranks)
+
+
+def _meet(left: DataFrame, right: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Left join on columns that may be null on both sides."""
+    right = right.withColumnsRenamed({n: f"_r{n}" for n in names.values()})
+    same = reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"_r{m}"]) for n, m in names.items()])
+    return left.join(right, same, "left").drop(*[f"_r{n}" for n in names.values()])
+
+
 def with_rank(
     df: DataFrame,
     keys: list[str],
