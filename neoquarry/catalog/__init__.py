@@ -34,7 +34,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
 
     def bind(fn):
-        return lambda spark, folder: fn(Fixtures(tune(spark), folder))
+        return lambda spark, folder: fn(Fixtures(tune(spark, fine=True), folder))
 
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 

@@ -109,3 +109,41 @@ def test_maf_files_with_their_own_headers(spark, tmp_path):
     (tmp_path / "c.txt").write_text("#version\n#more\nA\tB\n4\tw\n#note\n")
     got = readers.read_maf(spark, str(tmp_path), "A string, B string")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("1", "x"), ("written yesterday", "y"), ("2", "z"), ("A", "B"), ("3", None), ("4", "w")], key=str)
+
+
+def test_walk_both_ways(spark, models):
+    rows = [
+        (1, "P", 200, 500), (2, "P", 250, 500), (3, "P", 350, 370), (4, "P", 600, 900), (5, "P", 50, 60), (6, "M", 400, 700),
+        (7, "P", None, 500), (8, "P", 200, 300),
+    ]
+    out = junctions.walked_transcript(made(spark, models, rows).where("isoform in ('P.1', 'M.1')"))
+    got = {r.sj_id: r.chain and spans(r.chain) for r in out.collect()}
+    assert got == {
+        1: [(200, 500), (600, 700)], 2: [(250, 500), (600, 700)],  # no arm below: the start lies in an intron
+        3: [(200, 300), (350, 370), (400, 500), (600, 700)], 4: [(200, 300), (400, 500), (600, 900)], 5: [(50, 60)],
+        6: [(200, 300), (400, 700)], 7: None, 8: [(200, 300), (400, 500), (600, 700)],
+    }
+    assert junctions.walked_transcript(made(spark, models, rows).limit(0)).count() == 0
+
+
+def test_positions_are_classified_once(spark, models):
+    rows = [(i, f"S{i % 3}", "P" if i % 2 else "M", *((200, 500), (195, 500), (250, 300), (200, 300))[i % 4], i) for i in range(40)]
+    rows += [(90, "S0", None, 200, 300, 1), (91, "S0", "none", 200, 300, 1), (92, "S0", "P", None, None, 1)]
+    records = spark.createDataFrame(rows, "sj_id long, sample string, gene string, start_pos long, end_pos long, read_count long")
+    pairs = junctions.junction_models(records, models)
+    shown = ["sj_id", "sample", "isoform", "score", "canonical", "exon_start", "exon_end", "rf_start", "rf_end", "effects"]
+    key = lambda df, names: sorted(map(str, df.where("sj_id < 90").select(*names).collect()))
+    for intronic in (False, True):
+        apart = junctions.assign_isoforms(pairs, intronic=intronic)
+        assert key(junctions.assigned_junctions(records, models, intronic), shown) == key(apart, shown)
+    # records that meet no gene model, or have no position, give no row
+    assert junctions.assigned_junctions(records, models, True).where("sj_id >= 90").count() == 0
+    shown = ["sj_id", "isoform", "ratio", "max_sj_info"]
+    told = junctions.junction_dominance(junctions.dominance_rows(records, models), canonical_only=True)
+    plain = junctions.junction_dominance(junctions.canonical_junction(pairs), canonical_only=True)
+    assert key(told, shown) == key(plain, shown)
+
+
+def test_no_exon_array_behind_the_classification(spark, models):
+    plan = junctions.assigned_junctions(spark.range(1).selectExpr("id as sj_id", "'P' as gene", "200L as start_pos", "300L as end_pos"), models)
+    assert "exons" not in plan.columns and "effects" in plan.columns

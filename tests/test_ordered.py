@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from neoquarry.plans.ordered import cumulative_counts, with_rank, with_strict_percentile
+from neoquarry.plans.ordered import cumulative_counts, with_rank, with_shared_ranks, with_strict_percentile
 
 
 def _rows():
@@ -70,3 +70,26 @@ def test_strict_percentile(spark):
     probes = spark.createDataFrame([("x", 0.5), ("x", 2.0), ("x", 9.0), ("x", None), ("empty", 1.0)], "k string, v double")
     out = {(r["k"], r["v"]): r["p"] for r in with_strict_percentile(probes, ref, ["k"], "v", "p").collect()}
     assert out == {("x", 0.5): 0.0, ("x", 2.0): 25.0, ("x", 9.0): 100.0, ("x", None): None, ("empty", 1.0): None}
+
+
+def test_shared_ranks(spark):
+    rng = random.Random(9)
+    one = lambda n: None if rng.random() < 0.1 else rng.randrange(n)
+    rows = [(i, None if (a := one(40)) is None else a / 4, one(3), one(10**6)) for i in range(2000)]
+    rows += [(i, 7.0, 1, 2**60 + i % 2) for i in range(2000, 3500)]  # long values that are equal as doubles
+    rows += [(9000, None, None, None), (9001, None, None, None), (9002, -0.0, 0, 0), (9003, 0.0, 0, 0)]
+    df = spark.createDataFrame(rows, "id int, a double, b int, c long")
+    wanted = {"ra": ("a", True), "rb": ("b", False), "rc": ("c", False)}
+    for ties in ("average", "min"):
+        out = {r["id"]: r for r in with_shared_ranks(df, wanted, ties, buckets=16).collect()}
+        assert len(out) == len(rows)
+        for place, (name, (_, ascending)) in enumerate(wanted.items(), 1):
+            values = sorted(r[place] for r in rows if r[place] is not None)
+            for r in rows:
+                if (v := r[place]) is None:
+                    assert out[r[0]][name] is None
+                    continue
+                low, high = bisect.bisect_left(values, v), bisect.bisect_right(values, v)
+                first = low + 1 if ascending else len(values) - high + 1
+                assert out[r[0]][name] == (first + (high - low - 1) / 2 if ties == "average" else first)
+    assert with_shared_ranks(df.limit(0), wanted).count() == 0

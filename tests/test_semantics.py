@@ -217,3 +217,25 @@ def test_counts_keep_types_outside_the_fixed_lists(spark):
         assert peptides == got
         means = {r.case_id: r.asDict() for r in cohort.neoepitope_mean_std(df, settings).collect()}
         assert means["b"]["null:avg"] == 1 and sum(v or 0 for k, v in means["a"].items() if k.endswith(":avg")) == len([v for k, v in got["a"].items() if k != "case_id" and v])
+
+
+def test_counts_scan_the_input_once_and_keep_samples_without_hits(spark):
+    rows = [("S1", "m1", "mutation", "HIGH", "P1"), ("S1", "m1", "mutation", "none", "P2"), ("S2", "m2", "insertion", "none", "P3"),
+            (None, "m3", "mutation", "MID", "P4"), ("S1", "m4", "", "MID", "P5"), ("S2", "m5", "deletion", None, "P6")]
+    df = spark.createDataFrame(rows, "case_id string, genome_pos string, my_change_type string, aff_cat_2 string, peptide_2 string")
+    settings = cohort.NeoepitopeFilter(mhc_affinity=2, frame_stat=0)
+    got = {r["case_id"]: r.asDict() for r in cohort.mutation_counts(df, settings).collect()}
+    assert {k: v["mutation"] for k, v in got.items()} == {"S1": 1, "S2": 0, None: 1}
+    assert {k: v["null"] for k, v in got.items()} == {"S1": 1, "S2": 0, None: 0}
+    stats = {r["case_id"]: r.asDict() for r in cohort.neoepitope_mean_std(df, settings).collect()}
+    assert stats["S1"]["mutation:avg"] == 1 and stats["S1"]["mutation:std"] == 0 and stats["S2"]["insertion:avg"] is None
+
+
+def test_preferred_alleles_with_nulls(spark):
+    rows = [("P", "B*01:01", 2.0), ("P", "A*01:01", 2.0), ("P", "A*01:01", 2.0), ("P", "C*01:01", 1.0), ("P", "A*02:01", None),
+            ("Q", "A*01:01", None), (None, "A*01:01", 1.0)]
+    df = spark.createDataFrame(rows, "peptide_2 string, allele string, mhc_score_2 double")
+    out = {r["peptide_2"]: (r["preferred_HLA"], r["preferred_HLA_copies"]) for r in reports.preferred_hla(df).collect()}
+    assert out == {"P": ("A*01:01,B*01:01", "2,1"), "Q": (None, None), None: (None, None)}
+    groups = {r["peptide_2"]: r["preferred_HLA_subgroup"] for r in reports.preferred_hla_subgroup(df).collect()}
+    assert groups == {"P": "A,B", "Q": None, None: None}
