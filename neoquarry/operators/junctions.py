@@ -80,13 +80,17 @@ def exon_at(position, direction: int, rel_pos: str | None = None) -> Column:
 
 def skipped(start: Column, end: Column) -> Column:
     """Exon numbers strictly between the exons at both ends; null if an end is not exonic."""
-    a, b = exon_at(start, -1)["num"], exon_at(end, 1)["num"]
-    lo, hi = F.least(a, b) + 1, F.greatest(a, b) - 1
-    # least/greatest skip nulls, so both ends are tested
-    return F.when(
-        a.isNotNull() & b.isNotNull(),
-        F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")),
-    )
+    def between(x):
+        a, b = x["a"], x["b"]
+        lo, hi = F.least(a, b) + 1, F.greatest(a, b) - 1
+        # least/greatest skip nulls, so both ends are tested
+        return F.when(
+            a.isNotNull() & b.isNotNull(),
+            F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")),
+        )
+
+    ends = F.struct(exon_at(start, -1)["num"].alias("a"), exon_at(end, 1)["num"].alias("b"))
+    return m.bound(ends, between)
 
 
 def skipped_exons(df: DataFrame) -> DataFrame:
@@ -95,9 +99,9 @@ def skipped_exons(df: DataFrame) -> DataFrame:
 
 def frames(df: DataFrame, start: Column, end: Column) -> DataFrame:
     """``rf_start``, ``rf_end`` in reading direction and whether the frame goes on (null if one is missing)."""
-    a = F.when(_plus(), m.frame_at("exons", STRAND, start, -1)).otherwise(m.frame_at("exons", STRAND, end, 1))
-    b = F.when(_plus(), m.frame_at("exons", STRAND, end, 1)).otherwise(m.frame_at("exons", STRAND, start, -1))
-    out = pinned(df, {"rf_start": a, "rf_end": b})
+    at = pinned(df, {"_left": m.frame_at("exons", STRAND, start, -1), "_right": m.frame_at("exons", STRAND, end, 1)})
+    a, b = F.when(_plus(), F.col("_left")).otherwise(F.col("_right")), F.when(_plus(), F.col("_right")).otherwise(F.col("_left"))
+    out = at.withColumns({"rf_start": a, "rf_end": b}).drop("_left", "_right")
     return out.withColumn("frame_preserved", F.pmod(F.col("rf_start") + 1, F.lit(3)) == F.col("rf_end"))
 
 
@@ -115,16 +119,14 @@ def aberration_class(df: DataFrame, intronic: bool = False, legacy_skip_score: b
     """
     s = F.col(START)
     e = F.col(END) + 1 if shift_end else F.col(END)
-    left, right = exon_at(s, 0), exon_at(e, 0)
-    at_start = m.place(s, left["start"], left["end"])
-    at_end = m.place(e, right["start"], right["end"])
+
+    def label(position, canon):
+        named = lambda x: m.bound(m.place(position, x["start"], x["end"]), lambda t: F.when(t == canon, "exon_canon").otherwise(t))
+        return m.bound(exon_at(position, 0), named)
+
     out = pinned(
         frames(df, s, e),
-        {
-            "exon_start": F.when(at_start == "exonRight", "exon_canon").otherwise(at_start),
-            "exon_end": F.when(at_end == "exonLeft", "exon_canon").otherwise(at_end),
-            "exon_skip": skipped(s, e),
-        },
+        {"exon_start": label(s, "exonRight"), "exon_end": label(e, "exonLeft"), "exon_skip": skipped(s, e)},
     )
     off = F.col("exon_start").isNull() | F.col("exon_end").isNull()
     inner = (F.col("exon_start") != "exon_canon") | (F.col("exon_end") != "exon_canon")
@@ -209,10 +211,11 @@ def joined_elements(canonical_edges: bool = False) -> tuple[Column, Column]:
 
     def at(position, exon_direction, rel_pos):
         def tagged(kind, e):
-            return F.when(
-                e.isNotNull(),
-                F.struct(F.lit(kind).alias("kind"), e["num"].alias("num"), e["start"].alias("start"), e["end"].alias("end")),
-            )
+            def named(x):
+                told = F.struct(F.lit(kind).alias("kind"), x["num"].alias("num"), x["start"].alias("start"), x["end"].alias("end"))
+                return F.when(x.isNotNull(), told)
+
+            return m.bound(e, named)
 
         d = F.lit(exon_direction) * F.col(STRAND)
         exon = m.choose(m.holding("exons", position, rel_pos), d)
@@ -225,7 +228,7 @@ def joined_elements(canonical_edges: bool = False) -> tuple[Column, Column]:
 
 def ligated_elements(df: DataFrame, canonical_edges: bool = False) -> DataFrame:
     a, b = joined_elements(canonical_edges)
-    out = df.withColumns({"elem_start": a, "elem_end": b})
+    out = pinned(df, {"elem_start": a, "elem_end": b})
     name = lambda c: F.coalesce(F.concat(f"{c}.kind", F.lit("_"), F.col(f"{c}.num").cast("string")), F.lit("None"))
     return out.withColumn("ligated", F.concat(name("elem_start"), F.lit(":"), name("elem_end")))
 
@@ -240,7 +243,7 @@ def modified_exons(df: DataFrame) -> DataFrame:
         num = F.when(F.col(f"{elem}.kind") == "intron", shifted).otherwise(own)
         return m.numbered("exons", num)
 
-    out = out.withColumns({"_a": exon("elem_start", True), "_b": exon("elem_end", False)})
+    out = pinned(out, {"_a": exon("elem_start", True), "_b": exon("elem_end", False)})
     span = lambda lo, hi: F.concat("chrom", F.lit(":"), lo.cast("string"), F.lit("-"), hi.cast("string"))
     left = F.coalesce(span(F.col("_a.start"), F.col(START)), F.lit("None"))
     right = F.coalesce(span(F.col(END), F.col("_b.end")), F.lit("None"))
@@ -285,7 +288,8 @@ def missing_exons(df: DataFrame) -> DataFrame:
     skips = F.coalesce(skipped(s, e), F.array().cast("array<int>"))
     row = lambda kind, x, lo, hi: F.struct(F.lit(kind).alias("kind"), x["num"].alias("num"), lo.alias("lo"), hi.alias("hi"))
     whole = F.transform(
-        F.filter("exons", lambda x: F.array_contains(skips, x["num"])), lambda x: row("skipped", x, x["start"], x["end"])
+        m.bound(skips, lambda k: F.filter("exons", lambda x: F.array_contains(k, x["num"]))),
+        lambda x: row("skipped", x, x["start"], x["end"]),
     )
     first = F.transform(m.holding("exons", s, "withinElem"), lambda x: row("cut", x, s, x["end"]))
     last = F.transform(m.holding("exons", e, "withinElem"), lambda x: row("cut", x, x["start"], e))
@@ -416,24 +420,21 @@ def acceptor_bounds() -> Column:
 def bracket_of(bounds: Column, start: Column, end: Column, closed_left: bool = False) -> Column:
     """Struct (lo, hi): the bin between neighbouring bounds that holds the donor, else (start, start)."""
     donor = F.when(_plus(), start).otherwise(end)
-    below = F.filter(bounds, lambda b: b <= donor)
-    above = F.filter(bounds, lambda b: b > donor)
+    below = F.try_element_at(F.filter(bounds, lambda b: b <= donor), F.lit(-1))
+    above = F.get(F.filter(bounds, lambda b: b > donor), F.lit(0))
 
-    def pick(below, above):
-        lo = F.get(below, F.size(below) - 1)
-        placed = (F.size(below) > 0) & (F.size(above) > 0)
+    def pick(x):
+        placed = x["lo"].isNotNull() & x["hi"].isNotNull()
         if not closed_left:
-            placed = placed & (lo != donor)
-        return F.struct(
-            F.when(placed, lo).otherwise(start).alias("lo"), F.when(placed, F.get(above, F.lit(0))).otherwise(start).alias("hi")
-        )
+            placed = placed & (x["lo"] != donor)
+        return F.struct(F.when(placed, x["lo"]).otherwise(start).alias("lo"), F.when(placed, x["hi"]).otherwise(start).alias("hi"))
 
-    return pick(below, above)
+    return m.bound(F.struct(below.alias("lo"), above.alias("hi")), pick)
 
 
 def acceptor_brackets(df: DataFrame, closed_left: bool = False) -> DataFrame:
-    out = df.withColumn("_bounds", acceptor_bounds())
-    out = out.withColumn("_b", bracket_of(F.col("_bounds"), F.col(START), F.col(END), closed_left))
+    out = pinned(df, {"_bounds": acceptor_bounds()})
+    out = pinned(out, {"_b": bracket_of(F.col("_bounds"), F.col(START), F.col(END), closed_left)})
     return out.withColumns({"bracket_start": F.col("_b.lo"), "bracket_end": F.col("_b.hi")}).drop("_b", "_bounds")
 
 
@@ -572,8 +573,8 @@ def canonical_transcript(transcripts: DataFrame) -> DataFrame:
 def transcript_with_junction(df: DataFrame, competing: bool = True) -> DataFrame:
     """Canonical chain without the introns the junction overlaps (and, if ``competing``, without others in its bracket), plus the junction."""
     s, e = F.col(START), F.col(END)
-    out = df.withColumns({"_gaps": _gaps(), "_bounds": acceptor_bounds()})
-    out = out.withColumn("_own", bracket_of(F.col("_bounds"), s, e))
+    out = pinned(df, {"_gaps": _gaps(), "_bounds": acceptor_bounds()})
+    out = pinned(out, {"_own": bracket_of(F.col("_bounds"), s, e)})
 
     def stays(g):
         free = overlap_code(s, e, g["start"], g["end"]) == 0
@@ -583,7 +584,7 @@ def transcript_with_junction(df: DataFrame, competing: bool = True) -> DataFrame
 
     kept = F.filter("_gaps", stays)
     chain = F.array_sort(F.concat(chain_of(kept), F.array(F.struct(s.alias("start"), e.alias("end")))))
-    return out.withColumn("chain", chain).drop("_own", "_gaps", "_bounds")
+    return pinned(out, {"chain": chain}).drop("_own", "_gaps", "_bounds")
 
 
 def walked_transcript(df: DataFrame) -> DataFrame:
