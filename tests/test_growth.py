@@ -1,8 +1,10 @@
 """Work and bytes per row of steps that many queries share, and their results on rows made here."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from neoquarry.functions import models
+from neoquarry.functions import coding, models
 from neoquarry.operators import junctions
 
 EXONS = "array<struct<start:bigint,end:bigint,cds_start:bigint,cds_end:bigint,num:int,frame:int,offset:bigint>>"
@@ -23,3 +25,25 @@ def test_exons_are_searched_once_per_lookup(spark):
     assert searches(junctions.ligated_elements(df).select("ligated")) == 4
     bracket = junctions.bracket_of(F.array("tx_start", "tx_end"), F.col("start_pos"), F.col("end_pos"))
     assert searches(df.select(bracket.alias("x"))) == 2
+
+
+def test_equal_windows_are_found_by_marks(spark):
+    draw, rows = random.Random(3), [("ACGTACGT", "ACGTACGT"), ("", "ACG"), ("ACG", ""), ("acgtACGTA", "ACGTACGTA"), (None, "ACG"), ("ACG", None)]
+    for _ in range(300):
+        a = "".join(draw.choice("AC") for _ in range(draw.randrange(30)))
+        at = draw.randrange(len(a) + 1)
+        rows.append((a, a[:at] + draw.choice(["", "A", "CC", "G"]) + a[at + draw.randrange(2):]))
+    rows = [(i, a, b, draw.randrange(-1, 12)) for i, (a, b) in enumerate(rows)]
+
+    def plain(o, v, s):
+        if o is None or v is None or s < 0:
+            return -1
+        for i in range(s, len(v)):
+            stop = min(len(v), i + 6)
+            if o[i:stop] == v[i:stop]:
+                return stop
+        return -1
+
+    df = spark.createDataFrame(rows, "id int, o string, v string, s int").withColumn("w", coding.next_equal_window("o", "v", "s", 2))
+    assert "sequence(" not in plan(df)
+    assert {r["id"]: r["w"] for r in df.collect()} == {i: plain(o, v, s) for i, o, v, s in rows}
