@@ -455,7 +455,7 @@ _ORDER_SQL = ", ".join(_ORDER)
 
 @query(f"select genome_pos, order_key, line_number, mhc_score_2, ic50_score_1 from (select *, row_number() over (partition by genome_pos order by {_ORDER_SQL}) as n from {{compare}}) q where n = 1")
 def first_per_mutation(fx):
-    return cohort.first_per_mutation(fx.compare, _ORDER).select("genome_pos", "order_key", "line_number", "mhc_score_2", "ic50_score_1")
+    return cohort.first_per_mutation(fx.compare.select("genome_pos", *_ORDER), _ORDER).select("genome_pos", "order_key", "line_number", "mhc_score_2", "ic50_score_1")
 
 
 @query("select dataset, count(distinct genome_pos) as mutations from (select case when my_change_type = 'mutation' then 'a' when my_change_type = 'deletion' then 'b' end as dataset, genome_pos from {compare}) q where dataset is not null group by dataset")
@@ -528,7 +528,7 @@ def fold_change_buckets(fx):
 
 @query(f"select case_id, genome_pos, order_key, line_number, mhc_score_2, ic50_score_1 from (select *, row_number() over (partition by case_id, genome_pos order by mhc_score_2 desc, {_ORDER_SQL}) as n from {{compare}}) q where n = 1")
 def best_row_per_mutation(fx):
-    return cohort.best_row_per_mutation(fx.compare, _ORDER).select("case_id", "genome_pos", "order_key", "line_number", "mhc_score_2", "ic50_score_1")
+    return cohort.best_row_per_mutation(fx.compare.select("genome_pos", *_ORDER), _ORDER).select("case_id", "genome_pos", "order_key", "line_number", "mhc_score_2", "ic50_score_1")
 
 
 @query("select aff_cat_2 as aff_cat, max(ic50_score_2) as max_ic50, max(mhc_score_2) filter (ic50_score_2 = m) as mhc_score from (select *, max(ic50_score_2) over (partition by aff_cat_2) as m from {labelled}) q where aff_cat_2 <> 'none' group by aff_cat_2")

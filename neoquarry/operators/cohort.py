@@ -165,13 +165,28 @@ def neoepitope_mean_std(df: DataFrame, settings: NeoepitopeFilter, types: list[s
     return wide.toDF(case, *[f"{t}:{m}" for t in types for m in ("avg", "std")])
 
 
+def _least_row(df: DataFrame, keys: tuple[str, ...], order: list[str], lead: Column | None = None) -> DataFrame:
+    """The first row of each group by ``lead`` and the order columns; each column is in the shuffled row once.
+
+    The keys are taken from the row: a later filter on them stays above the aggregate, so it is run and exchanged once.
+    """
+    named = {c.lower() for c in order}
+    rest = [c for c in df.columns if c.lower() not in named]
+    led = [] if lead is None else [lead.alias("_lead")]
+    if any("map<" in t or "variant" in t for n, t in df.dtypes if n in rest):
+        # such columns cannot be compared
+        row = F.min_by(F.struct(*df.columns), F.struct(*led, *order))
+    else:
+        row = F.min(F.struct(*led, *order, *rest))
+    return df.groupBy(*keys).agg(row.alias("_row")).select("_row.*").select(*df.columns)
+
+
 def first_per_mutation(df: DataFrame, order: list[str], keys: tuple[str, ...] = ("genome_pos",)) -> DataFrame:
     """First row of every mutation by the given order columns.
 
     A partial aggregate: each task keeps one row per mutation before the shuffle.
     """
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
-    return first.select("_row.*")
+    return _least_row(df, keys, order)
 
 
 def combine_datasets(frames: dict[str, DataFrame], leave_out: tuple[str, ...] = ()) -> DataFrame:
@@ -271,9 +286,8 @@ def best_row_per_mutation(
 ) -> DataFrame:
     """The row with the largest mhc score, or the smallest ic50, of each mutation; ties go to the first by ``tie_order``."""
     lead = -F.col("mhc_score_2") if by == "mhc" else F.col("ic50_score_2")
-    ranked = F.struct(lead.alias("_lead"), *tie_order)
     usable = df.where(F.col("mhc_score_2" if by == "mhc" else "ic50_score_2").isNotNull())
-    return usable.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), ranked).alias("_row")).select("_row.*")
+    return _least_row(usable, keys, tie_order, lead)
 
 
 def category_boundary_values(df: DataFrame, ic50: str = "ic50_score_2", mhc: str = "mhc_score_2") -> DataFrame:

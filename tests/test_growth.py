@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from neoquarry.functions import coding, models
-from neoquarry.operators import junctions
+from neoquarry.operators import cohort, junctions
 
 EXONS = "array<struct<start:bigint,end:bigint,cds_start:bigint,cds_end:bigint,num:int,frame:int,offset:bigint>>"
 
@@ -47,3 +47,16 @@ def test_equal_windows_are_found_by_marks(spark):
     df = spark.createDataFrame(rows, "id int, o string, v string, s int").withColumn("w", coding.next_equal_window("o", "v", "s", 2))
     assert "sequence(" not in plan(df)
     assert {r["id"]: r["w"] for r in df.collect()} == {i: plain(o, v, s) for i, o, v, s in rows}
+
+
+def test_first_rows_carry_each_column_once(spark):
+    rows = [("a", 2, 1.0, "x"), ("a", 1, 3.0, "y"), ("a", None, 3.0, "z"), (None, 5, None, "u"), (None, 4, 2.0, "v"), ("b", 7, None, "w")]
+    df = spark.createDataFrame(rows, "genome_pos string, place int, mhc_score_2 double, note string")
+    first = cohort.first_per_mutation(df, ["place"])
+    best = cohort.best_row_per_mutation(df, ["place"], keys=("genome_pos",))
+    assert "min_by" not in plan(first) and "min_by" not in plan(best)
+    assert first.columns == best.columns == df.columns
+    assert sorted(r["note"] for r in first.collect()) == ["v", "w", "z"]
+    assert sorted(r["note"] for r in best.collect()) == ["v", "z"]
+    mapped = cohort.first_per_mutation(df.withColumn("m", F.create_map("note", "place")), ["place"])
+    assert sorted(r["note"] for r in mapped.collect()) == ["v", "w", "z"]
