@@ -184,7 +184,9 @@ _REPORT_MORE = {
  from (select *, row_number() over (partition by order_key order by {', '.join(_REPORT_ORDER)}) as n from {{labelled}}) q where n = 1""")
 def report_projection(fx):
     rows = labelled(fx).withColumn("aff_cat_1", scoring.affinity_category("ic50_score_1"))
-    rows = cohort.first_per_mutation(rows, _REPORT_ORDER, ("order_key",))
+    # only what the report shows, is made from or ordered by goes through the exchange
+    shown = {c.lower() for c in variants.REPORT_COLUMNS.values()} | {*_REPORT_ORDER, "order_key", "proteasome_score_1", "peptide_1"}
+    rows = cohort.first_per_mutation(rows.select(*[c for c in rows.columns if c.lower() in shown]), _REPORT_ORDER, ("order_key",))
     more = {("myVEP_aa_orig_alt" if c == "aa_change" else c): F.expr(e) for c, e in _REPORT_MORE.items()}
     return variants.report_projection(rows.withColumns(more), "case_id", "order_key")
 
