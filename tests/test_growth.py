@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from neoquarry.functions import coding, models
-from neoquarry.operators import cohort, junctions
+from neoquarry.operators import cohort, fusions, junctions
 
 EXONS = "array<struct<start:bigint,end:bigint,cds_start:bigint,cds_end:bigint,num:int,frame:int,offset:bigint>>"
 
@@ -60,3 +60,18 @@ def test_first_rows_carry_each_column_once(spark):
     assert sorted(r["note"] for r in best.collect()) == ["v", "z"]
     mapped = cohort.first_per_mutation(df.withColumn("m", F.create_map("note", "place")), ["place"])
     assert sorted(r["note"] for r in mapped.collect()) == ["v", "w", "z"]
+
+
+def test_ids_of_a_gene_stay_one_list_and_genes_are_dealt(spark):
+    ids = [("G1", "NM_1", "CCDS1", "P1"), ("G1", "NM_2", None, "P1"), ("G2", "NM_3", "CCDS1", "P2"), (None, "NM_4", "CCDS1", "P3"), ("G1", "NM_1", "CCDS1", "P1")]
+    asked = [(1, "ccds1"), (2, "CCDS1"), (2, "CCDS1"), (3, "P1"), (4, None), (5, "NM_2"), (6, "NM_9"), (7, "NM_4")]
+    out = fusions.kinase_id_lookup(
+        spark.createDataFrame(asked, "ask_id int, id string"), spark.createDataFrame(ids, "gene string, refseq string, ccds string, uniprot string")
+    )
+    assert out.columns == ["gene", "id_type", "id", "ask_id", "isoform_id"]
+    found = sorted((r["ask_id"], r["id_type"], r["gene"], r["isoform_id"]) for r in out.collect())
+    assert found == [
+        (2, 2, "G1", "CCDS1"), (2, 2, "G1", "CCDS1"), (2, 2, "G2", "CCDS1"), (2, 2, "G2", "CCDS1"), (3, 3, "G1", "P1"),
+        (5, 1, "G1", "NM_1"), (5, 1, "G1", "NM_2"),
+    ]
+    assert "_part" in plan(out)
