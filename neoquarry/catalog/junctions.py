@@ -367,7 +367,7 @@ with recursive p as (select sample, isoform, n_exons, [sj_id] as path, to_exon a
 
 
 def paths(fx):
-    return j.transcript_paths(j.transcript_edges(j.assign_isoforms(pairs(fx))), 1)
+    return j.transcript_paths(j.assigned_edges(fx.junctions, transcripts(fx)), 1)
 
 
 @query("select sample, isoform, array_to_string(path, '>') as path, reached, cost from {grown}")
@@ -412,9 +412,11 @@ with recursive p as (select sample, gene, isoform, n_exons, [{_STEP}] as path, t
 
 
 def long_paths(fx):
-    """Chains over stretched exons, of junctions with and without intronic ends; steps as (start, end, sj_id)."""
-    steps = j.transcript_edges(j.collapsed(j.assign_isoforms(pairs(fx), intronic=True)), stretched=True)
-    step = F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.col("sj_id").alias("id"))
+    """Chains over stretched exons, of junctions with and without intronic ends; steps as (start, end, sj_id, aberrant)."""
+    steps = j.assigned_edges(fx.junctions, transcripts(fx), stretched=True)
+    step = F.struct(
+        F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.col("sj_id").alias("id"), (F.col("penalty") > 0).alias("aberrant")
+    )
     return j.transcript_paths(steps.withColumn("sj_id", step), 1)
 
 
@@ -433,12 +435,8 @@ def transcript_paths_stretched(fx):
 @query(f"""select sample, isoform, sj_id, {_PATH} as path from (select p.*, x.sj_id, max(len(p.path)) over (partition by p.sample, p.isoform, x.sj_id) as longest from {{long_grown}} p join {{long_edges}} x on x.sample = p.sample and x.isoform = p.isoform and x.penalty = 1 and list_contains(p.path, {_STEP})) q where len(path) = longest""")
 def longest_path_with_junction(fx):
     paths = long_paths(fx)
-    # only chains that hold an aberrant junction have a cost; each is asked for by its own steps
-    asked = unroll(paths.where("cost > 0"), "junction", "path").join(
-        j.collapsed(j.assign_isoforms(pairs(fx), intronic=True)).where("not canonical").select(
-            "sample", "isoform", F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.col("sj_id").alias("id")).alias("junction")
-        ), ["sample", "isoform", "junction"],
-    )
+    # only chains that hold an aberrant junction have a cost; each is asked for by its own aberrant steps
+    asked = unroll(paths.where("cost > 0 and sample is not null"), "junction", "path").where("junction.aberrant")
     out = j.longest_with_junction(asked, "junction")
     return out.select("sample", "isoform", F.col("junction.id").alias("sj_id"), _ids("path").alias("path"))
 

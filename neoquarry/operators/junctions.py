@@ -637,11 +637,7 @@ def collapsed(assigned: DataFrame) -> DataFrame:
     return rows.select("sample", "isoform", START, END, "sj_id", "read_count", "_rest.*")
 
 
-def transcript_edges(assigned: DataFrame, stretched: bool = False) -> DataFrame:
-    """Junctions as steps from the exon at the 5' end to the exon at the 3' end, in reading order.
-
-    ``stretched`` also takes junctions that end in an intron: they make the neighbouring exon longer.
-    """
+def _steps(assigned: DataFrame, stretched: bool) -> DataFrame:
     if stretched:
         assigned = modified_exons(assigned)
         a, b = F.col("exon_left"), F.col("exon_right")
@@ -653,7 +649,33 @@ def transcript_edges(assigned: DataFrame, stretched: bool = False) -> DataFrame:
             "from_exon": F.when(_plus(), a).otherwise(b), "to_exon": F.when(_plus(), b).otherwise(a),
             "penalty": F.when(F.col("canonical"), 0).otherwise(1), "exon_count": F.size("exons"),
         },
-    ).where("from_exon is not null and to_exon is not null")
+    )
+
+
+def transcript_edges(assigned: DataFrame, stretched: bool = False) -> DataFrame:
+    """Junctions as steps from the exon at the 5' end to the exon at the 3' end, in reading order.
+
+    ``stretched`` also takes junctions that end in an intron: they make the neighbouring exon longer.
+    """
+    return _steps(assigned, stretched).where("from_exon is not null and to_exon is not null")
+
+
+def assigned_edges(junctions: DataFrame, transcripts: DataFrame, stretched: bool = False, key: str = "sj_id") -> DataFrame:
+    """``transcript_edges`` of ``assign_isoforms``, each position of a gene worked out once.
+
+    ``stretched`` also takes junctions that end in an intron, and gives one record for each position in a sample and
+    isoform (``collapsed``). A key that several records share keeps the lowest score of them all.
+    """
+
+    def classify(models):
+        return _steps(_lowest(_assignable(models, stretched), ["gene", START, END]), stretched)
+
+    records = junctions.select(key, "sample", "gene", START, END, "read_count")
+    told = ["isoform", "canonical", "score", "from_exon", "to_exon", "penalty", "exon_count"]
+    rows = _lowest(by_position(records, transcripts, classify, told), [key]).drop("score")
+    if stretched:
+        rows = collapsed(rows)
+    return rows.where("from_exon is not null and to_exon is not null")
 
 
 def transcript_paths(edges: DataFrame, max_penalty: int = 1) -> DataFrame:
