@@ -499,7 +499,7 @@ ORACLE_ONLY["jnp"] = f"""select sj_id, isoform, substr(mrna_alt, greatest(oj - 2
 
 
 def products(fx):
-    return jp.junction_neoepitopes(rebuilt(fx), transcripts(fx), fx.genome, CHUNK)
+    return jp.aberrant_products(fx.junctions, transcripts(fx), fx.genome, CHUNK)
 
 
 @query(f"""select sj_id, isoform, nuc_before, nuc_after, coalesce(list_min(list_filter(range(0, least(length(po), length(pa))), lambda i: substr(po, cast(i as bigint) + 1, 1) <> substr(pa, cast(i as bigint) + 1, 1))), -1) as diverged, {sql_translate('sens')} as sensitive_aa, {sql_translate('irr')} as irrelevant_aa,
@@ -542,6 +542,6 @@ def density_evidence(fx):
         F.concat_ws(":", "isoform", F.col("feat_num").cast("string")).alias("region_id"), "gene", "isoform", "feat_num", "chrom", F.col("start_pos").alias("region_start"), F.col("end_pos").alias("region_end")
     )
     dens = ev.read_density(regions, fx.reads, ["region_id", "gene", "isoform", "feat_num"], counted="all_reads").select("sample", "gene", "isoform", "feat_num", "density")
-    skipped = j.missing_exons(pairs(fx)).where("missing_kind = 'skipped'").select("sj_id", "sample", "gene", "isoform", F.col("missing_num").alias("feat_num"))
+    skipped = j.skipped_by_position(fx.junctions.select("sj_id", "sample", "gene", "start_pos", "end_pos"), transcripts(fx))
     out = j.density_evidence(skipped.join(dens, ["sample", "gene", "isoform", "feat_num"]), dens.where("feat_num = 1"))
     return out.withColumn("density_ratio", F.round("density_ratio", 6))

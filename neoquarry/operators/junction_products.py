@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import coding as c
 from ..functions import models as m
 from ..functions.sequence import cut, translate_cds
-from ..plans.rows import pinned
+from ..session import ensure_checkpoints
+from ..plans.rows import pinned, unroll
 from .genemodels import TRANSCRIPT_KEY
-from .junctions import exons_from_junctions
-from .sequences import CHUNK, altered_region, comparative_neoepitopes, transcript_sequence
+from .junctions import END, START, canonical_junction, exons_from_junctions, junction_models, transcript_with_junction
+from .sequences import CHUNK, altered_region, comparative_neoepitopes, protein_part, transcript_sequence
 
 
 def junction_neoepitopes(
@@ -26,8 +27,9 @@ def junction_neoepitopes(
     removes, are left out.
     """
     plain = transcript_sequence(transcripts, genome, chunk, F.col("exons"), "mrna").select(*TRANSCRIPT_KEY, "mrna")
+    chains = chains if "implied_exons" in chains.columns else exons_from_junctions(chains)
     rows = transcript_sequence(
-        exons_from_junctions(chains), genome, chunk, F.col("implied_exons"), "mrna_alt", [key, *TRANSCRIPT_KEY]
+        chains, genome, chunk, F.col("implied_exons"), "mrna_alt", [key, *TRANSCRIPT_KEY]
     ).join(plain, TRANSCRIPT_KEY)
     plus = F.col("strand") > 0
     parts = m.coding("exons")
@@ -52,7 +54,7 @@ def junction_neoepitopes(
             "nuc_after": cut("mrna_alt", at, at + 3 * codons),
         }
     )
-    rows = comparative_neoepitopes(altered_region(rows, peptide))
+    rows = comparative_neoepitopes(altered_region(rows, peptide, keep_proteins=True))
     # the window on the aberrant transcript, back on the genome
     stop = F.when(F.col("region_end") < 0, F.length("cds_alt") - 1).otherwise(F.col("region_end"))
     rows = rows.withColumns(
@@ -70,13 +72,34 @@ def junction_neoepitopes(
     later = F.when(v > b, codon(v)).otherwise(codon(b) + 3)
     rows = rows.withColumns(
         {
-            "sensitive_aa": F.when(known & (v < b), translate_cds(cut("cds_alt", codon(v), codon(b) + 3))),
-            "irrelevant_aa": F.when(known, translate_cds(cut("cds_alt", later, F.length("cds_alt")))),
+            "sensitive_aa": F.when(known & (v < b), protein_part("_pa", codon(v), codon(b) + 3 - codon(v))),
+            "irrelevant_aa": F.when(known, protein_part("_pa", later, F.length("cds_alt") - later)),
         }
     )
     return rows.withColumns(
         {"bool_NMD": F.contains("sensitive_aa", F.lit("*")), "bool_NSD": ~F.contains("irrelevant_aa", F.lit("*"))}
-    ).drop("_first", "_oc", "_oa", "_oj", "_end", "_a", "_b", "_v", "_bd", "mrna", "mrna_alt")
+    ).drop("_first", "_oc", "_oa", "_oj", "_end", "_a", "_b", "_v", "_bd", "mrna", "mrna_alt", "_po", "_pa")
+
+
+def aberrant_products(
+    junctions: DataFrame, transcripts: DataFrame, genome: DataFrame, chunk: int = CHUNK, key: str = "sj_id",
+) -> DataFrame:
+    """``junction_neoepitopes`` of the aberrant junctions of all samples, worked out once per position.
+
+    What a key gives depends only on the positions of its records, mostly one. Keys with the same positions share the work
+    and get the result back with one join. Records without a key give no row.
+    """
+    place = ["gene", "chrom", START, END]
+    held = junctions.where(F.col(key).isNotNull() & F.col("gene").isNotNull()).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(*place))).alias("places")
+    )
+    rows = unroll(held.select("places").distinct(), "_p", "places").select("places", "_p.*")
+    models = canonical_junction(junction_models(rows, transcripts)).where("not canonical")
+    # the chains are read twice, for their pieces of the genome and for the rows these are joined to
+    ensure_checkpoints(junctions.sparkSession)
+    chains = exons_from_junctions(transcript_with_junction(models)).checkpoint()
+    found = junction_neoepitopes(chains, transcripts, genome, chunk, key="places")
+    return held.join(found, "places").drop("places")
 
 
 def transcript_event_notes(

@@ -183,6 +183,17 @@ def assigned_junctions(junctions: DataFrame, transcripts: DataFrame, intronic: b
     return by_position(junctions, transcripts, classify, ASSIGNMENT)
 
 
+def skipped_by_position(junctions: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Records with each exon (``isoform``, ``feat_num``) they skip: the skipped rows of ``missing_exons``, by position."""
+
+    def classify(models):
+        out = unroll(models, "feat_num", skipped(F.col(START), F.col(END)))
+        known = F.exists("exons", lambda x: x["num"] == F.col("feat_num"))
+        return out.where(known)
+
+    return by_position(junctions, transcripts, classify, ["isoform", "feat_num"])
+
+
 def aberration_text(assigned: DataFrame, key: str = "sj_id") -> DataFrame:
     """One text per junction over its assigned aberrant isoforms."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
