@@ -249,8 +249,8 @@ def junction_dominance(fx):
  select br.sj_id, br.isoform, round(br.read_count / greatest(coalesce(t.read_count, 1), 1), 6) as ratio, case when t.sj_id is null then 'nothing' else concat(t.read_count, ' - ', t.sj_id, ' - ', coalesce(a.iso, '')) end as max_sj_info
  from br left join top t on t.n = 1 and t.sample = br.sample and t.isoform = br.isoform and t.bracket_start = br.bracket_start and t.bracket_end = br.bracket_end left join a on a.sj_id = t.sj_id""")
 def junction_dominance_assigned(fx):
-    rows = j.dominance_rows(fx.junctions, transcripts(fx)).join(j.assigned_lists(assigned(fx)), "sj_id", "left")
-    out = j.junction_dominance(rows, assigned="assigned_isoforms")
+    rows = j.dominance_rows(fx.junctions, transcripts(fx))
+    out = j.junction_dominance(rows, assigned="assigned_isoforms", lists=j.assigned_lists(assigned(fx)))
     return out.select("sj_id", "isoform", F.round("ratio", 6).alias("ratio"), "max_sj_info")
 
 

@@ -21,8 +21,9 @@ INTRONIC, EXONIC, FRAMESHIFT = 500, 100, 200  # fixed values: aberration scores
 INTERGENIC = 100  # fixed value: length of an exon beyond the gene
 
 
-def _gaps() -> Column:
-    return m.introns("exons", STRAND)
+def _gaps(df: DataFrame | None = None) -> Column:
+    """Introns of the row's isoform; where ``modelled`` has listed them, that list."""
+    return F.col("_introns") if df is not None and "_introns" in df.columns else m.introns("exons", STRAND)
 
 
 def _plus() -> Column:
@@ -43,6 +44,11 @@ def junction_models(junctions: DataFrame, transcripts: DataFrame, on: tuple[str,
     return junctions.join(transcripts.select(*extra), list(on))
 
 
+def modelled(transcripts: DataFrame, bounds: bool = False) -> DataFrame:
+    """Transcripts with ``_introns`` and, if asked, ``_bounds``: listed once per isoform, not for every position it meets."""
+    return pinned(transcripts, {"_introns": _gaps(), **({"_bounds": acceptor_bounds()} if bounds else {})})
+
+
 def by_position(
     junctions: DataFrame, transcripts: DataFrame, classify: Callable[[DataFrame], DataFrame], columns: list[str]
 ) -> DataFrame:
@@ -56,13 +62,13 @@ def by_position(
     return junctions.drop(*columns).join(found, where)
 
 
-def is_canonical(start=START, end=END) -> Column:
+def is_canonical(start=START, end=END, gaps: Column | None = None) -> Column:
     s, e = F.col(start), F.col(end)
-    return F.exists(_gaps(), lambda g: (g["start"] == s) & (g["end"] == e))
+    return F.exists(_gaps() if gaps is None else gaps, lambda g: (g["start"] == s) & (g["end"] == e))
 
 
 def canonical_junction(df: DataFrame) -> DataFrame:
-    return pinned(df, {"canonical": is_canonical()})
+    return pinned(df, {"canonical": is_canonical(gaps=_gaps(df))})
 
 
 def canonical_sources(junctions: DataFrame, sites: DataFrame) -> DataFrame:
@@ -80,26 +86,30 @@ def exon_at(position, direction: int, rel_pos: str | None = None) -> Column:
 
 def skipped(start: Column, end: Column) -> Column:
     """Exon numbers strictly between the exons at both ends; null if an end is not exonic."""
-    def between(x):
-        a, b = x["a"], x["b"]
-        lo, hi = F.least(a, b) + 1, F.greatest(a, b) - 1
-        # least/greatest skip nulls, so both ends are tested
-        return F.when(
-            a.isNotNull() & b.isNotNull(),
-            F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")),
-        )
-
     ends = F.struct(exon_at(start, -1)["num"].alias("a"), exon_at(end, 1)["num"].alias("b"))
-    return m.bound(ends, between)
+    return m.bound(ends, lambda x: _between(x["a"], x["b"]))
+
+
+def _between(a: Column, b: Column) -> Column:
+    lo, hi = F.least(a, b) + 1, F.greatest(a, b) - 1
+    # least/greatest skip nulls, so both ends are tested
+    return F.when(
+        a.isNotNull() & b.isNotNull(),
+        F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")),
+    )
 
 
 def skipped_exons(df: DataFrame) -> DataFrame:
     return df.withColumn("exon_skip", skipped(F.col(START), F.col(END)))
 
 
-def frames(df: DataFrame, start: Column, end: Column) -> DataFrame:
-    """``rf_start``, ``rf_end`` in reading direction and whether the frame goes on (null if one is missing)."""
-    at = pinned(df, {"_left": m.frame_at("exons", STRAND, start, -1), "_right": m.frame_at("exons", STRAND, end, 1)})
+def frames(df: DataFrame, start: Column, end: Column, **more: Column) -> DataFrame:
+    """``rf_start``, ``rf_end`` in reading direction and whether the frame goes on (null if one is missing).
+
+    ``more``: further columns to work out in the same step.
+    """
+    both = {"_left": m.frame_at("exons", STRAND, start, -1), "_right": m.frame_at("exons", STRAND, end, 1)}
+    at = pinned(df, {**both, **more})
     a, b = F.when(_plus(), F.col("_left")).otherwise(F.col("_right")), F.when(_plus(), F.col("_right")).otherwise(F.col("_left"))
     out = at.withColumns({"rf_start": a, "rf_end": b}).drop("_left", "_right")
     return out.withColumn("frame_preserved", F.pmod(F.col("rf_start") + 1, F.lit(3)) == F.col("rf_end"))
@@ -120,14 +130,19 @@ def aberration_class(df: DataFrame, intronic: bool = False, legacy_skip_score: b
     s = F.col(START)
     e = F.col(END) + 1 if shift_end else F.col(END)
 
-    def label(position, canon):
-        named = lambda x: m.bound(m.place(position, x["start"], x["end"]), lambda t: F.when(t == canon, "exon_canon").otherwise(t))
-        return m.bound(exon_at(position, 0), named)
+    def label(position, x, canon):
+        return m.bound(m.place(position, x["start"], x["end"]), lambda t: F.when(t == canon, "exon_canon").otherwise(t))
 
-    out = pinned(
-        frames(df, s, e),
-        {"exon_start": label(s, "exonRight"), "exon_end": label(e, "exonLeft"), "exon_skip": skipped(s, e)},
-    )
+    def told(x):
+        # the lowest exon at an end names it; skips are counted from there to the highest one at the other end
+        a, b = m.choose(x["a"], 0), m.choose(x["b"], 0)
+        skip = m.bound(F.struct(a["num"].alias("a"), m.choose(x["b"], 1)["num"].alias("b")), lambda n: _between(n["a"], n["b"]))
+        return F.struct(label(s, a, "exonRight").alias("start"), label(e, b, "exonLeft").alias("end"), skip.alias("skip"))
+
+    held = F.struct(m.holding("exons", s).alias("a"), m.holding("exons", e).alias("b"))
+    out = frames(df, s, e, _told=m.bound(held, told)).withColumns(
+        {"exon_start": F.col("_told.start"), "exon_end": F.col("_told.end"), "exon_skip": F.col("_told.skip")}
+    ).drop("_told")
     off = F.col("exon_start").isNull() | F.col("exon_end").isNull()
     inner = (F.col("exon_start") != "exon_canon") | (F.col("exon_end") != "exon_canon")
     broken = ~F.coalesce("frame_preserved", F.lit(False))
@@ -156,7 +171,7 @@ def assign_isoforms(df: DataFrame, key: str = "sj_id", intronic: bool = False) -
 
 
 def _assignable(df: DataFrame, intronic: bool) -> DataFrame:
-    scored = aberration_class(pinned(df, {"canonical": is_canonical()}), intronic=True)
+    scored = aberration_class(canonical_junction(df), intronic=True)
     if not intronic:
         scored = scored.where("canonical or (exon_start is not null and exon_end is not null)")
     return scored.withColumn("score", F.when(F.col("canonical"), -1).otherwise(F.col("score")))
@@ -180,7 +195,7 @@ def assigned_junctions(junctions: DataFrame, transcripts: DataFrame, intronic: b
         scored = _assignable(models, intronic).select("gene", START, END, *ASSIGNMENT)
         return _lowest(scored, ["gene", START, END])
 
-    return by_position(junctions, transcripts, classify, ASSIGNMENT)
+    return by_position(junctions, modelled(transcripts), classify, ASSIGNMENT)
 
 
 def skipped_by_position(junctions: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -444,7 +459,7 @@ def bracket_of(bounds: Column, start: Column, end: Column, closed_left: bool = F
 
 
 def acceptor_brackets(df: DataFrame, closed_left: bool = False) -> DataFrame:
-    out = pinned(df, {"_bounds": acceptor_bounds()})
+    out = df if "_bounds" in df.columns else pinned(df, {"_bounds": acceptor_bounds()})
     out = pinned(out, {"_b": bracket_of(F.col("_bounds"), F.col(START), F.col(END), closed_left)})
     return out.withColumns({"bracket_start": F.col("_b.lo"), "bracket_end": F.col("_b.hi")}).drop("_b", "_bounds")
 
@@ -452,23 +467,32 @@ def acceptor_brackets(df: DataFrame, closed_left: bool = False) -> DataFrame:
 def dominance_rows(junctions: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Records x isoforms with ``canonical`` and their bracket, worked out once per position."""
     place = lambda models: acceptor_brackets(canonical_junction(models))
-    return by_position(junctions, transcripts, place, ["isoform", "canonical", "bracket_start", "bracket_end"])
+    return by_position(junctions, modelled(transcripts, bounds=True), place, ["isoform", "canonical", "bracket_start", "bracket_end"])
 
 
-def junction_dominance(df: DataFrame, canonical_only: bool = False, key: str = "sj_id", assigned: str | None = None) -> DataFrame:
+def junction_dominance(
+    df: DataFrame, canonical_only: bool = False, key: str = "sj_id", assigned: str | None = None, lists: DataFrame | None = None
+) -> DataFrame:
     """Reads of a junction over the most reads in its bracket (1 when the bracket has none), and the winner.
 
     The bracket maximum is a plain aggregate, so a crowded bracket is reduced before it is shuffled. ``assigned`` names a
-    column with the isoforms (array) a junction was assigned to; the winner's are then part of its text. Rows that carry
-    their bracket already (``dominance_rows``) keep it.
+    column with the isoforms (array) a junction was assigned to; the winner's are then part of its text. With ``lists``
+    (``assigned_lists``) the column is looked up there, for winners alone. Rows that carry their bracket already
+    (``dominance_rows``) keep it.
     """
     placed = df if "bracket_start" in df.columns else acceptor_brackets(df)
     group = ["sample", "isoform", "bracket_start", "bracket_end"]
+    # rows are read for their maximum and for themselves: tests of one reading stay above what both have in common
+    shared = [*group, *(["canonical"] if canonical_only else [])]
+    placed = pinned(placed, {c: F.col(c) for c in shared}).select(*placed.columns)
     rivals = placed.where("canonical") if canonical_only else placed
+    own = assigned if lists is None else None
     top = rivals.groupBy(*group).agg(
         F.max("read_count").alias("max_reads"), F.max_by(key, F.struct(F.col("read_count"), -F.col(key))).alias("max_sj"),
-        *([F.max_by(assigned, F.struct(F.col("read_count"), -F.col(key))).alias("max_isoforms")] if assigned else []),
+        *([F.max_by(own, F.struct(F.col("read_count"), -F.col(key))).alias("max_isoforms")] if own else []),
     )
+    if assigned and lists is not None:
+        top = top.join(lists.select(F.col(key).alias("max_sj"), F.col(assigned).alias("max_isoforms")), "max_sj", "left")
     joined = placed.join(top, group, "left")
     told = [F.col("max_reads").cast("string"), F.lit(" - "), F.col("max_sj").cast("string")]
     if assigned:

@@ -99,3 +99,24 @@ def test_fine_settings_come_and_go(spark):
     assert {k: spark.conf.get(k) for k in FINE} == FINE
     tune(spark)
     assert spark.conf.get(key) in (before, "134217728b") and spark.conf.get(key) != FINE[key]
+
+
+def test_dominance_looks_lists_up_for_winners_and_places_positions_once(spark):
+    tx, recs = model(spark), records(spark)
+    recs = recs.union(recs.where("sj_id = 31").selectExpr("sj_id", "sample", "gene", "260 as start_pos", "300 as end_pos", "read_count", "chrom"))
+    lists = junctions.assigned_lists(junctions.assigned_junctions(recs, tx))
+    rows = junctions.dominance_rows(recs, tx)
+    columns = ["sj_id", "sample", "isoform", "start_pos", "end_pos", "ratio", "max_sj_info"]
+    carried = junctions.junction_dominance(rows.join(lists, "sj_id", "left"), assigned="assigned_isoforms").select(columns)
+    looked_up = junctions.junction_dominance(rows, assigned="assigned_isoforms", lists=lists).select(columns)
+    plain = junctions.acceptor_brackets(junctions.canonical_junction(junctions.junction_models(recs.where("start_pos is not null"), tx)))
+    plain = junctions.junction_dominance(plain.join(lists, "sj_id", "left"), assigned="assigned_isoforms").select(columns)
+    found = told(looked_up)
+    assert found == told(carried) == told(plain) and len(found) > 20
+    assert any("nothing" in r for r in found) and any(" | " in r for r in found)
+    # introns and acceptors are listed per isoform, below the join with the positions, and a filter on one reading of the
+    # rows does not part it from the other
+    text = runs(looked_up)
+    listed = [line for line in text.splitlines() if "Generate explode(array(struct(_introns" in line]
+    brackets = [line for line in text.splitlines() if "Generate explode(array(struct(_b" in line]
+    assert listed and brackets and not any("array_sort" in line for line in brackets)
