@@ -75,3 +75,27 @@ def test_ids_of_a_gene_stay_one_list_and_genes_are_dealt(spark):
         (5, 1, "G1", "NM_1"), (5, 1, "G1", "NM_2"),
     ]
     assert "_part" in plan(out)
+
+
+def test_asked_ids_dealt_over_parts_are_not_broadcast(spark):
+    ids = [(f"G{i // 3}" if i % 11 else None, f"NM_{i}", f"CCDS{i % 4}" if i % 2 else None, f"P{i % 7}") for i in range(300)]
+    table = spark.range(300).select(
+        F.when(F.col("id") % 11 != 0, F.concat(F.lit("G"), F.floor(F.col("id") / 3).cast("string"))).alias("gene"), F.concat(F.lit("NM_"), "id").alias("refseq"),
+        F.when(F.col("id") % 2 == 1, F.concat(F.lit("CCDS"), (F.col("id") % 4).cast("string"))).alias("ccds"), F.concat(F.lit("P"), (F.col("id") % 7).cast("string")).alias("uniprot"),
+    )
+    asked = [(k % 90, None if k % 10 == 9 else f"NM_{k}" if k % 3 == 0 else f"P{k % 8}" if k % 3 == 1 else f"CCDS{k % 5}") for k in range(100)]
+    wanted = spark.range(100).select(
+        (F.col("id") % 90).alias("ask_id"),
+        F.when(F.col("id") % 10 == 9, F.lit(None)).when(F.col("id") % 3 == 0, F.concat(F.lit("NM_"), "id"))
+        .when(F.col("id") % 3 == 1, F.concat(F.lit("P"), (F.col("id") % 8).cast("string"))).otherwise(F.concat(F.lit("CCDS"), (F.col("id") % 5).cast("string"))).alias("id"),
+    )
+    out = fusions.kinase_id_lookup(wanted, table)
+    joins = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    # the rows that exploding makes are counted by no estimate: only the asked ids, each once, may be sent to all
+    assert [line for line in joins if "Broadcast" in line and "LeftSemi" not in line] == []
+    assert sum("_part" in line and "SortMergeJoin" in line for line in joins) == 1
+    pairs = {(row[0], t, row[t]) for row in ids if row[0] for t in (1, 2, 3) if row[t]}
+    kind = lambda i: 1 if i.startswith("NM_") else 2 if i.startswith("CCDS") else 3
+    plain = sorted((k, i, g, other) for k, i in asked if i for g, t, x in pairs if (t, x) == (kind(i), i) for h, u, other in pairs if (h, u) == (g, t))
+    assert len(plain) > 1000
+    assert sorted((r["ask_id"], r["id"], r["gene"], r["isoform_id"]) for r in out.collect()) == plain
